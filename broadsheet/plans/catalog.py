@@ -35,4 +35,4 @@ def iso_ts(col) -> Column:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from broadsheet.plans import queries_rank  # noqa: F401
+    from broadsheet.plans import queries_archive, queries_rank  # noqa: F401

@@ -8,7 +8,7 @@ with a narrow projection; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import url_host
@@ -57,3 +57,62 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.lit(EPOCH_SECONDS) + pid * 60).alias("published_at"),
         F.inline(F.filter(F.array(first, second), lambda x: x.isNotNull())))
         .select("edition_date", "seq", "title", "snippet", "url", "source", "published_at", "points"))
+
+
+# The four digest categories and the two providers.
+CATEGORIES = ["lanzamientos", "investigacion", "industria", "herramientas"]
+PROVIDERS = ["deepseek", "claude-code"]
+ITEMS_PER_EDITION = 20
+REPOS_PER_EDITION = 3
+
+
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published editions, one per UTC day of ``events``.
+
+    Items: the day's events by value desc, event_id asc, first 20 (a per-day
+    top-k, so each group is bounded before it is collected). Days whose error
+    count is above the median of all days carry up to 3 repos (their top error
+    events). The result has the digest document shape.
+    """
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props") \
+        .withColumn("day", F.to_date("ts"))
+    top = ev.withColumn("rank", F.row_number().over(
+        Window.partitionBy("day").orderBy(F.col("value").desc(), "event_id"))) \
+        .where(F.col("rank") <= ITEMS_PER_EDITION)
+    item = F.struct(
+        F.col("rank").cast("int").alias("rank"),
+        F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("event_id") % 4 + 1).cast("int"))
+        .alias("category"),
+        F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("title"),
+        F.concat(F.lit("value "), F.col("value").cast("string")).alias("summary"),
+        F.col("props").alias("why_it_matters"),
+        F.concat(F.lit("https://e.example/"), F.col("user_id").cast("string")).alias("url"),
+        F.col("event_type").alias("source"))
+    items = top.groupBy("day").agg(F.collect_list(item).alias("items"))
+
+    days = ev.groupBy("day").agg(F.max("ts").alias("last_ts"),
+                                 F.count_if(F.col("event_type") == "error").alias("n_errors"))
+    median = days.select(F.percentile("n_errors", 0.5)).scalar()
+
+    errs = ev.where(F.col("event_type") == "error").withColumn("r", F.row_number().over(
+        Window.partitionBy("day").orderBy(F.col("value").desc(), "event_id"))) \
+        .where(F.col("r") <= REPOS_PER_EDITION)
+    repo = F.struct(
+        F.col("r").alias("r"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/r"), F.col("event_id").cast("string"))
+        .alias("name"),
+        F.concat(F.lit("https://github.com/u"), F.col("user_id").cast("string"), F.lit("/r"),
+                 F.col("event_id").cast("string")).alias("url"),
+        F.col("props").alias("description"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("Python")).alias("language"),
+        F.floor(F.col("value") * 100).cast("bigint").alias("stars"))
+    repos = errs.groupBy("day").agg(F.sort_array(F.collect_list(repo)).alias("repos")) \
+        .select("day", F.transform("repos", lambda x: x.dropFields("r")).alias("repos"))
+
+    return (days.join(items, "day").join(repos, "day", "left")
+            .select(F.date_format("day", "yyyy-MM-dd").alias("date"),
+                    F.date_format("last_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generated_at"),
+                    F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]),
+                                 (F.dayofmonth("day") % 2 + 1).cast("int")).alias("provider"),
+                    "items",
+                    F.when(F.col("n_errors") > median, F.col("repos")).alias("repos")))

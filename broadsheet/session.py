@@ -35,7 +35,8 @@ def build_session(master: str | None = None, app: str = "broadsheet",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = {**REQUIRED_CONF, **ADAPTIVE_CONF, "spark.ui.enabled": "false"}
+    conf = {**REQUIRED_CONF, **ADAPTIVE_CONF, "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false"}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
