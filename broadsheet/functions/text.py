@@ -30,14 +30,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The same class as plain characters: the ASCII ones (exactly Java's \s set)
+# and the non-ASCII ones, which are first mapped to a space with translate().
+_ASCII_SPACES = "\t\n\u000b\f\r "
+_WIDE_SPACES = "\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(col) -> Column:
-    """Trim with the JavaScript white-space class."""
-    return F.regexp_replace(_c(col), f"^{JS_SPACE_CLASS}+|{JS_SPACE_CLASS}+\\z", "")
+    """Trim with the JavaScript white-space class (F30); a character-set trim,
+    no regex."""
+    return F.trim(_c(col), F.lit(_ASCII_SPACES + _WIDE_SPACES))
 
 
 def collapse_ws(col) -> Column:
     """Replace every run of JS white space with one ASCII space (``/\\s+/g``)."""
-    return F.regexp_replace(_c(col), f"{JS_SPACE_CLASS}+", " ")
+    return F.regexp_replace(F.translate(_c(col), _WIDE_SPACES, " " * len(_WIDE_SPACES)), r"\s+", " ")
 
 
 def _form_decode(s: Column) -> Column:

@@ -116,3 +116,56 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  (F.dayofmonth("day") % 2 + 1).cast("int")).alias("provider"),
                     "items",
                     F.when(F.col("n_errors") > median, F.col("repos")).alias("repos")))
+
+
+def repo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repos seen per edition, from ``lineitem``: distinct (part key as name, ship date)."""
+    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate")
+    return li.select(F.col("l_partkey").cast("string").alias("name"),
+                     F.to_date("l_shipdate").alias("edition_date")).distinct()
+
+
+def repos_raw(spark: SparkSession, sf_dir: str, span: int = EDITION_SPAN_DAYS) -> DataFrame:
+    """Trending rows from ``part``: name brand/partkey, language p_type ('' when
+    p_size % 7 = 0), stars p_size * 100, description p_name, one edition per
+    ``p_partkey % span``; ``seq`` is the part key (page order)."""
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    name = F.concat(F.col("p_brand"), F.lit("/"), F.col("p_partkey").cast("string"))
+    return p.select(
+        F.date_add(F.lit(EPOCH_DAY).cast("date"), (F.col("p_partkey") % span).cast("int")).alias("edition_date"),
+        F.col("p_partkey").alias("seq"),
+        name.alias("name"),
+        F.concat(F.lit("https://github.com/"), name).alias("url"),
+        F.col("p_name").alias("description"),
+        F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.col("p_type")).alias("language"),
+        (F.col("p_size") * 100).cast("bigint").alias("stars"),
+        F.col("p_size").cast("bigint").alias("stars_today"),
+        F.col("p_retailprice").alias("p_retailprice"))
+
+
+def repo_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model picks from ``orders``: order o picks the repo of part ``o_custkey``
+    for edition ``o_orderkey % 30``, in order-key order; every fourth pick
+    has a blank description (the trending one is used), others carry the
+    order priority as description."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_brand")
+    j = o.join(p, o["o_custkey"] == p["p_partkey"])
+    return j.select(
+        F.date_add(F.lit(EPOCH_DAY).cast("date"), (F.col("o_orderkey") % EDITION_SPAN_DAYS).cast("int"))
+        .alias("edition_date"),
+        F.col("o_orderkey").alias("pos"),
+        F.concat(F.col("p_brand"), F.lit("/"), F.col("p_partkey").cast("string")).alias("name"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit("  ")).otherwise(F.col("o_orderpriority")).alias("description"))
+
+
+def pages_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed article fetches from ``pages``: status 404 when ``page_id % 11 = 0``,
+    a PDF content type when ``page_id % 13 = 0``, otherwise an HTML 200."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return p.select(
+        "page_id", "url",
+        F.when(F.col("page_id") % 11 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.when(F.col("page_id") % 13 == 0, F.lit("application/pdf"))
+        .otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
+        "html")
