@@ -36,4 +36,4 @@ def iso_ts(col) -> Column:
 def load_all() -> None:
     """Import every module that registers queries."""
     from broadsheet.plans import (queries_archive, queries_enrich, queries_rank,  # noqa: F401
-                                  queries_repos)
+                                  queries_posts, queries_repos)
