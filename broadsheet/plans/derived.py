@@ -169,3 +169,82 @@ def pages_in(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("page_id") % 13 == 0, F.lit("application/pdf"))
         .otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
         "html")
+
+
+# Fixed values of the derived model answers.
+SORRY = "Lo siento, no puedo ayudar con eso."
+RUN_HOUR = "T06:00:00.000Z"
+
+
+def json_string(c: Column) -> Column:
+    """A column as a JSON string literal (quotes and escapes included)."""
+    j = F.to_json(F.struct(c.alias("s")))
+    return F.substring(j, F.lit(6), F.length(j) - 6)
+
+
+def edition_runs(cands: DataFrame) -> DataFrame:
+    """One run per edition seen in the candidates: date text, run instant, provider."""
+    d = cands.select("edition_date").distinct()
+    date = F.date_format("edition_date", "yyyy-MM-dd")
+    return d.select("edition_date", date.alias("date"), F.concat(date, F.lit(RUN_HOUR)).alias("generated_at"),
+                    F.lit("deepseek").alias("provider"))
+
+
+def digest_answers(ranked: DataFrame) -> DataFrame:
+    """Model answers per edition, built from its ranked candidates.
+
+    Scenario by ``(edition_date - 2024-01-01) % 5``:
+    0: not JSON, then a repeated rank, then valid; 1: valid inside a code
+    fence; 2: bad category + extra key, then valid plus one invented URL;
+    3: three answers with only three items; 4: items is a string, then an
+    array root, then rank 1.0 and a string rank. Items are the first 20
+    candidates (a bounded list per edition).
+    """
+    cat = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("seq") % 4 + 1).cast("int"))
+    item = F.concat(
+        F.lit('{"rank":'), F.col("position").cast("string"),
+        F.lit(',"category":"'), cat,
+        F.lit('","title":'), json_string(F.col("title")),
+        F.lit(',"summary":'), json_string(F.concat(F.lit("Resumen de "), F.col("source"))),
+        F.lit(',"why_it_matters":'), json_string(F.concat(F.lit("Porque "), F.col("position").cast("string"))),
+        F.lit(',"url":'), json_string(F.col("url")),
+        F.lit(',"source":'), json_string(F.col("source")), F.lit("}"))
+    per = (ranked.where(F.col("position") <= ITEMS_PER_EDITION)
+           .select("edition_date", F.struct("position", item.alias("j")).alias("it"))
+           .groupBy("edition_date").agg(F.array_sort(F.collect_list("it")).alias("its"))
+           .select("edition_date", F.transform("its", lambda x: x["j"]).alias("js")))
+    date = F.date_format("edition_date", "yyyy-MM-dd")
+    head = F.concat(F.lit('{"date":"'), date, F.lit('","generated_at":"'), date, F.lit(RUN_HOUR),
+                    F.lit('","provider":"deepseek","items":'))
+    js = F.col("js")
+
+    def doc(items: Column) -> Column:
+        return F.concat(head, F.lit("["), F.array_join(items, ","), F.lit("]}"))
+
+    def at(i: int, f):
+        return F.transform(js, lambda x, k: F.when(k == i, f(x)).otherwise(x))
+
+    valid = doc(js)
+    repeated = doc(at(1, lambda x: F.regexp_replace(x, r'^\{"rank":[0-9]+,', '{"rank":1,')))
+    bad = doc(F.transform(js, lambda x, k: F.when(k == 0, F.regexp_replace(
+        x, r'"category":"[a-z]+"', '"category":"otros"')).when(k == 1, F.regexp_replace(
+            x, r"^\{", '{"extra":true,')).otherwise(x)))
+    invented = F.concat(F.lit('{"rank":20,"category":"industria","title":"Inventado","summary":"x",'
+                              '"why_it_matters":"y","url":"https://invented.example/'), date,
+                        F.lit('","source":"x"}'))
+    plus_invented = doc(F.concat(js, F.array(invented)))
+    few = doc(F.slice(js, 1, 3))
+    odd_ranks = doc(F.transform(js, lambda x, k: F.when(k == 0, F.regexp_replace(
+        x, r'^\{"rank":[0-9]+,', '{"rank":1.0,')).when(k == 1, F.regexp_replace(
+            x, r'^\{"rank":[0-9]+,', '{"rank":"2",')).otherwise(x)))
+
+    def att(*raws: Column) -> Column:
+        return F.array(*[F.struct(F.lit(i + 1).alias("attempt"), r.alias("raw")) for i, r in enumerate(raws)])
+
+    k = F.datediff("edition_date", F.lit(EPOCH_DAY).cast("date")) % 5
+    attempts = (F.when(k == 0, att(F.lit(SORRY), repeated, valid))
+                .when(k == 1, att(F.concat(F.lit("```json\n"), valid, F.lit("\n```"))))
+                .when(k == 2, att(bad, plus_invented))
+                .when(k == 3, att(few, few, few))
+                .otherwise(att(F.concat(head, F.lit('"none"}')), F.lit("[1,2]"), odd_ranks)))
+    return per.select("edition_date", F.inline(attempts))
