@@ -36,5 +36,5 @@ def iso_ts(col) -> Column:
 def load_all() -> None:
     """Import every module that registers queries."""
     from broadsheet.plans import (queries_accept, queries_archive, queries_enrich,  # noqa: F401
-                                  queries_rank,
+                                  queries_ingest, queries_rank,
                                   queries_posts, queries_repos)

@@ -10,7 +10,7 @@ from broadsheet.operators.dedup import CANDIDATE_CAP, dedup_candidates, rank_per
 from broadsheet.operators.enrich import enrich
 from broadsheet.plans.catalog import query
 from broadsheet.plans.derived import collected, digest_answers, edition_runs, pages_in
-from broadsheet.plans.queries_enrich import _ENRICH_SQL
+from broadsheet.plans.queries_enrich import ENRICH_TAIL, _ENRICH_SQL
 from broadsheet.plans.queries_rank import _DEDUP_SQL
 
 _CATS = "['lanzamientos', 'investigacion', 'industria', 'herramientas']"
@@ -189,8 +189,8 @@ def first_valid_attempt(spark, sf_dir):
         "edition_date", F.col("attempt").cast("int").alias("attempt"), F.size("items").alias("n_items"))
 
 
-def _prompt_sql(final_select: str) -> str:
-    return _ENRICH_SQL + f""",
+def _prompt_sql(final_select: str, base: str = _ENRICH_SQL) -> str:
+    return base + f""",
 pr_runs AS (SELECT DISTINCT edition_date, strftime(edition_date, '%Y-%m-%d') AS date,
                    strftime(edition_date, '%Y-%m-%d') || 'T06:00:00.000Z' AS generated_at, 'deepseek' AS provider
             FROM cand),
@@ -220,3 +220,17 @@ def _base_prompts(spark, sf_dir):
 @query("prompt_text", _prompt_sql("SELECT edition_date, prompt FROM base"))
 def prompt_text(spark, sf_dir):
     return _base_prompts(spark, sf_dir)
+
+
+@query("retry_prompts", _prompt_sql("""
+SELECT c.edition_date, c.attempt + 1 AS attempt,
+       b.prompt || chr(10) || chr(10) || '---' || chr(10) || 'La respuesta anterior NO fue válida. Corrige EXACTAMENTE '
+       || 'estos problemas y responde de nuevo solo con el JSON:' || chr(10) || '- ' || array_to_string(c.errs, chr(10) || '- ')
+       AS prompt
+FROM checked c JOIN base b USING (edition_date)
+WHERE len(c.errs) > 0 AND c.attempt < 3
+""", base=CHECKED_SQL + "," + ENRICH_TAIL))
+def retry_prompts(spark, sf_dir):
+    """base prompt plus the last attempt's errors, for every failed attempt before the third."""
+    return V.retry_prompts(_checked(spark, sf_dir), _base_prompts(spark, sf_dir)) \
+        .withColumn("attempt", F.col("attempt").cast("int"))

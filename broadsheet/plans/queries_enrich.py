@@ -64,10 +64,13 @@ def readable_text(spark, sf_dir):
     return p.select("page_id", "readable", usable_text(F.col("readable")).alias("content"))
 
 
-_ENRICH_SQL = _DEDUP_SQL.format(by="edition_date,") + f""",
+RANKED_SQL = _DEDUP_SQL.format(by="edition_date,") + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY edition_date
                      ORDER BY coalesce(points, 0) DESC, published_at DESC, seq) AS position FROM merged),
-cand AS (SELECT * FROM ranked WHERE position <= {CANDIDATE_CAP}),
+cand AS (SELECT * FROM ranked WHERE position <= {CANDIDATE_CAP})"""
+
+# Continues a WITH list that already defines ``cand``.
+ENRICH_TAIL = f"""
 targets AS (SELECT DISTINCT url FROM cand WHERE position <= 30),
 pin AS (SELECT page_id, {canonical_sql('url')} AS url, html FROM pages
         WHERE page_id % 11 <> 0 AND page_id % 13 <> 0),
@@ -79,6 +82,8 @@ enriched AS (SELECT c.edition_date, c.url, c.position,
                     CASE WHEN c.position <= 30 THEN t.content END AS content
              FROM cand c LEFT JOIN texts t USING (url))"""
 
+_ENRICH_SQL = RANKED_SQL + "," + ENRICH_TAIL
+
 
 def _enriched(spark, sf_dir):
     ranked = rank_per_edition(dedup_candidates(collected(spark, sf_dir)), CANDIDATE_CAP)
