@@ -84,19 +84,31 @@ def edition_path(date_str, prefix: str = "") -> Column:
                     F.lit("/"), F.element_at(parts, 3), F.lit("/"))
 
 
+def _parse_shapes(body: Column, text: Column) -> Column:
+    rfc = body.rlike(r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{2,4} [0-9]{1,2}:[0-9]{2}")
+    year4 = body.rlike(r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} ")
+    secs = body.rlike(r" [0-9]{1,2}:[0-9]{2}:[0-9]{2}( |$)")
+    offset = body.rlike(r"[+-][0-9]{4}$")
+    out = F.when(~rfc, F.try_to_timestamp(text))
+    for y4 in (True, False):
+        for sec in (True, False):
+            for num in (True, False):
+                fmt = ("d MMM " + ("yyyy" if y4 else "yy") + " HH:mm" + (":ss" if sec else "")
+                       + (" Z" if num else " z"))
+                cond = (year4 if y4 else ~year4) & (secs if sec else ~secs) & (offset if num else ~offset)
+                out = out.when(cond, F.try_to_timestamp(body, F.lit(fmt)))
+    return out
+
+
 def parse_feed_date(s) -> Column:
     """lenient feed date (ISO 8601 or RFC 822, weekday ignored even if wrong).
 
-    Returns a timestamp or null when the text does not parse.
+    The leading weekday is removed; RFC 822 text is parsed with the one
+    pattern its shape calls for (2- or 4-digit year, with or without seconds,
+    zone name or numeric offset); anything else goes through the ISO cast.
+    Only one parse runs per row and failures give null. The cleaned text is
+    bound once as a lambda variable, so the shape tests do not repeat it.
     """
-    s = _c(s)
-    body = F.regexp_replace(F.trim(s), r"^[A-Za-z]+,\s*", "")
-    return F.coalesce(
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm z")),
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm Z")),
-        F.try_to_timestamp(body, F.lit("d MMM yy HH:mm:ss z")),
-        F.try_to_timestamp(body, F.lit("d MMM yy HH:mm:ss Z")),
-        F.try_to_timestamp(F.trim(s)),
-    )
+    t = F.trim(_c(s))
+    pair = F.struct(F.regexp_replace(t, r"^[A-Za-z]+,\s*", "").alias("b"), t.alias("t"))
+    return F.element_at(F.transform(F.array(pair), lambda r: _parse_shapes(r["b"], r["t"])), 1)

@@ -75,22 +75,17 @@ def drop_last_slash(s: Column) -> Column:
     return F.regexp_replace(s, "/\\z", "")
 
 
-def canonical_url(col) -> Column:
-    """dedup key of a URL.
+def _url_parts(t: Column) -> Column:
+    return F.struct(
+        t.alias("t"), t.rlike(_URL_PATTERN).alias("ok"),
+        F.lower(F.regexp_extract(t, _URL_PATTERN, 1)).alias("scheme"),
+        F.lower(F.regexp_extract(t, _URL_PATTERN, 2)).alias("hostport"),
+        F.regexp_extract(t, _URL_PATTERN, 3).alias("path"),
+        F.regexp_extract(t, _URL_PATTERN, 4).alias("query"))
 
-    Trim; http(s) URLs get lower-case scheme and host, default port removed,
-    empty path shown as ``/``, fragment removed, ``utm_*`` / ``ref`` /
-    ``fbclid`` query keys removed (the rest of the query is then re-serialised
-    as form data; untouched when nothing is removed) and one trailing ``/`` of
-    the whole string removed. Anything that is not an http(s) URL with a host
-    is returned trimmed. Percent-encoding of raw path characters and dot
-    segments are not rewritten.
-    """
-    t = js_trim(col)
-    scheme = F.lower(F.regexp_extract(t, _URL_PATTERN, 1))
-    hostport = F.lower(F.regexp_extract(t, _URL_PATTERN, 2))
-    path = F.regexp_extract(t, _URL_PATTERN, 3)
-    query = F.regexp_extract(t, _URL_PATTERN, 4)
+
+def _canonical_from_parts(u: Column) -> Column:
+    scheme, hostport, path, query = u["scheme"], u["hostport"], u["path"], u["query"]
     host = F.regexp_extract(hostport, r"^(.*?)(:[0-9]*)?$", 1)
     port = F.regexp_extract(hostport, r":([0-9]*)$", 1)
     default_port = ((scheme == "http") & (port == DEFAULT_PORTS["http"])) | \
@@ -104,10 +99,27 @@ def canonical_url(col) -> Column:
         F.transform(F.filter(pairs, lambda p: ~_is_tracking_key(_pair_key(p))), _serialize_pair), "&")
     new_query = F.when(drops, F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept))) \
         .otherwise(query)
-
-    is_web = t.rlike(_URL_PATTERN) & scheme.isin("http", "https") & (host != "")
+    is_web = u["ok"] & scheme.isin("http", "https") & (host != "")
     rebuilt = drop_last_slash(F.concat(scheme, F.lit("://"), authority, path, new_query))
-    return F.when(is_web, rebuilt).otherwise(t)
+    return F.when(is_web, rebuilt).otherwise(u["t"])
+
+
+def canonical_url(col) -> Column:
+    """dedup key of a URL.
+
+    Trim; http(s) URLs get lower-case scheme and host, default port removed,
+    empty path shown as ``/``, fragment removed, ``utm_*`` / ``ref`` /
+    ``fbclid`` query keys removed (the rest of the query is then re-serialised
+    as form data; untouched when nothing is removed) and one trailing ``/`` of
+    the whole string removed. Anything that is not an http(s) URL with a host
+    is returned trimmed. Percent-encoding of raw path characters and dot
+    segments are not rewritten.
+
+    The URL is split once and the parts are bound as a lambda variable, so the
+    rebuilding steps never repeat the split.
+    """
+    parts = F.transform(F.array(js_trim(col)), _url_parts)
+    return F.element_at(F.transform(parts, _canonical_from_parts), 1)
 
 
 def url_host(col) -> Column:

@@ -41,7 +41,7 @@ def merge_items(items: DataFrame, key: Column, by: Sequence[str] = ("edition_dat
     ``seq`` come from the first item. The URL is replaced by the key; empty
     keys are skipped.
     """
-    keyed = items.withColumn("_key", key).where(F.col("_key") != "")
+    keyed = items.withColumn("_key", key)
     first = F.min_by(F.struct(*[F.col(c) for c in ("seq", *carry)]), F.col("seq")).alias("_first")
     aggs = [first, _points_winner().alias("points")]
     if "snippet" in items.columns:
@@ -49,7 +49,9 @@ def merge_items(items: DataFrame, key: Column, by: Sequence[str] = ("edition_dat
             F.min_by(F.col("snippet"), F.when(F.col("snippet") != "", F.col("seq"))).alias("_snip"),
             F.min_by(F.col("snippet"), F.col("seq")).alias("_snip0"),
         ]
-    g = keyed.groupBy(*by, "_key").agg(*aggs)
+    # the empty key is dropped after grouping: same result, and the key
+    # expression is computed once instead of again in a pushed-down filter
+    g = keyed.groupBy(*by, "_key").agg(*aggs).where(F.col("_key") != "")
     cols = [F.col(c) for c in by] + [F.col("_first.seq").alias("seq")]
     cols += [F.col(f"_first.{c}").alias(c) for c in carry]
     if "snippet" in items.columns:
