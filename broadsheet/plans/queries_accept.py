@@ -144,8 +144,12 @@ checked AS (SELECT *, list_sort(CASE WHEN v IS NULL THEN ['F12:json'] WHEN NOT r
             FROM e0)"""
 
 
+def _ranked(spark, sf_dir):
+    return rank_per_edition(dedup_candidates(collected(spark, sf_dir)), CANDIDATE_CAP)
+
+
 def _checked(spark, sf_dir):
-    ranked = rank_per_edition(dedup_candidates(collected(spark, sf_dir)), CANDIDATE_CAP)
+    ranked = _ranked(spark, sf_dir)
     inputs = ranked.groupBy("edition_date").agg(F.collect_list("url").alias("urls"))
     return V.check_attempts(digest_answers(ranked), inputs, edition_runs(ranked))
 

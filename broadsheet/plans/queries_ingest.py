@@ -35,7 +35,7 @@ def feed_entries(spark, sf_dir):
     r = _runs(spark, sf_dir, "event_id", "user_id", "event_type", "props")
     eid, et = F.col("event_id"), F.col("event_type")
     return r.select(
-        "run_date", "as_of", "event_id",
+        "run_date", "as_of", "event_id", F.col("event_type").alias("feed"),
         F.when(eid % 17 == 0, F.lit("  ")).otherwise(F.concat(F.lit("Evento "), eid.cast("string"))).alias("title"),
         F.when(eid % 10 == 0, F.lit("")).otherwise(
             F.concat(F.lit("https://e.example/"), F.col("user_id").cast("string"), F.lit("/"), eid.cast("string")))
@@ -49,9 +49,9 @@ def feed_entries(spark, sf_dir):
         F.lit(None).cast("string").alias("content"))
 
 
-@query("window_filter", f"""
-WITH r AS (SELECT e.*, CAST(ts AS DATE) + d AS run_date FROM events e, (VALUES (0), (1)) t(d)),
-en AS (SELECT run_date, event_id, CAST(run_date AS TIMESTAMP) + INTERVAL 12 HOUR AS as_of,
+FEED_SQL = f"""
+r AS (SELECT e.*, CAST(ts AS DATE) + d AS run_date FROM events e, (VALUES (0), (1)) t(d)),
+en AS (SELECT run_date, event_id, event_type, CAST(run_date AS TIMESTAMP) + INTERVAL 12 HOUR AS as_of,
          CASE WHEN event_id % 17 = 0 THEN '  ' ELSE 'Evento ' || event_id END AS title,
          CASE WHEN event_id % 10 = 0 THEN '' ELSE 'https://e.example/' || user_id || '/' || event_id END AS link,
          CASE WHEN event_id % 10 = 0 THEN CASE WHEN event_id % 20 = 0 THEN 'urn:evento:' || event_id
@@ -64,7 +64,11 @@ m AS (SELECT *, trim(coalesce(nullif(link, ''), nullif(guid, ''), '')) AS url, c
 p AS (SELECT *, CASE WHEN dt = '' THEN NULL
                      WHEN regexp_matches(dt, '^[A-Za-z]+,') THEN
                           try_strptime(regexp_replace(dt, '^[A-Za-z]+,\\s*', ''), '%d %b %Y %H:%M:%S GMT')
-                     ELSE try_strptime(dt, '%Y-%m-%dT%H:%M:%S.%gZ') END AS pts FROM m)
+                     ELSE try_strptime(dt, '%Y-%m-%dT%H:%M:%S.%gZ') END AS pts FROM m)"""
+
+
+@query("window_filter", f"""
+WITH {FEED_SQL}
 SELECT run_date, event_id, trim(title) AS title, url, {iso('coalesce(pts, as_of)')} AS published_at,
        left(trim(props), 500) AS snippet
 FROM p
@@ -87,8 +91,8 @@ def story_hits_input(spark, sf_dir):
         F.col("ts").alias("created"), F.col("event_id").alias("hit_id"))
 
 
-@query("story_top_per_query", f"""
-WITH h AS (SELECT CAST(ts AS DATE) + d AS run_date, event_type AS query,
+STORY_SQL = """
+h AS (SELECT CAST(ts AS DATE) + d AS run_date, event_type AS query,
                   list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS qo,
                   'Historia ' || event_id AS title, 'https://e.example/' || user_id AS url,
                   CAST(floor(value) AS BIGINT) AS points, ts AS created, event_id AS hit_id
@@ -96,7 +100,11 @@ WITH h AS (SELECT CAST(ts AS DATE) + d AS run_date, event_type AS query,
 f AS (SELECT *, CAST(run_date AS TIMESTAMP) + INTERVAL 12 HOUR AS as_of FROM h),
 g AS (SELECT * FROM f WHERE created > as_of - INTERVAL 24 HOUR AND coalesce(points, 0) >= 50),
 top AS (SELECT *, row_number() OVER (PARTITION BY run_date, query ORDER BY created DESC, hit_id) AS hit_pos
-        FROM g QUALIFY hit_pos <= 50)
+        FROM g QUALIFY hit_pos <= 50)"""
+
+
+@query("story_top_per_query", f"""
+WITH {STORY_SQL}
 SELECT run_date, trim(url) AS url, first(title ORDER BY qo, hit_pos) AS title,
        {iso('first(created ORDER BY qo, hit_pos)')} AS published_at, max(coalesce(points, 0)) AS points
 FROM top WHERE regexp_matches(trim(url), '^https?://') GROUP BY run_date, trim(url)

@@ -62,28 +62,34 @@ def read_model_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def model_items(answers: DataFrame, by: tuple[str, ...] = ("edition_date",)) -> DataFrame:
-    """Trending models -> news items, in list order (``item_ordinal``).
+    """Trending-model lists -> news items, in list order (``item_ordinal``)."""
+    e = answers.select(*by, "as_of", F.posexplode("models").alias("item_ordinal", "m"))
+    return model_rows(e.select(*by, "as_of", (F.col("item_ordinal") + 1).alias("item_ordinal"), "m.*"), by)
+
+
+def model_rows(models: DataFrame, by: tuple[str, ...] = ("edition_date",)) -> DataFrame:
+    """S4 on one row per model (``id, modelId, downloads, likes, lastModified,
+    item_ordinal, as_of``).
 
     The id is ``id``, else ``modelId`` (only a missing value falls through, an
     empty one does not); models without an id are dropped. Missing counts
     print ``?``; a missing date becomes the run's ``as_of``, an unreadable one
     is null (sorted last, trap 6). No time window applies to this source.
     """
-    e = answers.select(*by, "as_of", F.posexplode("models").alias("item_ordinal", "m"))
-    mid = F.coalesce(F.col("m.id"), F.col("m.modelId"), F.lit(""))
+    mid = F.coalesce(F.col("id"), F.col("modelId"), F.lit(""))
 
     def count(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(MODEL_UNKNOWN_COUNT))
 
-    return (e.withColumn("_id", mid).where(F.col("_id") != "")
-            .select(*by, "as_of", (F.col("item_ordinal") + 1).alias("item_ordinal"),
+    return (models.withColumn("_id", mid).where(F.col("_id") != "")
+            .select(*by, "as_of", "item_ordinal",
                     F.concat(F.lit(MODEL_TITLE), F.col("_id")).alias("title"),
-                    F.concat(F.lit(MODEL_SNIPPET_DOWNLOADS), count("m.downloads"),
-                             F.lit(MODEL_SNIPPET_LIKES), count("m.likes")).alias("snippet"),
+                    F.concat(F.lit(MODEL_SNIPPET_DOWNLOADS), count("downloads"),
+                             F.lit(MODEL_SNIPPET_LIKES), count("likes")).alias("snippet"),
                     F.concat(F.lit(MODEL_URL), F.col("_id")).alias("url"),
                     F.lit(MODEL_SOURCE).alias("source"),
-                    F.when(F.col("m.lastModified").isNull(), F.col("as_of"))
-                    .otherwise(F.try_to_timestamp(F.col("m.lastModified"))).alias("published_at"),
+                    F.when(F.col("lastModified").isNull(), F.col("as_of"))
+                    .otherwise(F.try_to_timestamp(F.col("lastModified"))).alias("published_at"),
                     F.lit(None).cast("bigint").alias("points")))
 
 
@@ -100,10 +106,12 @@ def unwrap_chat(raw) -> Column:
 def unwrap_cli(raw) -> Column:
     """S10, command-line tool: a non-JSON reply passes through as it is; else
     ``structured_output`` when present (even a JSON null) as JSON text, else a
-    string ``result``, else the whole envelope as JSON text.
+    string ``result``, else the whole envelope.
 
-    JSON text produced here lists object keys in sorted order; every consumer
-    parses it again, so the key order carries no meaning.
+    The whole envelope is returned as received: it parses to the same value as
+    a re-serialisation and keeps the key order. ``structured_output`` is
+    re-serialised from VARIANT, which lists object keys in sorted order; every
+    consumer parses the text again, so key order carries no meaning there.
     """
     r = _c(raw)
     v = F.try_parse_json(r)
@@ -112,7 +120,7 @@ def unwrap_cli(raw) -> Column:
     return (F.when(v.isNull(), r)
             .when(structured.isNotNull(), F.to_json(structured))
             .when(F.schema_of_variant(result) == "STRING", F.variant_get(result, "$", "string"))
-            .otherwise(F.to_json(v)))
+            .otherwise(r))
 
 
 def unwrap_answer(raw, provider) -> Column:
