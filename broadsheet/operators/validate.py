@@ -162,16 +162,22 @@ def drop_invented(items: Column, input_urls: Column) -> Column:
                                        & ~F.array_contains(input_urls, _str(x, "url"))))
 
 
-def check_attempts(attempts: DataFrame, inputs: DataFrame, runs: DataFrame) -> DataFrame:
+def check_attempts(attempts: DataFrame, inputs: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Validate every attempt.
 
     ``attempts(edition_date, attempt, raw)``, ``inputs(edition_date, urls
     array<string>)`` and ``runs(edition_date, date, generated_at, provider)``.
+    When ``attempts`` already carries ``urls`` (or the run columns), pass
+    ``None`` for that table and no join is planned.
     Adds ``v`` (parsed answer), ``items`` (after J2), ``n_in``, ``n_dropped``,
     ``errors`` (sorted rule ids) and ``ok``.
     """
-    a = attempts.join(inputs, "edition_date", "left").join(runs, "edition_date", "left") \
-        .withColumn("v", parse_answer(F.col("raw")))
+    a = attempts
+    if inputs is not None:
+        a = a.join(inputs, "edition_date", "left")
+    if runs is not None:
+        a = a.join(runs, "edition_date", "left")
+    a = a.withColumn("v", parse_answer(F.col("raw")))
     v = F.col("v")
     urls = F.coalesce(F.col("urls"), F.array().cast("array<string>"))
     root_obj = _is_object(_vtype(v))

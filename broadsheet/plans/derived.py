@@ -190,7 +190,7 @@ def edition_runs(cands: DataFrame) -> DataFrame:
                     F.lit("deepseek").alias("provider"))
 
 
-def digest_answers(ranked: DataFrame) -> DataFrame:
+def digest_answers(ranked: DataFrame, with_context: bool = False) -> DataFrame:
     """Model answers per edition, built from its ranked candidates.
 
     Scenario by ``(edition_date - 2024-01-01) % 5``:
@@ -199,6 +199,12 @@ def digest_answers(ranked: DataFrame) -> DataFrame:
     3: three answers with only three items; 4: items is a string, then an
     array root, then rank 1.0 and a string rank. Items are the first 20
     candidates (a bounded list per edition).
+
+    With ``with_context`` every attempt also carries what the checker needs
+    from its edition: the input ``urls`` and the run's ``date``,
+    ``generated_at`` and ``provider``. All of it comes out of one aggregate
+    over the ranked candidates (at most ``cap`` rows per edition), so the
+    checker needs no join.
     """
     cat = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("seq") % 4 + 1).cast("int"))
     item = F.concat(
@@ -209,10 +215,11 @@ def digest_answers(ranked: DataFrame) -> DataFrame:
         F.lit(',"why_it_matters":'), json_string(F.concat(F.lit("Porque "), F.col("position").cast("string"))),
         F.lit(',"url":'), json_string(F.col("url")),
         F.lit(',"source":'), json_string(F.col("source")), F.lit("}"))
-    per = (ranked.where(F.col("position") <= ITEMS_PER_EDITION)
-           .select("edition_date", F.struct("position", item.alias("j")).alias("it"))
-           .groupBy("edition_date").agg(F.array_sort(F.collect_list("it")).alias("its"))
-           .select("edition_date", F.transform("its", lambda x: x["j"]).alias("js")))
+    top = F.col("position") <= ITEMS_PER_EDITION
+    per = (ranked.select("edition_date", "url", F.when(top, F.struct("position", item.alias("j"))).alias("it"))
+           .groupBy("edition_date").agg(F.collect_list("url").alias("urls"),
+                                        F.array_sort(F.collect_list("it")).alias("its"))
+           .select("edition_date", "urls", F.transform("its", lambda x: x["j"]).alias("js")))
     date = F.date_format("edition_date", "yyyy-MM-dd")
     head = F.concat(F.lit('{"date":"'), date, F.lit('","generated_at":"'), date, F.lit(RUN_HOUR),
                     F.lit('","provider":"deepseek","items":'))
@@ -247,4 +254,8 @@ def digest_answers(ranked: DataFrame) -> DataFrame:
                 .when(k == 2, att(bad, plus_invented))
                 .when(k == 3, att(few, few, few))
                 .otherwise(att(F.concat(head, F.lit('"none"}')), F.lit("[1,2]"), odd_ranks)))
-    return per.select("edition_date", F.inline(attempts))
+    if not with_context:
+        return per.select("edition_date", F.inline(attempts))
+    return per.select("edition_date", "urls", date.alias("date"),
+                      F.concat(date, F.lit(RUN_HOUR)).alias("generated_at"), F.lit("deepseek").alias("provider"),
+                      F.inline(attempts))

@@ -149,9 +149,7 @@ def _ranked(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
-    inputs = ranked.groupBy("edition_date").agg(F.collect_list("url").alias("urls"))
-    return V.check_attempts(digest_answers(ranked), inputs, edition_runs(ranked))
+    return V.check_attempts(digest_answers(_ranked(spark, sf_dir), with_context=True))
 
 
 @query("digest_validation", CHECKED_SQL + """
