@@ -17,7 +17,7 @@ from broadsheet.operators.social import attach_item_social, post_coverage
 from broadsheet.operators.validate import PROVIDERS
 from broadsheet.plans.catalog import iso_ts, query
 from broadsheet.plans.derived import EDITION_SPAN_DAYS, EPOCH_DAY, collected, digest_answers, editions
-from broadsheet.plans.queries_accept import ANSWERS_SQL
+from broadsheet.plans.queries_accept import ANSWERS_SQL, CHECKED_SQL
 from broadsheet.plans.queries_ingest import FEED_SQL, STORY_QUERIES, STORY_SQL, feed_entries, story_hits_input
 from broadsheet.plans.queries_rank import _DEDUP_SQL
 from broadsheet.functions.social import _BOLD, _PLAIN
@@ -222,3 +222,32 @@ def post_coverage_q(spark, sf_dir):
     """A10: posts made out of items, per edition."""
     items = _digest_items(spark, sf_dir)
     return post_coverage(attach_item_social(items, _post_responses(items)))
+
+
+@query("edition_documents", CHECKED_SQL + """,
+acc AS (SELECT edition_date, date, generated_at, provider, kept FROM checked WHERE len(errs) = 0 AND attempt <= 3
+        QUALIFY row_number() OVER (PARTITION BY edition_date ORDER BY attempt) = 1),
+acc_items AS (SELECT edition_date, date, generated_at, provider, i AS pos, kept[i] AS x
+              FROM acc, range(1, 21) t(i) WHERE i <= len(kept)),
+ty AS (SELECT *, CAST(json_extract(x, '$.rank') AS INTEGER) AS rank, json_extract_string(x, '$.title') AS title
+       FROM acc_items)
+SELECT edition_date, date, generated_at, provider, count(*) AS n_items,
+       string_agg(CAST(rank AS VARCHAR), ',' ORDER BY pos) AS ranks,
+       first(title ORDER BY pos) AS lead_title,
+       count(*) FILTER (WHERE rank % 5 <> 0 AND rank % 7 <> 0 AND rank % 6 <> 0) AS n_social
+FROM ty GROUP BY edition_date, date, generated_at, provider
+""")
+def edition_documents(spark, sf_dir):
+    """F13 + J6 + document assembly: the first valid answer of each edition
+    becomes its document, posts attached per item; summarised per edition."""
+    from broadsheet.operators import validate as V
+    from broadsheet.operators.edition import accepted_items, assemble_editions
+    from broadsheet.plans.queries_accept import _checked
+    accepted = V.first_valid(_checked(spark, sf_dir))
+    items = accepted_items(accepted)
+    posted = attach_item_social(items, _post_responses(items))
+    docs = assemble_editions(posted, accepted.select("edition_date", "date", "generated_at", "provider"))
+    ranks = F.transform("items", lambda i: i["rank"].cast("string"))
+    return docs.select("edition_date", "date", "generated_at", "provider", F.size("items").alias("n_items"),
+                       F.array_join(ranks, ",").alias("ranks"), F.col("items")[0]["title"].alias("lead_title"),
+                       F.size(F.filter("items", lambda i: i["social"].isNotNull())).alias("n_social"))
