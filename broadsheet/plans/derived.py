@@ -90,9 +90,11 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("source"))
     items = top.groupBy("day").agg(F.collect_list(item).alias("items"))
 
+    # One row per calendar day: the median over all days is a window on that
+    # small table (bounded by the calendar), computed lazily with the query.
     days = ev.groupBy("day").agg(F.max("ts").alias("last_ts"),
-                                 F.count_if(F.col("event_type") == "error").alias("n_errors"))
-    median = days.select(F.percentile("n_errors", 0.5)).scalar()
+                                 F.count_if(F.col("event_type") == "error").alias("n_errors")) \
+        .withColumn("median", F.percentile("n_errors", 0.5).over(Window.partitionBy()))
 
     errs = ev.where(F.col("event_type") == "error").withColumn("r", F.row_number().over(
         Window.partitionBy("day").orderBy(F.col("value").desc(), "event_id"))) \
@@ -115,7 +117,7 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]),
                                  (F.dayofmonth("day") % 2 + 1).cast("int")).alias("provider"),
                     "items",
-                    F.when(F.col("n_errors") > median, F.col("repos")).alias("repos")))
+                    F.when(F.col("n_errors") > F.col("median"), F.col("repos")).alias("repos")))
 
 
 def repo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
