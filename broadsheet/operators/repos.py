@@ -108,14 +108,16 @@ def repo_prompt_line(pos: Column) -> Column:
     return F.concat(pos.cast("string"), F.lit(". "), F.col("name"), meta_line, F.lit("\n   "), desc)
 
 
-def repos_prompt(fresh: DataFrame, pick: int = PICK, header: str = REPOS_PROMPT_HEADER) -> DataFrame:
+def repos_prompt(fresh: DataFrame, pick: int = PICK, header: str = REPOS_PROMPT_HEADER,
+                 limit: int = TRENDING_LIMIT) -> DataFrame:
     """F22 + A7: one prompt per edition, lines in trending order.
 
-    Each edition holds at most ``TRENDING_LIMIT`` rows, so the ordered text
-    aggregation works on a bounded group.
+    The trending source never yields more than ``limit`` rows per edition; the
+    same cap is applied here (a WindowGroupLimit, map-side), so the ordered
+    text aggregation always works on a bounded group.
     """
     w = Window.partitionBy("edition_date").orderBy("seq")
-    lines = fresh.withColumn("i", F.row_number().over(w)).select(
+    lines = fresh.withColumn("i", F.row_number().over(w)).where(F.col("i") <= limit).select(
         "edition_date", F.struct("i", repo_prompt_line(F.col("i")).alias("line")).alias("l"))
     g = lines.groupBy("edition_date").agg(F.array_sort(F.collect_list("l")).alias("ls"))
     return g.select("edition_date", F.concat(F.lit(header.format(pick=pick)),
