@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import collapse_ws
+from broadsheet.operators.dedup import CANDIDATE_CAP
 
 # ---------------------------------------------------------------------------
 # User-message templates.
@@ -52,7 +53,7 @@ def _header(date: Column, generated_at: Column, provider: Column, n: Column) ->
     return F.concat(*out)
 
 
-def digest_prompts(cands: DataFrame, runs: DataFrame, cap: int = 200) -> DataFrame:
+def digest_prompts(cands: DataFrame, runs: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
     """F20 + A7: the base curation prompt of every edition.
 
     ``cands`` has ``edition_date, position, source, points, title, content,
