@@ -31,7 +31,7 @@ META_PATTERNS = [
     r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']""",
     r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+name=["']description["']""",
 ]
-PARAGRAPH_PATTERN = r"(?i)<p[^>]*>([\s\S]*?)</p>"
+PARAGRAPH_PATTERN = r"(?is)<p[^>]*>(.*?)</p>"    # DOTALL "." = any character, like [\s\S]
 MIN_PARAGRAPH_CHARS = 60
 MAX_PARAGRAPHS = 8
 MAX_READABLE_CHARS = 1200
@@ -136,18 +136,39 @@ def strip_tags(col) -> Column:
 
 
 def meta_description(col) -> Column:
-    """the first non-empty capture of the four meta patterns, decoded and trimmed."""
+    """the first non-empty capture of the four meta patterns, decoded and trimmed.
+
+    Every pattern needs the word ``description`` (ASCII case-insensitive), so
+    pages without it skip the four regex scans; the guard cannot reject a page
+    a pattern would match.
+    """
     html = _c(col)
     caps = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in META_PATTERNS]
-    return F.coalesce(js_trim(decode_entities(F.coalesce(*caps))), F.lit(""))
+    found = F.coalesce(js_trim(decode_entities(F.coalesce(*caps))), F.lit(""))
+    return F.when(html.ilike("%description%"), found).otherwise(F.lit(""))
+
+
+def _strip_one(x: Column) -> Column:
+    return F.element_at(strip_tags_all(F.array(x)), 1)
 
 
 def readable_paragraphs(col) -> Column:
-    """T5: the first 8 paragraphs whose stripped text has at least 60 characters."""
-    raw = F.regexp_extract_all(_c(col), F.lit(PARAGRAPH_PATTERN), 1)
-    # stripping never makes a paragraph longer, so short raw ones can go first
-    texts = strip_tags_all(F.filter(raw, lambda r: F.length(r) >= MIN_PARAGRAPH_CHARS))
-    return F.slice(F.filter(texts, lambda t: F.length(t) >= MIN_PARAGRAPH_CHARS), 1, MAX_PARAGRAPHS)
+    """T5: the first 8 paragraphs whose stripped text has at least 60 characters.
+
+    A fold over the paragraphs in page order: once 8 are kept the remaining
+    ones are not stripped at all (``when`` skips the work), as the original
+    loop stops early. Stripping never makes a paragraph longer, so raw ones
+    shorter than 60 characters are dropped before the fold.
+    """
+    raw = F.filter(F.regexp_extract_all(_c(col), F.lit(PARAGRAPH_PATTERN), 1),
+                   lambda r: F.length(r) >= MIN_PARAGRAPH_CHARS)
+
+    def step(kept: Column, r: Column) -> Column:
+        t = _strip_one(r)
+        return F.when(F.size(kept) >= MAX_PARAGRAPHS, kept) \
+            .when(F.length(t) >= MIN_PARAGRAPH_CHARS, F.array_append(kept, t)).otherwise(kept)
+
+    return F.aggregate(raw, F.array().cast("array<string>"), step)
 
 
 def extract_readable(col, max_chars: int = MAX_READABLE_CHARS) -> Column:

@@ -39,3 +39,17 @@ def test_repo_strip_decodes_twice(spark):
 def test_usable_threshold(spark):
     got = one(spark, usable_text(F.col("x")), rows=[("x" * 79,), ("y" * 80,)])
     assert got == [None, "y" * 80]
+
+
+def test_meta_guard_is_case_insensitive(spark):
+    from broadsheet.functions.html import meta_description
+    html = '<META NAME="DESCRIPTION" CONTENT="Upper &amp; case">'
+    assert one(spark, meta_description(F.col("x")), rows=[(html,), ("<p>no meta here</p>",)]) == ["Upper & case", ""]
+
+
+def test_paragraphs_stop_after_eight(spark):
+    from broadsheet.functions.html import readable_paragraphs
+    para = lambda i: f"<P>Paragraph {i:02d} " + "x" * 60 + "</P>"
+    html = "<p>short</p>" + "".join(para(i) for i in range(12)) + "<pre>" + "y" * 70 + "</pre>"
+    got = one(spark, readable_paragraphs(F.col("x")), rows=[(html,)])[0]
+    assert len(got) == 8 and got[0].startswith("Paragraph 00") and got[-1].startswith("Paragraph 07")
