@@ -84,7 +84,8 @@ def rank_per_edition(cands: DataFrame, cap: int = CANDIDATE_CAP, by: Sequence[st
 
 def rank_single_run(cands: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
     """T1 for one run: global top-``cap`` (TakeOrderedAndProject), then positions
-    are numbered over those ``cap`` rows only."""
+    are numbered over those ``cap`` rows only. This is the collect-only output
+    (K2) and the flagship query."""
     top = cands.orderBy(*signal_order()).limit(cap)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*signal_order())))
 

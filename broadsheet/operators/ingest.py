@@ -34,7 +34,7 @@ def window_start(as_of, hours: int = WINDOW_HOURS) -> Column:
 
 
 def map_feed_items(entries: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
-    """P1-P4 on parsed feed entries.
+    """P1-P4 on parsed feed entries: P2 URL rule, P3 window, P4 snippet.
 
     ``entries`` has ``title, link, guid, isoDate, pubDate, contentSnippet,
     content`` (strings) plus ``as_of`` and any carried columns. Drops, in order:

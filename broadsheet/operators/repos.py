@@ -26,7 +26,9 @@ REPOS_PROMPT_HEADER = ("Elige los {pick} repositorios más interesantes y descr
 
 
 def recent_names(published: DataFrame) -> DataFrame:
-    """``(name, edition_date)`` of published repos; empty or missing names ignored."""
+    """``(name, edition_date)`` of published repos; empty or missing names
+    ignored. The set semantics (U1b) come from the anti-join, which ignores
+    duplicates."""
     return published.where(F.col("name").isNotNull() & (F.col("name") != "")) \
         .select("name", "edition_date")
 

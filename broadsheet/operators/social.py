@@ -1,4 +1,4 @@
-"""J-POSTS as tables: post requests out, post answers in.
+"""J-POSTS as tables: post requests out, post answers in.
 
 One post answer per digest item (keyed by rank) and per curated repo (keyed
 by name). Calls are best effort: an answer that is missing, not JSON or JSON

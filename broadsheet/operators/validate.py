@@ -6,8 +6,11 @@ errors we must report. Type tests use ``schema_of_variant``, never a cast
 (``'5'`` casts to 5, ``1.5`` casts to 1). Every rule yields a rule id in one
 ``errors`` array; ``ok`` is ``size(errors) = 0``.
 
-The input-URL set of an edition is bounded by the candidate cap, so it travels
-as one ``array<string>`` per edition next to the attempts.
+The input-URL set of an edition (U1b) is bounded by the candidate cap, so it
+travels as one ``array<string>`` per edition next to the attempts. Attempts are
+the landed model answers (S9): ``responses(edition_date, call_kind, key,
+attempt, raw)``, the other half of the exchange by tables (U2) whose requests
+are written by ``functions.prompts`` and ``operators.social.post_requests``.
 """
 
 from __future__ import annotations
