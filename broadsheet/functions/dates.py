@@ -84,20 +84,28 @@ def edition_path(date_str, prefix: str = "") -> Column:
                     F.lit("/"), F.element_at(parts, 3), F.lit("/"))
 
 
+def _rfc_format(y4: bool, sec: bool, num: bool) -> str:
+    return "d MMM " + ("yyyy" if y4 else "yy") + " HH:mm" + (":ss" if sec else "") + (" Z" if num else " z")
+
+
 def _parse_shapes(body: Column, text: Column) -> Column:
+    """One parse per row. The shape tests form a decision tree (year digits,
+    then seconds, then zone kind), so each regex test runs at most once even
+    though the expression is evaluated outside generated code."""
     rfc = body.rlike(r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{2,4} [0-9]{1,2}:[0-9]{2}")
     year4 = body.rlike(r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} ")
     secs = body.rlike(r" [0-9]{1,2}:[0-9]{2}:[0-9]{2}( |$)")
     offset = body.rlike(r"[+-][0-9]{4}$")
-    out = F.when(~rfc, F.try_to_timestamp(text))
-    for y4 in (True, False):
-        for sec in (True, False):
-            for num in (True, False):
-                fmt = ("d MMM " + ("yyyy" if y4 else "yy") + " HH:mm" + (":ss" if sec else "")
-                       + (" Z" if num else " z"))
-                cond = (year4 if y4 else ~year4) & (secs if sec else ~secs) & (offset if num else ~offset)
-                out = out.when(cond, F.try_to_timestamp(body, F.lit(fmt)))
-    return out
+
+    def by_zone(y4: bool, sec: bool) -> Column:
+        return F.when(offset, F.try_to_timestamp(body, F.lit(_rfc_format(y4, sec, True)))) \
+            .otherwise(F.try_to_timestamp(body, F.lit(_rfc_format(y4, sec, False))))
+
+    def by_secs(y4: bool) -> Column:
+        return F.when(secs, by_zone(y4, True)).otherwise(by_zone(y4, False))
+
+    return F.when(~rfc, F.try_to_timestamp(text)) \
+        .otherwise(F.when(year4, by_secs(True)).otherwise(by_secs(False)))
 
 
 def parse_feed_date(s) -> Column:

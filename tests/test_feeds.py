@@ -36,6 +36,8 @@ def test_parse_feed_date_shapes(spark):
     assert got[2] == dt.datetime(2026, 7, 17, 20, 0)
     assert got[3] == dt.datetime(2026, 7, 17, 20, 0)
     assert got[4] is None and got[5] is None
+    more = one(spark, parse_feed_date(F.col("x")), rows=[("17 Jul 2026 20:00 +0100",), ("Fri, 17 Jul 26 20:00:30 -0130",)])
+    assert more == [dt.datetime(2026, 7, 17, 19, 0), dt.datetime(2026, 7, 17, 21, 30, 30)]
 
 
 def test_rss_scan_window_and_fallbacks(spark):
