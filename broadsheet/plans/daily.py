@@ -15,7 +15,10 @@ an exchange by tables (U2), so the day splits into:
   attempts below the limit give the next prompts.
 
 Every step is one of the library's DataFrame functions; any number of
-editions run at once, and nothing is collected to the driver.
+editions run at once, and nothing is collected to the driver. The two tables
+that several steps read (candidates, checked attempts) are checkpointed in the
+shared ``spark.checkpoint.dir``, so later steps neither recompute them nor
+depend on a long lineage when executors are lost.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from broadsheet.operators.edition import accepted_items, assemble_editions
 from broadsheet.operators.enrich import enrich
 from broadsheet.operators.ingest import map_feed_items, merge_story_hits, run_status, story_hits
 from broadsheet.operators.social import attach_item_social, attach_repo_social, post_requests
+from broadsheet.session import materialize
 from broadsheet.sources.editions import write_editions
 from broadsheet.sources.feeds import feed_entries, parse_feed_docs
 from broadsheet.sources.landed import model_items, story_hit_rows, unwrap_answer
@@ -88,7 +92,9 @@ def prepare(feed_docs: DataFrame, pages: DataFrame, runs: DataFrame, story_answe
     gates = run_status(source_status, merged)
     ready = gates.where(F.col("status") == "ready").select(*BY)
     ranked = rank_per_edition(merged.join(ready, list(BY), "left_semi"), cap=cap)
-    candidates = enrich(ranked, pages, top=enrich_top)
+    # every later step (prompts, answer checks, publishing) reads the
+    # candidates: compute them once and cut the lineage there
+    candidates = materialize(enrich(ranked, pages, top=enrich_top))
     prompts = digest_prompts(candidates, run_meta(runs), cap=cap).select(
         *BY, F.lit(DIGEST_CALL).alias("call_kind"), F.lit("").alias("key"), F.lit(1).alias("attempt"), "prompt")
     return {"collected": collected, "source_status": source_status, "run_status": gates,
@@ -111,7 +117,7 @@ def accept(responses: DataFrame, candidates: DataFrame, runs: DataFrame,
         digest = digest.join(meta.select(*BY, "provider"), list(BY), "left") \
             .withColumn("raw", unwrap_answer(F.col("raw"), F.col("provider"))).drop("provider")
     inputs = candidates.groupBy(*BY).agg(F.collect_list("url").alias("urls"))
-    checked = V.check_attempts(digest.select(*BY, "attempt", "raw"), inputs, meta)
+    checked = materialize(V.check_attempts(digest.select(*BY, "attempt", "raw"), inputs, meta))
     accepted = V.first_valid(checked)
     last = checked.groupBy(*BY).agg(F.max("attempt").alias("attempt"))
     retries = V.retry_prompts(checked.join(last, [*BY, "attempt"], "left_semi"), digest_prompts(candidates, meta)) \

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs depend on for correct results (not tuning):
 #  * UTC session zone, so civil dates are computed explicitly (F16) and
@@ -72,3 +72,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="broadsheet-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that several later steps read: a reliable
+    checkpoint in the shared checkpoint folder (survives lost executors, unlike
+    a local checkpoint), read back as a plain scan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
