@@ -75,6 +75,34 @@ def drop_last_slash(s: Column) -> Column:
     return F.regexp_replace(s, "/\\z", "")
 
 
+# Dot segments as the URL standard spells them (compared lower-cased).
+SINGLE_DOT = (".", "%2e")
+DOUBLE_DOT = ("..", ".%2e", "%2e.", "%2e%2e")
+_DOT_SEGMENT = r"/(\.|%2[eE])"
+
+
+def resolve_path(path: Column) -> Column:
+    """Path of an http(s) URL as the URL standard serialises it: ``\\`` is a
+    separator, single-dot segments vanish, a double-dot segment removes the
+    segment before it, and a dot segment at the end leaves a trailing ``/``.
+    ``path`` starts with ``/``. Paths without a dot segment are returned as
+    they are (after the backslash rule)."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    segs = F.split(F.substring(p, 2, _BIG), "/", -1)
+    n = F.size(segs)
+
+    def step(acc: Column, x: Column) -> Column:
+        low, last = F.lower(x["s"]), x["i"] == n - 1
+        popped = F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return (F.when(low.isin(*DOUBLE_DOT), F.when(last, F.array_append(popped, F.lit(""))).otherwise(popped))
+                .when(low.isin(*SINGLE_DOT), F.when(last, F.array_append(acc, F.lit(""))).otherwise(acc))
+                .otherwise(F.array_append(acc, x["s"])))
+
+    indexed = F.transform(segs, lambda seg, i: F.struct(seg.alias("s"), i.alias("i")))
+    resolved = F.aggregate(indexed, F.array().cast("array<string>"), step)
+    return F.when(p.rlike(_DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(p)
+
+
 def _url_parts(t: Column) -> Column:
     return F.struct(
         t.alias("t"), t.rlike(_URL_PATTERN).alias("ok"),
@@ -91,7 +119,7 @@ def _canonical_from_parts(u: Column) -> Column:
     default_port = ((scheme == "http") & (port == DEFAULT_PORTS["http"])) | \
         ((scheme == "https") & (port == DEFAULT_PORTS["https"]))
     authority = F.when((port != "") & ~default_port, F.concat(host, F.lit(":"), port)).otherwise(host)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    path = resolve_path(F.when(path == "", F.lit("/")).otherwise(path))
 
     pairs = F.filter(F.split(F.substring(query, 2, _BIG), "&"), lambda p: p != "")
     drops = F.exists(pairs, lambda p: _is_tracking_key(_pair_key(p)))
@@ -112,8 +140,9 @@ def canonical_url(col) -> Column:
     ``fbclid`` query keys removed (the rest of the query is then re-serialised
     as form data; untouched when nothing is removed) and one trailing ``/`` of
     the whole string removed. Anything that is not an http(s) URL with a host
-    is returned trimmed. Percent-encoding of raw path characters and dot
-    segments are not rewritten.
+    is returned trimmed. Dot segments and backslashes in the path are resolved
+    as the URL standard does; percent-encoding of raw path characters is not
+    rewritten.
 
     The URL is split once and the parts are bound as a lambda variable, so the
     rebuilding steps never repeat the split.

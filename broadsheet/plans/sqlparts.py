@@ -41,6 +41,20 @@ def _enc(x: str) -> str:
     return f"replace(replace(replace(url_encode({x}), '%20', '+'), '%2A', '*'), '~', '%7E')"
 
 
+def _resolve_path_sql(path: str) -> str:
+    """Dot segments and backslashes of an http(s) path, as F1 resolves them."""
+    p = f"replace({path}, '\\', '/')"
+    segs = f"string_split(substr({p}, 2), '/')"
+    popped = "CASE WHEN len(acc) > 0 THEN acc[1:len(acc) - 1] ELSE acc END"
+    step = (f"lambda acc, x, i: CASE "
+            f"WHEN lower(x) IN ('..', '.%2e', '%2e.', '%2e%2e') THEN "
+            f"(CASE WHEN i = len({segs}) THEN list_append({popped}, '') ELSE {popped} END) "
+            f"WHEN lower(x) IN ('.', '%2e') THEN (CASE WHEN i = len({segs}) THEN list_append(acc, '') ELSE acc END) "
+            f"ELSE list_append(acc, x) END")
+    resolved = f"'/' || array_to_string(list_reduce({segs}, {step}, CAST([] AS VARCHAR[])), '/')"
+    return f"(CASE WHEN regexp_matches({p}, '/(\\.|%2[eE])') THEN {resolved} ELSE {p} END)"
+
+
 def canonical_sql(u: str) -> str:
     """SQL expression for the canonical URL of expression ``u`` (same rules as F1)."""
     t = f"trim({u})"
@@ -51,7 +65,7 @@ def canonical_sql(u: str) -> str:
     port = f"regexp_extract({hostport}, ':([0-9]*)$', 1)"
     default = f"(({scheme} = 'http' AND {port} = '80') OR ({scheme} = 'https' AND {port} = '443'))"
     authority = f"CASE WHEN {port} <> '' AND NOT {default} THEN {host} || ':' || {port} ELSE {host} END"
-    path = f"CASE WHEN ({m}).path = '' THEN '/' ELSE ({m}).path END"
+    path = _resolve_path_sql(f"CASE WHEN ({m}).path = '' THEN '/' ELSE ({m}).path END")
     query = f"({m}).query"
     pairs = f"list_filter(string_split(substr({query}, 2), '&'), lambda p: p <> '')"
     key = "url_decode(split_part(p, '=', 1))"

@@ -82,3 +82,32 @@ def test_signal_order_and_cap(spark):
     assert [r["title"] for r in ranked] == ["hot", "warm", "new", "tie"]
     single = rank_single_run(_items(spark, rows), cap=2).orderBy("position").collect()
     assert [(r["title"], r["position"]) for r in single] == [("hot", 1), ("warm", 2)]
+
+
+DOT_CASES = {
+    "https://x.example/a/./b/../c": "https://x.example/a/c",
+    "https://x.example/a/b/..": "https://x.example/a",
+    "https://x.example/a/b/../?id=1": "https://x.example/a/?id=1",
+    "https://x.example/%2E%2e/x": "https://x.example/x",
+    "https://x.example/a\\b": "https://x.example/a/b",
+    "https://x.example/.well-known/x": "https://x.example/.well-known/x",
+    "https://x.example/..": "https://x.example",
+    "https://x.example/a/%2e/b?utm_source=z": "https://x.example/a/b",
+}
+
+
+def test_canonical_url_dot_segments(spark):
+    got = one(spark, canonical_url(F.col("x")), rows=[(k,) for k in DOT_CASES])
+    assert got == list(DOT_CASES.values())
+
+
+def test_canonical_oracle_agrees_on_tricky_urls(spark):
+    import duckdb
+
+    from broadsheet.plans.sqlparts import canonical_sql
+    urls = list(DOT_CASES) + ["https://Ex.COM:443/a/?utm_x=1&b=%20c#f", "ftp://x/y", "  https://x.example  "]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE u AS SELECT unnest(?::VARCHAR[]) AS url", [urls])
+    want = dict(con.execute(f"SELECT url, {canonical_sql('url')} FROM u").fetchall())
+    got = one(spark, canonical_url(F.col("x")), rows=[(u,) for u in urls])
+    assert got == [want[u] for u in urls]
