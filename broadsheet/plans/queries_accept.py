@@ -161,7 +161,8 @@ FROM checked
 def digest_validation(spark, sf_dir):
     return _checked(spark, sf_dir).select(
         "edition_date", F.col("attempt").cast("int").alias("attempt"), "ok",
-        F.array_join("errors", ";").alias("errors"), "n_in", "n_dropped")
+        F.array_join("errors", ";").alias("errors"), F.col("n_in").cast("bigint").alias("n_in"),
+        F.col("n_dropped").cast("bigint").alias("n_dropped"))
 
 
 @query("foreign_url_drop", ANSWERS_SQL + """
@@ -188,7 +189,7 @@ QUALIFY row_number() OVER (PARTITION BY edition_date ORDER BY attempt) = 1
 """)
 def first_valid_attempt(spark, sf_dir):
     return V.first_valid(_checked(spark, sf_dir)).select(
-        "edition_date", F.col("attempt").cast("int").alias("attempt"), F.size("items").alias("n_items"))
+        "edition_date", F.col("attempt").cast("int").alias("attempt"), F.size("items").cast("bigint").alias("n_items"))
 
 
 def _prompt_sql(final_select: str, base: str = _ENRICH_SQL) -> str:

@@ -95,7 +95,8 @@ def _enriched(spark, sf_dir):
 SELECT edition_date, url, position, content FROM enriched
 """)
 def enriched_candidates(spark, sf_dir):
-    return _enriched(spark, sf_dir).select("edition_date", "url", "position", "content")
+    return _enriched(spark, sf_dir).select("edition_date", "url", F.col("position").cast("bigint").alias("position"),
+                                           "content")
 
 
 @query("enrich_rate", f"""

@@ -17,7 +17,8 @@ CAND_COLS = ["edition_date", "seq", "title", "snippet", "url", "source", "publis
 
 def _out(df, *extra):
     cols = [c for c in CAND_COLS if c in df.columns] + list(extra)
-    return df.select(*[iso_ts(c).alias(c) if c == "published_at" else F.col(c) for c in cols])
+    return df.select(*[iso_ts(c).alias(c) if c == "published_at"
+                       else F.col(c).cast("bigint").alias(c) if c == "position" else F.col(c) for c in cols])
 
 
 @query("canonical_urls", f"""

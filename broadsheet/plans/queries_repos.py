@@ -95,7 +95,8 @@ def source_fallback(spark, sf_dir):
         F.col("p_name").alias("description"), F.col("p_type").alias("language"),
         F.round("p_retailprice").cast("bigint").alias("stars"), F.lit(0).cast("bigint").alias("stars_today"),
         F.lit("search").alias("origin"))
-    return R.with_fallback(scraped, R.top_search(search).select(*cols))
+    return R.with_fallback(scraped, R.top_search(search).select(*cols)) \
+        .withColumn("seq", F.col("seq").cast("bigint"))
 
 
 @query("repos_prompt", f"""

@@ -122,7 +122,8 @@ def candidates_from_sources(spark, sf_dir):
     each run, then the top ``cap`` by signal."""
     u = _sources(spark, sf_dir).withColumnRenamed("run_date", "edition_date")
     r = rank_per_edition(dedup_candidates(u), cap=CANDIDATE_CAP)
-    return r.select("edition_date", "position", "seq", "title", "snippet", "url", "source",
+    return r.select("edition_date", F.col("position").cast("bigint").alias("position"), "seq", "title", "snippet",
+                    "url", "source",
                     iso_ts("published_at").alias("published_at"), "points")
 
 
@@ -248,6 +249,6 @@ def edition_documents(spark, sf_dir):
     posted = attach_item_social(items, _post_responses(items))
     docs = assemble_editions(posted, accepted.select("edition_date", "date", "generated_at", "provider"))
     ranks = F.transform("items", lambda i: i["rank"].cast("string"))
-    return docs.select("edition_date", "date", "generated_at", "provider", F.size("items").alias("n_items"),
+    return docs.select("edition_date", "date", "generated_at", "provider", F.size("items").cast("bigint").alias("n_items"),
                        F.array_join(ranks, ",").alias("ranks"), F.col("items")[0]["title"].alias("lead_title"),
-                       F.size(F.filter("items", lambda i: i["social"].isNotNull())).alias("n_social"))
+                       F.size(F.filter("items", lambda i: i["social"].isNotNull())).cast("bigint").alias("n_social"))
