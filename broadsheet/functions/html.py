@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import JS_SPACE_CLASS, collapse_ws, js_trim
+from broadsheet.functions.text import JS_SPACE_CLASS, collapse_ws, js_trim, replace_matches  # noqa: F401
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -47,21 +47,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def replace_matches(s: Column, pattern: str, decode: Callable[[Column], Column]) -> Column:
-    """Global regex replace where the replacement is ``decode(match)``;
-    ``decode`` returns null to leave a match as it is.
-
-    ``zip_with`` pairs piece i with match i (the last piece gets null), so the
-    text is split and scanned once. Call it on a lambda variable or a column:
-    the input expression appears three times.
-    """
-    pieces = F.split(s, pattern, -1)
-    matches = F.regexp_extract_all(s, F.lit(pattern), 0)
-    stitched = F.zip_with(pieces, matches,
-                          lambda piece, m: F.concat(piece, F.coalesce(decode(m), m, F.lit(""))))
-    return F.when(s.isNull(), s).otherwise(F.array_join(stitched, ""))
-
-
 def map_passes(arr: Column, *passes: Callable[[Column], Column]) -> Column:
     """Apply string passes to every element, one ``transform`` per pass: each
     pass sees its input as a lambda variable, so passes never inline each

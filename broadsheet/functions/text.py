@@ -6,6 +6,8 @@ whole-stage codegen; no Python UDF is involved.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def replace_matches(s: Column, pattern: str, decode: Callable[[Column], Column]) -> Column:
+    """Global regex replace where the replacement is ``decode(match)``;
+    ``decode`` returns null to leave a match as it is.
+
+    ``zip_with`` pairs piece i with match i (the last piece gets null), so the
+    text is split and scanned once. Call it on a lambda variable or a column:
+    the input expression appears three times.
+    """
+    pieces = F.split(s, pattern, -1)
+    matches = F.regexp_extract_all(s, F.lit(pattern), 0)
+    stitched = F.zip_with(pieces, matches,
+                          lambda piece, m: F.concat(piece, F.coalesce(decode(m), m, F.lit(""))))
+    return F.when(s.isNull(), s).otherwise(F.array_join(stitched, ""))
+
+
 # The same class as plain characters: the ASCII ones (exactly Java's \s set)
 # and the non-ASCII ones, which are first mapped to a space with translate().
 _ASCII_SPACES = "\t\n\u000b\f\r "
@@ -75,12 +92,29 @@ def drop_last_slash(s: Column) -> Column:
     return F.regexp_replace(s, "/\\z", "")
 
 
+# Characters the URL standard percent-encodes (as UTF-8) when it serialises an
+# http(s) URL: in the path C0 controls, space, " # < > ? ` { } and everything
+# above "~"; in the query C0 controls, space, " # < > ' and everything above
+# "~". Written as the complement (the printable ASCII characters kept as they
+# are), which is the same set.
+PATH_ENCODE_CLASS = r"[^\x21\x24-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E]"
+QUERY_ENCODE_CLASS = r"[^\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E]"
+
 # Dot segments as the URL standard spells them (compared lower-cased).
 SINGLE_DOT = (".", "%2e")
 DOUBLE_DOT = ("..", ".%2e", "%2e.", "%2e%2e")
 _DOT_SEGMENT = r"/(\.|%2[eE])"
 
 
+def percent_encode(s: Column, char_class: str) -> Column:
+    """Percent-encode (UTF-8, upper-case hex) every character of ``char_class``;
+    everything else, including existing ``%XX`` escapes, stays as it is. Runs
+    of such characters go through ``url_encode``, whose only other change,
+    space to ``+``, is turned into ``%20`` (a run holds no literal ``+``)."""
+    return F.when(s.rlike(char_class), replace_matches(
+        s, char_class + "+", lambda m: F.replace(F.url_encode(m), F.lit("+"), F.lit("%20")))).otherwise(s)
+
+
 def resolve_path(path: Column) -> Column:
     """Path of an http(s) URL as the URL standard serialises it: ``\\`` is a
     separator, single-dot segments vanish, a double-dot segment removes the
@@ -119,14 +153,14 @@ def _canonical_from_parts(u: Column) -> Column:
     default_port = ((scheme == "http") & (port == DEFAULT_PORTS["http"])) | \
         ((scheme == "https") & (port == DEFAULT_PORTS["https"]))
     authority = F.when((port != "") & ~default_port, F.concat(host, F.lit(":"), port)).otherwise(host)
-    path = resolve_path(F.when(path == "", F.lit("/")).otherwise(path))
+    path = percent_encode(resolve_path(F.when(path == "", F.lit("/")).otherwise(path)), PATH_ENCODE_CLASS)
 
     pairs = F.filter(F.split(F.substring(query, 2, _BIG), "&"), lambda p: p != "")
     drops = F.exists(pairs, lambda p: _is_tracking_key(_pair_key(p)))
     kept = F.array_join(
         F.transform(F.filter(pairs, lambda p: ~_is_tracking_key(_pair_key(p))), _serialize_pair), "&")
     new_query = F.when(drops, F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept))) \
-        .otherwise(query)
+        .otherwise(percent_encode(query, QUERY_ENCODE_CLASS))
     is_web = u["ok"] & scheme.isin("http", "https") & (host != "")
     rebuilt = drop_last_slash(F.concat(scheme, F.lit("://"), authority, path, new_query))
     return F.when(is_web, rebuilt).otherwise(u["t"])
@@ -141,8 +175,9 @@ def canonical_url(col) -> Column:
     as form data; untouched when nothing is removed) and one trailing ``/`` of
     the whole string removed. Anything that is not an http(s) URL with a host
     is returned trimmed. Dot segments and backslashes in the path are resolved
-    as the URL standard does; percent-encoding of raw path characters is not
-    rewritten.
+    and raw characters of the path and of an untouched query are
+    percent-encoded, as the URL standard serialises them. Host names are not
+    converted to punycode.
 
     The URL is split once and the parts are bound as a lambda variable, so the
     rebuilding steps never repeat the split.

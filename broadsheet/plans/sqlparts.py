@@ -41,6 +41,18 @@ def _enc(x: str) -> str:
     return f"replace(replace(replace(url_encode({x}), '%20', '+'), '%2A', '*'), '~', '%7E')"
 
 
+# F1 percent-encode sets (see functions/text.py), as SQL string literals.
+_PATH_ENC_SQL = "'[^\\x21\\x24-\\x3B\\x3D\\x40-\\x5F\\x61-\\x7A\\x7C\\x7E]'"
+_QUERY_ENC_SQL = "'[^\\x21\\x24-\\x26\\x28-\\x3B\\x3D\\x3F-\\x7E]'"
+
+
+def _pct_sql(x: str, cls: str) -> str:
+    """Percent-encode the characters of ``cls`` in ``x``, one character at a time."""
+    each = f"lambda ch: CASE WHEN regexp_matches(ch, {cls}) THEN url_encode(ch) ELSE ch END"
+    return (f"(CASE WHEN regexp_matches({x}, {cls}) "
+            f"THEN array_to_string(list_transform(string_split({x}, ''), {each}), '') ELSE {x} END)")
+
+
 def _resolve_path_sql(path: str) -> str:
     """Dot segments and backslashes of an http(s) path, as F1 resolves them."""
     p = f"replace({path}, '\\', '/')"
@@ -65,7 +77,7 @@ def canonical_sql(u: str) -> str:
     port = f"regexp_extract({hostport}, ':([0-9]*)$', 1)"
     default = f"(({scheme} = 'http' AND {port} = '80') OR ({scheme} = 'https' AND {port} = '443'))"
     authority = f"CASE WHEN {port} <> '' AND NOT {default} THEN {host} || ':' || {port} ELSE {host} END"
-    path = _resolve_path_sql(f"CASE WHEN ({m}).path = '' THEN '/' ELSE ({m}).path END")
+    path = _pct_sql(_resolve_path_sql(f"CASE WHEN ({m}).path = '' THEN '/' ELSE ({m}).path END"), _PATH_ENC_SQL)
     query = f"({m}).query"
     pairs = f"list_filter(string_split(substr({query}, 2), '&'), lambda p: p <> '')"
     key = "url_decode(split_part(p, '=', 1))"
@@ -74,7 +86,8 @@ def canonical_sql(u: str) -> str:
     ser = f"{_enc(key)} || '=' || {_enc(f'url_decode({value})')}"
     kept = f"array_to_string(list_transform(list_filter({pairs}, lambda p: NOT {track}), lambda p: {ser}), '&')"
     drops = f"len(list_filter({pairs}, lambda p: {track})) > 0"
-    newq = f"CASE WHEN {drops} THEN (CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END) ELSE {query} END"
+    newq = (f"CASE WHEN {drops} THEN (CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END) "
+            f"ELSE {_pct_sql(query, _QUERY_ENC_SQL)} END")
     rebuilt = f"regexp_replace({scheme} || '://' || {authority} || {path} || {newq}, '/$', '')"
     is_web = f"(regexp_matches({t}, '{URL_RE}') AND {scheme} IN ('http', 'https') AND {host} <> '')"
     return f"(CASE WHEN {is_web} THEN {rebuilt} ELSE {t} END)"

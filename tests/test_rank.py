@@ -96,6 +96,21 @@ DOT_CASES = {
 }
 
 
+ENCODE_CASES = {
+    "https://x.example/año/ñ?q=é": "https://x.example/a%C3%B1o/%C3%B1?q=%C3%A9",
+    "https://x.example/a b": "https://x.example/a%20b",
+    "https://x.example/a%C3%B1o": "https://x.example/a%C3%B1o",
+    "https://x.example/a?q=it's": "https://x.example/a?q=it%27s",
+    "https://x.example/p?utm_source=1&q=a b": "https://x.example/p?q=a+b",
+    "https://x.example/x/../y/{z}": "https://x.example/y/%7Bz%7D",
+}
+
+
+def test_canonical_url_percent_encoding(spark):
+    got = one(spark, canonical_url(F.col("x")), rows=[(k,) for k in ENCODE_CASES])
+    assert got == list(ENCODE_CASES.values())
+
+
 def test_canonical_url_dot_segments(spark):
     got = one(spark, canonical_url(F.col("x")), rows=[(k,) for k in DOT_CASES])
     assert got == list(DOT_CASES.values())
@@ -105,7 +120,7 @@ def test_canonical_oracle_agrees_on_tricky_urls(spark):
     import duckdb
 
     from broadsheet.plans.sqlparts import canonical_sql
-    urls = list(DOT_CASES) + ["https://Ex.COM:443/a/?utm_x=1&b=%20c#f", "ftp://x/y", "  https://x.example  "]
+    urls = list(DOT_CASES) + list(ENCODE_CASES) + ["https://Ex.COM:443/a/?utm_x=1&b=%20c#f", "ftp://x/y", "  https://x.example  "]
     con = duckdb.connect()
     con.execute("CREATE TABLE u AS SELECT unnest(?::VARCHAR[]) AS url", [urls])
     want = dict(con.execute(f"SELECT url, {canonical_sql('url')} FROM u").fetchall())
