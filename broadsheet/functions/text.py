@@ -138,18 +138,25 @@ def resolve_path(path: Column) -> Column:
 
 
 def _url_parts(t: Column) -> Column:
+    # the URL parser drops ASCII tabs and newlines anywhere in its input; an
+    # input it rejects is returned trimmed but otherwise untouched (``t``)
+    c = F.regexp_replace(t, r"[\t\n\r]", "")
     return F.struct(
-        t.alias("t"), t.rlike(_URL_PATTERN).alias("ok"),
-        F.lower(F.regexp_extract(t, _URL_PATTERN, 1)).alias("scheme"),
-        F.lower(F.regexp_extract(t, _URL_PATTERN, 2)).alias("hostport"),
-        F.regexp_extract(t, _URL_PATTERN, 3).alias("path"),
-        F.regexp_extract(t, _URL_PATTERN, 4).alias("query"))
+        t.alias("t"), c.rlike(_URL_PATTERN).alias("ok"),
+        F.lower(F.regexp_extract(c, _URL_PATTERN, 1)).alias("scheme"),
+        F.lower(F.regexp_extract(c, _URL_PATTERN, 2)).alias("hostport"),
+        F.regexp_extract(c, _URL_PATTERN, 3).alias("path"),
+        F.regexp_extract(c, _URL_PATTERN, 4).alias("query"))
 
 
 def _canonical_from_parts(u: Column) -> Column:
     scheme, hostport, path, query = u["scheme"], u["hostport"], u["path"], u["query"]
     host = F.regexp_extract(hostport, r"^(.*?)(:[0-9]*)?$", 1)
-    port = F.regexp_extract(hostport, r":([0-9]*)$", 1)
+    # the port is a number: leading zeros go, above 65535 the URL is rejected
+    port_digits = F.regexp_extract(hostport, r":([0-9]*)$", 1)
+    port_num = F.when(F.length(F.ltrim(port_digits, F.lit("0"))) <= 5, port_digits.try_cast("int"))
+    port = F.when(port_digits == "", F.lit("")).otherwise(port_num.cast("string"))
+    port_ok = (port_digits == "") | (port_num <= 65535)
     default_port = ((scheme == "http") & (port == DEFAULT_PORTS["http"])) | \
         ((scheme == "https") & (port == DEFAULT_PORTS["https"]))
     authority = F.when((port != "") & ~default_port, F.concat(host, F.lit(":"), port)).otherwise(host)
@@ -161,7 +168,7 @@ def _canonical_from_parts(u: Column) -> Column:
         F.transform(F.filter(pairs, lambda p: ~_is_tracking_key(_pair_key(p))), _serialize_pair), "&")
     new_query = F.when(drops, F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept))) \
         .otherwise(percent_encode(query, QUERY_ENCODE_CLASS))
-    is_web = u["ok"] & scheme.isin("http", "https") & (host != "")
+    is_web = u["ok"] & scheme.isin("http", "https") & (host != "") & F.coalesce(port_ok, F.lit(False))
     rebuilt = drop_last_slash(F.concat(scheme, F.lit("://"), authority, path, new_query))
     return F.when(is_web, rebuilt).otherwise(u["t"])
 

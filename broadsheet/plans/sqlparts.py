@@ -70,11 +70,15 @@ def _resolve_path_sql(path: str) -> str:
 def canonical_sql(u: str) -> str:
     """SQL expression for the canonical URL of expression ``u`` (same rules as F1)."""
     t = f"trim({u})"
-    m = f"regexp_extract({t}, '{URL_RE}', ['scheme', 'hostport', 'path', 'query'])"
+    c = f"regexp_replace({t}, '[\\t\\n\\r]', '', 'g')"
+    m = f"regexp_extract({c}, '{URL_RE}', ['scheme', 'hostport', 'path', 'query'])"
     scheme = f"lower(({m}).scheme)"
     hostport = f"lower(({m}).hostport)"
     host = f"regexp_extract({hostport}, '^(.*?)(:[0-9]*)?$', 1)"
-    port = f"regexp_extract({hostport}, ':([0-9]*)$', 1)"
+    digits = f"regexp_extract({hostport}, ':([0-9]*)$', 1)"
+    port_num = f"(CASE WHEN length(ltrim({digits}, '0')) <= 5 THEN TRY_CAST({digits} AS INTEGER) END)"
+    port = f"(CASE WHEN {digits} = '' THEN '' ELSE CAST({port_num} AS VARCHAR) END)"
+    port_ok = f"coalesce({digits} = '' OR {port_num} <= 65535, false)"
     default = f"(({scheme} = 'http' AND {port} = '80') OR ({scheme} = 'https' AND {port} = '443'))"
     authority = f"CASE WHEN {port} <> '' AND NOT {default} THEN {host} || ':' || {port} ELSE {host} END"
     path = _pct_sql(_resolve_path_sql(f"CASE WHEN ({m}).path = '' THEN '/' ELSE ({m}).path END"), _PATH_ENC_SQL)
@@ -89,7 +93,7 @@ def canonical_sql(u: str) -> str:
     newq = (f"CASE WHEN {drops} THEN (CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END) "
             f"ELSE {_pct_sql(query, _QUERY_ENC_SQL)} END")
     rebuilt = f"regexp_replace({scheme} || '://' || {authority} || {path} || {newq}, '/$', '')"
-    is_web = f"(regexp_matches({t}, '{URL_RE}') AND {scheme} IN ('http', 'https') AND {host} <> '')"
+    is_web = f"(regexp_matches({c}, '{URL_RE}') AND {scheme} IN ('http', 'https') AND {host} <> '' AND {port_ok})"
     return f"(CASE WHEN {is_web} THEN {rebuilt} ELSE {t} END)"
 
 

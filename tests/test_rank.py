@@ -103,6 +103,10 @@ ENCODE_CASES = {
     "https://x.example/a?q=it's": "https://x.example/a?q=it%27s",
     "https://x.example/p?utm_source=1&q=a b": "https://x.example/p?q=a+b",
     "https://x.example/x/../y/{z}": "https://x.example/y/%7Bz%7D",
+    "https://x.example:0443/a\tb\n": "https://x.example/ab",
+    "http://x.example:08080/p": "http://x.example:8080/p",
+    "http://x.example:70000/p": "http://x.example:70000/p",
+    "not\ta url": "not\ta url",
 }
 
 
