@@ -16,7 +16,7 @@ from broadsheet.operators.dedup import CANDIDATE_CAP, dedup_candidates, rank_per
 from broadsheet.operators.social import attach_item_social, post_coverage
 from broadsheet.operators.validate import PROVIDERS
 from broadsheet.plans.catalog import iso_ts, query
-from broadsheet.plans.derived import EDITION_SPAN_DAYS, EPOCH_DAY, collected, digest_answers, editions
+from broadsheet.plans.derived import EDITION_SPAN_DAYS, EPOCH_DAY, digest_answers, editions
 from broadsheet.plans.queries_accept import ANSWERS_SQL, CHECKED_SQL
 from broadsheet.plans.queries_ingest import FEED_SQL, STORY_QUERIES, STORY_SQL, feed_entries, story_hits_input
 from broadsheet.plans.queries_rank import _DEDUP_SQL

@@ -4,7 +4,6 @@ checked answers -> written edition."""
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
 
 from broadsheet.plans.daily import accept, prepare, publish
 from broadsheet.sources.editions import read_editions
