@@ -25,11 +25,40 @@ ADAPTIVE_CONF = {
 }
 
 
+# Sizing for large inputs. Shuffles start with enough partitions for about
+# 128 MiB of input each and AQE merges them back to the advisory size, so the
+# same job fits 1 GB and 100 TB; a partition over 5x the median and 256 MiB
+# counts as skewed and is split at join time. Scans read 256 MiB splits.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+CLUSTER_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * TARGET_PARTITION_BYTES),
+    "spark.sql.files.maxPartitionBytes": str(2 * TARGET_PARTITION_BYTES),
+    "spark.sql.adaptive.localShuffleReader.enabled": "true",
+}
+
+
+MAX_SHUFFLE_PARTITIONS = 65536
+
+
+def shuffle_partitions_for(input_bytes: int, minimum: int = 200) -> int:
+    """Initial shuffle partitions for a job reading ``input_bytes``: one per
+    128 MiB of input, at least ``minimum`` and at most 65,536 (more reducers
+    would multiply shuffle blocks and map-status size). The jobs shuffle much
+    less than they read (narrow projections, map-side merges, top-k before the
+    exchange), and AQE coalesces small partitions and splits skewed ones at
+    run time. 100 TB reaches the cap."""
+    return min(MAX_SHUFFLE_PARTITIONS, max(minimum, -(-input_bytes // TARGET_PARTITION_BYTES)))
+
+
 def build_session(master: str | None = None, app: str = "broadsheet",
-                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, extra: dict | None = None,
+                  input_bytes: int | None = None) -> SparkSession:
     """Create (or reuse) a session with the required settings.
 
-    On a cluster pass ``master=None`` and let the launcher decide; locally
+    On a cluster pass ``master=None`` and let the launcher decide, plus the
+    expected ``input_bytes`` to size shuffles (``CLUSTER_CONF``); locally
     pass ``local[N]``. The Spark UI stays off: no port is opened for it.
     """
     b = SparkSession.builder.appName(app)
@@ -37,6 +66,9 @@ def build_session(master: str | None = None, app: str = "broadsheet",
         b = b.master(master)
     conf = {**REQUIRED_CONF, **ADAPTIVE_CONF, "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false"}
+    if input_bytes:
+        conf.update(CLUSTER_CONF)
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions_for(input_bytes))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
