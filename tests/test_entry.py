@@ -26,3 +26,10 @@ def test_every_query_runs(spark):
         df = fn(spark, SMOKE)
         df.write.format("noop").mode("overwrite").save()
         assert df.columns, name
+
+
+def test_cluster_shuffle_sizing():
+    from broadsheet.session import MAX_SHUFFLE_PARTITIONS, shuffle_partitions_for
+    assert shuffle_partitions_for(10**6) == 200
+    assert shuffle_partitions_for(10**12) == 7451          # 1 TB at 128 MiB each
+    assert shuffle_partitions_for(100 * 10**12) == MAX_SHUFFLE_PARTITIONS
