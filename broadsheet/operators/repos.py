@@ -34,10 +34,17 @@ def recent_names(published: DataFrame) -> DataFrame:
 
 
 def blocked_dates(published: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
-    """Dates on which each published name may not appear again (d+1 .. d+days)."""
+    """Dates on which each published name may not appear again (d+1 .. d+days).
+
+    The expansion is de-duplicated (map-side first): the static size estimate
+    of an explode ignores its factor, so the distinct puts a shuffle in front
+    of the anti-join whose measured size, not a guess, decides whether AQE
+    broadcasts this side; when it does not, the join reuses that partitioning
+    on ``(name, edition_date)``.
+    """
     return recent_names(published).select(
         "name", F.explode(F.sequence(F.date_add("edition_date", 1), F.date_add("edition_date", days)))
-        .alias("edition_date"))
+        .alias("edition_date")).distinct()
 
 
 def exclude_recent(trending: DataFrame, published: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
