@@ -79,3 +79,26 @@ def test_enabled_sources_keep_config_order(spark):
         "rss array<struct<id string, name string, url string, enabled boolean, fragile boolean>>")
     got = [(r["source_ordinal"], r["source"], r["fragile"]) for r in enabled_sources(cfg).collect()]
     assert got == [(0, "A", False), (2, "C", True)]
+
+
+def test_config_reader(spark, tmp_path):
+    import json
+
+    from broadsheet.sources.config import enabled_sources, job_parameters, read_config, story_queries
+    cfg = {"user_agent": "ua", "timeout_ms": 5000, "window_hours": 12, "candidate_cap": 50, "enrich_top": 10,
+           "enrich_timeout_ms": 4000,
+           "rss": [{"id": "a", "name": "Feed A", "url": "https://a.example/rss", "enabled": True, "fragile": False},
+                   {"id": "b", "name": "Feed B", "url": "https://b.example/rss", "enabled": False, "fragile": False},
+                   {"id": "c", "name": "Feed C", "url": "https://c.example/atom", "enabled": True, "fragile": True}],
+           "hackernews": {"id": "s", "name": "Stories", "enabled": True, "min_points": 30, "queries": ["x", "y"]},
+           "huggingface_trending": {"id": "m", "name": "Models", "enabled": False, "limit": 5},
+           "github_trending": {"id": "g", "name": "Repos", "enabled": True, "since": "weekly", "limit": 9, "pick": 3}}
+    path = tmp_path / "sources.json"
+    path.write_text(json.dumps(cfg, indent=2))
+    conf = read_config(spark, str(path))
+    feeds = [(r["source_ordinal"], r["source"], r["fragile"]) for r in enabled_sources(conf).orderBy("source_ordinal").collect()]
+    assert feeds == [(0, "Feed A", False), (2, "Feed C", True)]
+    assert [(r["query_ordinal"], r["query"]) for r in story_queries(conf).orderBy("query_ordinal").collect()] == [
+        (1, "x"), (2, "y")]
+    p = job_parameters(conf)
+    assert (p["window_hours"], p["candidate_cap"], p["min_points"], p["models_enabled"], p["pick"]) == (12, 50, 30, False, 3)
