@@ -154,8 +154,8 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = SCALE, b
     rows = written(
         vectors.where(F.col(id_col).isNotNull() & usable(v) & (F.size(v) > 0))
         .select(F.col(id_col).cast("long").alias("vec_id"), F.size(v).alias("dims"), query.alias("asks"),
-                F.when(fits, whole).otherwise(F.raise_error(F.lit("a component is too large to score as a long"))).alias("v")),
-        "quantised")
+                F.when(fits, whole).otherwise(F.raise_error(F.lit("a component is too large to score as a long"))).alias("v"))
+        .dropDuplicates(["vec_id", "v"]), "quantised")
     sizes = written(rows.groupBy("dims").agg(
         F.ceil(F.count("*") / block_rows).alias("blocks"),
         F.ceil(F.greatest(F.lit(1), F.count_if("asks")) / batch_queries).alias("batches")), "sizes")

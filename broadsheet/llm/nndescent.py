@@ -192,8 +192,8 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE
 
     Null and zero vectors and vectors with null or non-finite components take no
     part, nor do rows without an id or with another length than most rows'. Rows
-    with the query's id are its own (a repeated query row is one query); fewer
-    candidates than k: all that the search reaches. An empty table gives no rows.
+    with the query's id are its own; a repeated row counts once; fewer candidates
+    than k: all that the search reaches. An empty table gives no rows.
     Other columns are not read.
     """
     spark = vectors.sparkSession
