@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import collapse_ws
-from broadsheet.operators.dedup import CANDIDATE_CAP
 
 # ---------------------------------------------------------------------------
 # User-message templates.
@@ -53,15 +52,14 @@ def _header(date: Column, generated_at: Column, provider: Column, n: Column) ->
     return F.concat(*out)
 
 
-def digest_prompts(cands: DataFrame, runs: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
+def digest_prompts(cands: DataFrame, runs: DataFrame) -> DataFrame:
     """F20 + A7: the base curation prompt of every edition.
 
     ``cands`` has ``edition_date, position, source, points, title, content,
     snippet, url``; ``runs`` has ``edition_date, date, generated_at, provider``.
-    Only positions up to the candidate ``cap`` are listed (ranking already
-    stops there), so each edition's ordered aggregation stays bounded.
+    Every candidate is listed: ``rank_per_edition`` is the one place for the cap.
     """
-    lines = cands.where(F.col("position") <= cap).select("edition_date", F.struct(
+    lines = cands.select("edition_date", F.struct(
         "position", item_line("position", "source", "points", "title", "content", "snippet", "url")
         .alias("line")).alias("l"))
     g = lines.groupBy("edition_date").agg(F.array_sort(F.collect_list("l")).alias("ls"))

@@ -3,10 +3,10 @@
 The 7-day no-repeat rule is a range condition (published in ``d-7 .. d-1``).
 Written as an equi-join on ``name`` plus a range residual, a repository that
 trends every day would compare all of its rows against all of its history in
-one task. Instead the history side is expanded into the dates it blocks
-(``d+1 .. d+7``, seven rows per publication) and the anti-join is a plain
-equi-join on ``(name, edition_date)``: every key has at most seven rows on
-the blocked side, whatever the skew of names.
+one task. Instead time is cut into buckets of seven days. The seven days that a
+publication blocks touch at most two of them, so the history side has at most
+two rows for a publication, and the anti-join is an equi-join on ``(name,
+bucket)`` with the range as residual, however often a name trends.
 """
 
 from __future__ import annotations
@@ -33,23 +33,21 @@ def recent_names(published: DataFrame) -> DataFrame:
         .select("name", "edition_date")
 
 
-def blocked_dates(published: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
-    """Dates on which each published name may not appear again (d+1 .. d+days).
+def exclude_recent(trending: DataFrame, published: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
+    """Drop trending repos already published in the previous ``days`` editions.
 
-    The expansion is de-duplicated (map-side first): the static size estimate
-    of an explode ignores its factor, so the distinct puts a shuffle in front
-    of the anti-join whose measured size, not a guess, decides whether AQE
-    broadcasts this side; when it does not, the join reuses that partitioning
-    on ``(name, edition_date)``.
+    The history grows with the archive, so it is never broadcast: the hint asks
+    for a shuffle join whoever the caller is.
     """
-    return recent_names(published).select(
-        "name", F.explode(F.sequence(F.date_add("edition_date", 1), F.date_add("edition_date", days)))
-        .alias("edition_date")).distinct()
-
+    def bucket(day: Column) -> Column:
+        return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / days)
 
-def exclude_recent(trending: DataFrame, published: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
-    """Drop trending repos already published in the previous ``days`` editions."""
-    return trending.join(blocked_dates(published, days), ["name", "edition_date"], "left_anti")
+    touched = F.array_distinct(F.array(bucket(F.date_add("edition_date", 1)), bucket(F.date_add("edition_date", days))))
+    hist = recent_names(published).distinct().select(
+        F.col("name").alias("__name"), F.col("edition_date").alias("__published"), F.explode(touched).alias("__bucket"))
+    gap = F.datediff(F.col("edition_date"), F.col("__published"))
+    return trending.join(hist.hint("merge"), (F.col("name") == F.col("__name"))
+                         & (bucket(F.col("edition_date")) == F.col("__bucket")) & gap.between(1, days), "left_anti")
 
 
 def replay_publications(trending: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
@@ -117,16 +115,11 @@ def repo_prompt_line(pos: Column) -> Column:
     return F.concat(pos.cast("string"), F.lit(". "), F.col("name"), meta_line, F.lit("\n   "), desc)
 
 
-def repos_prompt(fresh: DataFrame, pick: int = PICK, header: str = REPOS_PROMPT_HEADER,
-                 limit: int = TRENDING_LIMIT) -> DataFrame:
-    """F22 + A7: one prompt per edition, lines in trending order.
-
-    The trending source never yields more than ``limit`` rows per edition; the
-    same cap is applied here (a WindowGroupLimit, map-side), so the ordered
-    text aggregation always works on a bounded group.
-    """
+def repos_prompt(fresh: DataFrame, pick: int = PICK, header: str = REPOS_PROMPT_HEADER) -> DataFrame:
+    """F22 + A7: one prompt per edition, lines in trending order. Every fresh row is
+    listed; the configured limit applies where the page is read."""
     w = Window.partitionBy("edition_date").orderBy("seq")
-    lines = fresh.withColumn("i", F.row_number().over(w)).where(F.col("i") <= limit).select(
+    lines = fresh.withColumn("i", F.row_number().over(w)).select(
         "edition_date", F.struct("i", repo_prompt_line(F.col("i")).alias("line")).alias("l"))
     g = lines.groupBy("edition_date").agg(F.array_sort(F.collect_list("l")).alias("ls"))
     return g.select("edition_date", F.concat(F.lit(header.format(pick=pick)),

@@ -95,7 +95,7 @@ def prepare(feed_docs: DataFrame, pages: DataFrame, runs: DataFrame, story_answe
     # every later step (prompts, answer checks, publishing) reads the
     # candidates: compute them once and cut the lineage there
     candidates = materialize(enrich(ranked, pages, top=enrich_top))
-    prompts = digest_prompts(candidates, run_meta(runs), cap=cap).select(
+    prompts = digest_prompts(candidates, run_meta(runs)).select(
         *BY, F.lit(DIGEST_CALL).alias("call_kind"), F.lit("").alias("key"), F.lit(1).alias("attempt"), "prompt")
     return {"collected": collected, "source_status": source_status, "run_status": gates,
             "candidates": candidates, "prompts": prompts}
@@ -133,6 +133,6 @@ def publish(accepted: DataFrame, responses: DataFrame, runs: DataFrame, output:
     one document per edition and append the editions not yet written.
     Returns the editions written by this call."""
     items = attach_item_social(accepted_items(accepted), responses)
-    picked = attach_repo_social(repos, responses) if repos is not None else None
+    picked = attach_repo_social(repos, responses).withColumn("seq", F.col("slot")) if repos is not None else None
     docs = assemble_editions(items, run_meta(runs).join(accepted.select(*BY), list(BY), "left_semi"), picked)
     return write_editions(docs, output)

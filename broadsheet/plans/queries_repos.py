@@ -101,13 +101,13 @@ def source_fallback(spark, sf_dir):
 
 @query("repos_prompt", f"""
 WITH {HISTORY_SQL}, {RAW_SQL.format(span=30)},
-blocked AS (SELECT name, edition_date FROM raw r
-            WHERE EXISTS (SELECT 1 FROM h WHERE h.name = CAST(r.seq AS VARCHAR)
+shifted AS (SELECT name, DATE '2023-10-01' + CAST(date_diff('day', DATE '1992-01-01', CAST(edition_date AS DATE)) % 400 AS INTEGER)
+                   AS edition_date FROM h),
+page AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY edition_date ORDER BY seq) <= 25),
+fresh AS (SELECT * FROM page r WHERE NOT EXISTS (SELECT 1 FROM shifted h WHERE h.name = CAST(r.seq AS VARCHAR)
                           AND h.edition_date BETWEEN r.edition_date - INTERVAL 7 DAY
                                                  AND r.edition_date - INTERVAL 1 DAY)),
-fresh AS (SELECT * FROM raw WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.name = raw.name
-                                              AND b.edition_date = raw.edition_date)),
-top AS (SELECT *, row_number() OVER (PARTITION BY edition_date ORDER BY seq) AS i FROM fresh QUALIFY i <= 25),
+top AS (SELECT *, row_number() OVER (PARTITION BY edition_date ORDER BY seq) AS i FROM fresh),
 lines AS (SELECT edition_date, i,
                  i || '. ' || name ||
                  CASE WHEN concat_ws(' · ', nullif(language, ''), CASE WHEN stars <> 0 THEN stars || '★' END) <> ''
@@ -122,12 +122,12 @@ SELECT edition_date,
 FROM lines GROUP BY edition_date
 """)
 def repos_prompt(spark, sf_dir):
-    """Trending rows minus repos published in the previous 7 days (history
-    from ``lineitem`` keyed by part key), first 25 per edition, as a prompt."""
-    raw = repos_raw(spark, sf_dir)
-    hist = repo_history(spark, sf_dir)
-    blocked = R.blocked_dates(hist).withColumnRenamed("name", "key")
-    fresh = raw.withColumn("key", F.col("seq").cast("string")).join(blocked, ["key", "edition_date"], "left_anti")
-    top = fresh.withColumn("i", F.row_number().over(Window.partitionBy("edition_date").orderBy("seq"))) \
-        .where(F.col("i") <= R.TRENDING_LIMIT)
-    return R.repos_prompt(top)
+    """The first 25 trending rows of each edition minus repos published in the
+    previous 7 days, as a prompt. The history comes from ``lineitem``, keyed by part
+    key, its days folded onto 400 days around the editions so that it blocks many."""
+    page = repos_raw(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("edition_date").orderBy("seq"))) \
+        .where(F.col("i") <= R.TRENDING_LIMIT).drop("i")
+    day = F.datediff("edition_date", F.lit("1992-01-01").cast("date")) % 400
+    hist = repo_history(spark, sf_dir).withColumn("edition_date", F.date_add(F.lit("2023-10-01").cast("date"), day))
+    keyed = page.withColumn("label", F.col("name")).withColumn("name", F.col("seq").cast("string"))
+    return R.repos_prompt(R.exclude_recent(keyed, hist).withColumn("name", F.col("label")))

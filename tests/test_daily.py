@@ -4,7 +4,7 @@ checked answers -> written edition."""
 import datetime as dt
 import json
 
-
+from broadsheet.operators.repos import join_picks
 from broadsheet.plans.daily import accept, prepare, publish
 from broadsheet.sources.editions import read_editions
 from broadsheet.sources.landed import STORY_ANSWER_SCHEMA
@@ -55,10 +55,24 @@ def test_daily_edition(spark, tmp_path):
     acc = accept(responses, out["candidates"], runs)
     assert [r["attempt"] for r in acc["accepted"].collect()] == [2]
     assert acc["retry_prompts"].count() == 0 and acc["post_requests"].count() == 6
-    written = publish(acc["accepted"], responses, runs, str(tmp_path / "editions"))
+    trending = spark.createDataFrame([(D, k, f"o/{n}", f"https://g.example/{n}", f"about {n}", "Go", 7) for k, n in enumerate("abc")],
+                                     "edition_date date, seq long, name string, url string, description string, language string, stars long")
+    picks = spark.createDataFrame([(D, 0, "o/c", "c in words"), (D, 1, "o/a", " "), (D, 2, "o/x", "not there")],
+                                  "edition_date date, pos int, name string, description string")
+    written = publish(acc["accepted"], responses, runs, str(tmp_path / "editions"), join_picks(picks, trending))
     assert written.count() == 1
     ed = read_editions(spark, str(tmp_path / "editions")).collect()[0]
     assert ed["date"] == "2026-07-18" and ed["provider"] == "deepseek" and len(ed["items"]) == 6
     assert ed["items"][0]["social"]["x"] == "Gancho\n\n#IA\nhttps://n.example/1" and ed["items"][1]["social"] is None
+    assert [(r["name"], r["description"]) for r in ed["repos"]] == [("o/c", "c in words"), ("o/a", "about a")]
     again = publish(acc["accepted"], responses, runs, str(tmp_path / "editions"))
     assert again.count() == 0
+
+
+def test_retry_prompt_lists_every_candidate(spark):
+    runs = spark.createDataFrame([(D, AS_OF, "DeepSeek")], "edition_date date, as_of timestamp, provider string")
+    cands = spark.createDataFrame([(D, k, f"https://n.example/{k}", "A", None, f"T{k}", None, "S") for k in range(1, 251)],
+                                  "edition_date date, position int, url string, source string, points long, title string, content string, snippet string")
+    bad = spark.createDataFrame([(D, "digest", "", 1, "{}")], "edition_date date, call_kind string, key string, attempt int, raw string")
+    prompt = accept(bad, cands, runs)["retry_prompts"].collect()[0]["prompt"]
+    assert "(250)" in prompt and "250. [A] T250" in prompt

@@ -18,14 +18,16 @@ def test_previous_dates_cross_month_end(spark):
 
 
 def test_exclude_recent_window(spark):
-    published = spark.createDataFrame(
-        [("o/one", D - dt.timedelta(days=1)), ("o/six", D - dt.timedelta(days=6)),
-         ("o/eight", D - dt.timedelta(days=8)), ("", D - dt.timedelta(days=1)), ("o/same", D)],
-        "name string, edition_date date")
-    trending = spark.createDataFrame([(n, D) for n in ["o/one", "o/six", "o/eight", "o/new", "o/same"]],
-                                     "name string, edition_date date")
-    kept = sorted(r["name"] for r in exclude_recent(trending, published).collect())
-    assert kept == ["o/eight", "o/new", "o/same"]
+    """Kept out from the day after publication to the seventh; the eighth is free."""
+    gaps = range(-2, 17)
+    published = spark.createDataFrame([(f"r{g}", D - dt.timedelta(days=g)) for g in gaps] + [("", D), (None, D)] +
+                                      [("r3", D - dt.timedelta(days=3))] * 3, "name string, edition_date date")
+    trending = spark.createDataFrame([(f"r{g}", D, 5) for g in gaps] + [("new", D, 5), ("", D, 5)],
+                                     "name string, edition_date date, bucket int")
+    kept = exclude_recent(trending, published)
+    assert kept.columns == trending.columns
+    assert sorted(r["name"] for r in kept.collect()) == sorted([f"r{g}" for g in gaps if not 1 <= g <= 7] + ["new", ""])
+    assert "BroadcastExchange" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_replay_publishes_every_eighth_day(spark):
