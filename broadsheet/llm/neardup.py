@@ -219,21 +219,19 @@ def components(edges: DataFrame) -> DataFrame:
     component. Each round every node's larger neighbours, then its smaller ones,
     are hooked to the smallest it knows; both steps are joins and minima, so a
     node with very many links is split like any skewed join key. Ends when the
-    links are stars."""
+    links are stars: no node has two smaller neighbours, or smaller and larger ones."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        known = both.groupBy("a").agg(F.count_if(F.col("b") < F.col("a")).alias("low"), F.count_if(F.col("b") > F.col("a")).alias("high"))
+        if known.where("low > 1 or (low = 1 and high > 0)").limit(1).count() == 0:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                         .where("a <> b").distinct(), "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        same = after.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0 and \
-            edges.join(after, ["a", "b"], "left_anti").limit(1).count() == 0
-        edges = after
-        if same:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED,
