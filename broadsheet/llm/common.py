@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,9 +36,20 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def worker_store(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, for caches that
-    several tasks of a worker use."""
-    return sys.modules.setdefault("_broadsheet_llm_worker", types.ModuleType("store")).__dict__.setdefault(name, {})
+    """A dictionary that lives in the Python worker, for caches that several tasks
+    of a worker use. A worker serves one operator after the other; it holds the
+    caches of one at a time, so that a pipeline's stages don't add up."""
+    stores = sys.modules.setdefault("_broadsheet_llm_worker", types.ModuleType("store")).__dict__.setdefault("stores", {})
+    for other in [k for k in stores if k != name]:
+        del stores[other]
+    return stores.setdefault(name, {})
+
+
+def make_room(cache: dict, most: int) -> None:
+    """Drop the older half of a cache that holds ``most`` entries."""
+    if len(cache) >= most:
+        for key in [*islice(cache, most // 2)]:
+            del cache[key]
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, bits: int = 10,

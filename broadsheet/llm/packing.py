@@ -12,7 +12,6 @@ the number gives the sequence and the place in it.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, small_batches, worker_store, written
+from .common import make_room, ranked, small_batches, worker_store, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,7 +30,7 @@ PIECES = "{id} {kind}, piece int, start long, length int, ids binary"
 # Letters that the vocabulary's own rules leave whole: no split, no composition.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|]?)")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-CHUNKS, WORDS = 400_000, 700_000
+CHUNKS, WORDS = 250_000, 350_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,8 +56,7 @@ class Encoder:
         self.letters = byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        with open(path, encoding="utf-8") as f:
-            self.by_chunk = json.load(f)["model"].get("end_of_word_suffix") == "</w>"
+        self.by_chunk = getattr(self.model, "end_of_word_suffix", None) == "</w>"
 
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,8 +66,7 @@ class Encoder:
         if found is None:
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-            if len(self.words) >= WORDS:
-                self.words.clear()
+            make_room(self.words, WORDS)
             if len(word) < 40:
                 self.words[word] = found
         return found
@@ -82,8 +79,7 @@ class Encoder:
             found = self.word(m[1].lower())
             if m[2]:
                 found += self.word(m[2])
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
+        make_room(self.chunks, CHUNKS)
         if len(chunk) < 40:
             self.chunks[chunk] = found
         return found

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_store, written
+from .common import make_room, small_batches, worker_store, written
 
 # Hash buckets for words, their dimensions, and the +-1s of an index vector.
 BUCKETS, DIM, MARKS, REACH = 1 << 15, 64, 4, 2
@@ -29,7 +29,7 @@ BLOCK = 256
 SAMPLE = 20_000
 THRESHOLD = 0.3
 SHAPE = re.compile(r"(\W*)(.*?)(\W*)", re.DOTALL)
-CHUNKS = 400_000
+CHUNKS = 300_000
 TOKENS = 1_000_000
 
 
@@ -65,8 +65,7 @@ class Words:
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         ids = chunk_ids(chunk)
-        if len(self.seen) >= CHUNKS:
-            self.seen.clear()
+        make_room(self.seen, CHUNKS)
         if len(chunk) < 40:
             self.seen[chunk] = ids
         return ids
