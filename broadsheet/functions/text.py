@@ -24,7 +24,7 @@ TRACKING_KEYS = ("ref", "fbclid")
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 # ---------------------------------------------------------------------------
 
-_URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
+_URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\\]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 _BIG = 1 << 30
 
 
@@ -65,8 +65,9 @@ def collapse_ws(col) -> Column:
 
 
 def _form_decode(s: Column) -> Column:
-    """application/x-www-form-urlencoded decoding; malformed escapes stay as text."""
-    return F.coalesce(F.try_url_decode(s), F.regexp_replace(s, r"\+", " "))
+    """application/x-www-form-urlencoded decoding; a malformed escape stays as
+    text, the valid ones beside it are decoded."""
+    return F.try_url_decode(F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _pair_key(p: Column) -> Column:
@@ -144,13 +145,17 @@ def _url_parts(t: Column) -> Column:
     return F.struct(
         t.alias("t"), c.rlike(_URL_PATTERN).alias("ok"),
         F.lower(F.regexp_extract(c, _URL_PATTERN, 1)).alias("scheme"),
-        F.lower(F.regexp_extract(c, _URL_PATTERN, 2)).alias("hostport"),
+        F.regexp_extract(c, _URL_PATTERN, 2).alias("authority"),
         F.regexp_extract(c, _URL_PATTERN, 3).alias("path"),
         F.regexp_extract(c, _URL_PATTERN, 4).alias("query"))
 
 
 def _canonical_from_parts(u: Column) -> Column:
-    scheme, hostport, path, query = u["scheme"], u["hostport"], u["path"], u["query"]
+    scheme, path, query = u["scheme"], u["path"], u["query"]
+    # user info keeps its case; an empty password or empty user info goes
+    user = F.regexp_replace(F.regexp_extract(u["authority"], "^(.*@)", 1), ":?@$", "@")
+    user = F.when(user == "@", F.lit("")).otherwise(user)
+    hostport = F.lower(F.regexp_extract(u["authority"], "([^@]*)$", 1))
     host = F.regexp_extract(hostport, r"^(.*?)(:[0-9]*)?$", 1)
     # the port is a number: leading zeros go, above 65535 the URL is rejected
     port_digits = F.regexp_extract(hostport, r":([0-9]*)$", 1)
@@ -169,7 +174,7 @@ def _canonical_from_parts(u: Column) -> Column:
     new_query = F.when(drops, F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept))) \
         .otherwise(percent_encode(query, QUERY_ENCODE_CLASS))
     is_web = u["ok"] & scheme.isin("http", "https") & (host != "") & F.coalesce(port_ok, F.lit(False))
-    rebuilt = drop_last_slash(F.concat(scheme, F.lit("://"), authority, path, new_query))
+    rebuilt = drop_last_slash(F.concat(scheme, F.lit("://"), user, authority, path, new_query))
     return F.when(is_web, rebuilt).otherwise(u["t"])
 
 

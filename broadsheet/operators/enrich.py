@@ -1,9 +1,9 @@
 """J-ENRICH: article text for the top candidates of each edition.
 
-Order matters for cost: the page side is first narrowed to the canonical URLs
-of the enrichment targets (a semi-join on a key set bounded by 30 per edition),
-so the HTML regexes run only on pages that can be used, and ``html`` is
-projected away right after the text is extracted.
+A page belongs to the edition it was fetched for. Its text is extracted in the
+task that scans it, so no shuffle ever carries ``html``: only the key and the cut
+text meet the targets (at most 30 per edition). That join is an inner one on
+distinct keys, because Catalyst would push a semi-join below the extraction.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from broadsheet.functions.html import extract_readable, usable_text
 from broadsheet.functions.text import canonical_url
 from broadsheet.operators.dedup import ENRICH_TOP
 
+KEY = ["edition_date", "url"]
+
 
 def fetchable(pages: DataFrame) -> DataFrame:
     """Only 2xx answers whose content type mentions html are read."""
@@ -22,21 +24,21 @@ def fetchable(pages: DataFrame) -> DataFrame:
 
 
 def page_texts(pages: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """Usable readable text (F5 + F6) per canonical URL; the first landed page
-    (smallest ``page_id``) stands for its key."""
-    p = fetchable(pages).withColumn("url", canonical_url(F.col("url")))
+    """Usable readable text (F5 + F6) per edition and canonical URL; the first
+    landed page (smallest ``page_id``) stands for its key. ``keys`` are distinct."""
+    t = fetchable(pages).select("edition_date", canonical_url(F.col("url")).alias("url"), "page_id",
+                                usable_text(extract_readable(F.col("html"))).alias("content"))
     if keys is not None:
-        p = p.join(keys, "url", "left_semi")
-    t = p.select("url", "page_id", usable_text(extract_readable(F.col("html"))).alias("content"))
-    return t.groupBy("url").agg(F.min_by("content", "page_id").alias("content"))
+        t = t.join(keys, KEY)
+    return t.groupBy(*KEY).agg(F.min_by("content", "page_id").alias("content"))
 
 
 def enrich(ranked: DataFrame, pages: DataFrame, top: int = ENRICH_TOP) -> DataFrame:
     """T2 + J1: ``content`` for the first ``top`` candidates of each edition,
     null for the rest and for pages without usable text."""
-    targets = ranked.where(F.col("position") <= top).select("url").distinct()
+    targets = ranked.where(F.col("position") <= top).select(*KEY).distinct()
     texts = page_texts(pages, targets)
-    return (ranked.join(texts, "url", "left")
+    return (ranked.join(texts, KEY, "left")
             .withColumn("content", F.when(F.col("position") <= top, F.col("content"))))
 
 

@@ -94,10 +94,12 @@ def merge_story_hits(top: DataFrame, by: tuple[str, ...] = ("run_date",)) -> Dat
 
 def source_status(docs: DataFrame, by: tuple[str, ...] = ("edition_date",)) -> DataFrame:
     """A3 per source: a source succeeds when any of its documents was read;
-    ``n_items`` counts items from readable documents; ``fragile`` is carried."""
+    ``n_items`` counts items from readable documents; ``fragile`` is carried if
+    the documents have it."""
+    fragile = [F.bool_or("fragile").alias("fragile")] if "fragile" in docs.columns else []
     return docs.groupBy(*by, "source").agg(
         F.bool_or("readable").alias("ok"),
-        F.count_if(F.col("readable")).alias("n_items"))
+        F.count_if(F.col("readable")).alias("n_items"), *fragile)
 
 
 def run_status(status: DataFrame, candidates: DataFrame, by: str = "edition_date") -> DataFrame:

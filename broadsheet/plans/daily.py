@@ -60,12 +60,13 @@ def prepare(feed_docs: DataFrame, pages: DataFrame, runs: DataFrame, story_answe
     """Collect, rank, enrich and write prompts for every run in ``runs``.
 
     ``feed_docs(edition_date, as_of, source, source_ordinal, body)``,
-    ``pages(page_id, url, status, content_type, html)`` (``page_id`` in fetch
-    order: the first page of a URL wins), ``runs(edition_date, as_of,
+    ``pages(edition_date, page_id, url, status, content_type, html)`` (``page_id``
+    in fetch order: the first page of an edition's URL wins), ``runs(edition_date, as_of,
     provider)``, optional landed story answers (``read_story_answers``) and
     model lists (``read_model_answers``).
     """
-    parsed = parse_feed_docs(feed_docs)
+    # status and items both read the parsed documents: parse each one once
+    parsed = materialize(parse_feed_docs(feed_docs))
     feeds = map_feed_items(feed_entries(parsed))
     stories = models = None
     status = [parsed.groupBy(*BY, "source").agg(F.bool_or("parsed").alias("ok"))

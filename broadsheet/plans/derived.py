@@ -24,6 +24,10 @@ def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
 
 
+def edition_of_page() -> Column:
+    return F.date_add(F.lit(EPOCH_DAY).cast("date"), (F.col("page_id") % EDITION_SPAN_DAYS).cast("int"))
+
+
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items collected for many editions, built from ``pages``.
 
@@ -52,7 +56,7 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((pid * 53) % 307).cast("bigint").alias("points"),
     ))
     return (p.select(
-        F.date_add(F.lit(EPOCH_DAY).cast("date"), (pid % EDITION_SPAN_DAYS).cast("int")).alias("edition_date"),
+        edition_of_page().alias("edition_date"),
         url_host(F.col("url")).alias("source"),
         F.timestamp_seconds(F.lit(EPOCH_SECONDS) + pid * 60).alias("published_at"),
         F.inline(F.filter(F.array(first, second), lambda x: x.isNotNull())))
@@ -166,13 +170,27 @@ def pages_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     a PDF content type when ``page_id % 13 = 0``, otherwise an HTML 200."""
     p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     return p.select(
-        "page_id", "url",
+        "page_id", edition_of_page().alias("edition_date"), "url",
         F.when(F.col("page_id") % 11 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),
         F.when(F.col("page_id") % 13 == 0, F.lit("application/pdf"))
         .otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
         "html")
 
 
+OTHER_READING = "<p>" + "Lectura de otra jornada. " * 5 + "</p>"
+
+
+def pages_by_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages_in``, and every page with ``page_id % 4 = 1`` once more: fetched for
+    the following edition under ``-page_id`` with another text, so that a join
+    that ignores the edition takes the wrong text."""
+    again = F.when(F.col("page_id") % 4 == 1, F.struct(
+        (-F.col("page_id")).alias("page_id"), F.date_add("edition_date", 1).alias("edition_date"),
+        F.lit(OTHER_READING).alias("html")))
+    return pages_in(spark, sf_dir).select("url", "status", "content_type", F.inline(F.filter(
+        F.array(F.struct("page_id", "edition_date", "html"), again), lambda x: x.isNotNull())))
+
+
 # Fixed values of the derived model answers.
 SORRY = "Lo siento, no puedo ayudar con eso."
 RUN_HOUR = "T06:00:00.000Z"

@@ -9,7 +9,7 @@ from broadsheet.operators import validate as V
 from broadsheet.operators.dedup import CANDIDATE_CAP, dedup_candidates, rank_per_edition
 from broadsheet.operators.enrich import enrich
 from broadsheet.plans.catalog import query
-from broadsheet.plans.derived import collected, digest_answers, edition_runs, pages_in
+from broadsheet.plans.derived import collected, digest_answers, edition_runs, pages_by_edition
 from broadsheet.plans.queries_enrich import ENRICH_TAIL, _ENRICH_SQL
 from broadsheet.plans.queries_rank import _DEDUP_SQL
 
@@ -216,7 +216,7 @@ base AS (SELECT l.edition_date,
 
 def _base_prompts(spark, sf_dir):
     ranked = rank_per_edition(dedup_candidates(collected(spark, sf_dir)), CANDIDATE_CAP)
-    enriched = enrich(ranked, pages_in(spark, sf_dir))
+    enriched = enrich(ranked, pages_by_edition(spark, sf_dir))
     return digest_prompts(enriched, edition_runs(ranked))
 
 

@@ -8,7 +8,7 @@ from broadsheet.functions.html import extract_readable, usable_text
 from broadsheet.operators import enrich as EN
 from broadsheet.operators.dedup import CANDIDATE_CAP, dedup_candidates, rank_per_edition
 from broadsheet.plans.catalog import query
-from broadsheet.plans.derived import collected, pages_in
+from broadsheet.plans.derived import OTHER_READING, collected, pages_by_edition, pages_in
 from broadsheet.plans.queries_rank import _DEDUP_SQL
 from broadsheet.plans.sqlparts import canonical_sql
 
@@ -69,29 +69,40 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY edition_date
                      ORDER BY coalesce(points, 0) DESC, published_at DESC, seq) AS position FROM merged),
 cand AS (SELECT * FROM ranked WHERE position <= {CANDIDATE_CAP})"""
 
-# Continues a WITH list that already defines ``cand``.
-ENRICH_TAIL = f"""
-targets AS (SELECT DISTINCT url FROM cand WHERE position <= 30),
-pin AS (SELECT page_id, {canonical_sql('url')} AS url, html FROM pages
-        WHERE page_id % 11 <> 0 AND page_id % 13 <> 0),
-pt AS (SELECT page_id, url, html FROM pin WHERE url IN (SELECT url FROM targets)),
+
+def enrich_tail(top: int) -> str:
+    """Continues a WITH list that already defines ``cand``."""
+    return f"""
+fetched AS (SELECT page_id, url, html, CAST(date '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS DATE) AS edition_date FROM pages
+            WHERE page_id % 11 <> 0 AND page_id % 13 <> 0),
+pin AS (SELECT page_id, edition_date, {canonical_sql('url')} AS url, html FROM (
+        SELECT page_id, edition_date, url, html FROM fetched
+        UNION ALL SELECT -page_id, CAST(edition_date + 1 AS DATE), url, '{OTHER_READING}' FROM fetched WHERE page_id % 4 = 1)),
+pt AS (SELECT p.page_id, p.edition_date, p.url, p.html FROM pin p JOIN cand c
+       ON p.edition_date = c.edition_date AND p.url = c.url AND c.position <= {top}),
 {READABLE_SQL.format(src='pt')},
-texts AS (SELECT pt.url, first(CASE WHEN length(r.readable) >= 80 THEN r.readable END ORDER BY pt.page_id) AS content
-          FROM pt JOIN readable r USING (page_id) GROUP BY pt.url),
+texts AS (SELECT pt.edition_date, pt.url,
+                 first(CASE WHEN length(r.readable) >= 80 THEN r.readable END ORDER BY pt.page_id) AS content
+          FROM pt JOIN readable r USING (page_id) GROUP BY pt.edition_date, pt.url),
 enriched AS (SELECT c.edition_date, c.url, c.position,
-                    CASE WHEN c.position <= 30 THEN t.content END AS content
-             FROM cand c LEFT JOIN texts t USING (url))"""
+                    CASE WHEN c.position <= {top} THEN t.content END AS content
+             FROM cand c LEFT JOIN texts t USING (edition_date, url))"""
+
 
+ENRICH_TAIL = enrich_tail(EN.ENRICH_TOP)
 _ENRICH_SQL = RANKED_SQL + "," + ENRICH_TAIL
+# A configured limit below the size of an edition, so that T2 cuts.
+FEW = 5
+_FEW_SQL = RANKED_SQL + "," + enrich_tail(FEW)
 
 
 def _enriched(spark, sf_dir):
     ranked = rank_per_edition(dedup_candidates(collected(spark, sf_dir)), CANDIDATE_CAP)
-    return EN.enrich(ranked, pages_in(spark, sf_dir))
+    return EN.enrich(ranked, pages_by_edition(spark, sf_dir), top=FEW)
 
 
 @query("enriched_candidates", f"""
-{_ENRICH_SQL}
+{_FEW_SQL}
 SELECT edition_date, url, position, content FROM enriched
 """)
 def enriched_candidates(spark, sf_dir):
@@ -100,9 +111,9 @@ def enriched_candidates(spark, sf_dir):
 
 
 @query("enrich_rate", f"""
-{_ENRICH_SQL}
-SELECT edition_date, count(*) AS n_targets, count(content) AS n_ok FROM enriched WHERE position <= 30
+{_FEW_SQL}
+SELECT edition_date, count(*) AS n_targets, count(content) AS n_ok FROM enriched WHERE position <= {FEW}
 GROUP BY edition_date
 """)
 def enrich_rate(spark, sf_dir):
-    return EN.enrich_rate(_enriched(spark, sf_dir))
+    return EN.enrich_rate(_enriched(spark, sf_dir), top=FEW)

@@ -6,13 +6,15 @@ parquet files during the day. The A1 merge is a streaming aggregate keyed by
 run's merged rows stay in the state store until the watermark passes the run
 instant, then they are emitted once (append mode) and the state is dropped.
 All rows of one run leave in the same micro-batch, so ``foreachBatch`` can
-rank them exactly (T1) and append them to a table partitioned by
-``edition_date``.
+rank them exactly (T1) and write them to a table partitioned by ``as_of`` and
+``edition_date``. A run is emitted once a run later than it by the lateness has
+landed; items that land after that are left to the batch job.
 
 State is one row per (run, URL), bounded by what one run collects. The
 stream's checkpoint lives under the shared ``spark.checkpoint.dir``, so a
 restarted query (or one whose executors were lost) resumes from its last
-committed batch, and the append sink is idempotent per batch id.
+committed batch. The last batch may then run a second time: it overwrites the
+partitions of its own runs, so no row appears twice.
 """
 
 from __future__ import annotations
@@ -48,20 +50,22 @@ def merged_stream(items: DataFrame, lateness: str = DEFAULT_LATENESS) -> DataFra
                        by=("as_of", "edition_date"))
 
 
+def write_batch(batch: DataFrame, output: str, cap: int = CANDIDATE_CAP) -> None:
+    """Rank per run (two runs of one edition may close in the same batch) and
+    replace the partitions of these runs. A run closes in one batch, so its
+    partitions are whole and a replay writes the same rows again."""
+    ranked = rank_per_edition(batch, cap=cap, by=("as_of", "edition_date"))
+    (ranked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("as_of", "edition_date").parquet(output))
+
+
 def start_candidates_stream(spark: SparkSession, landing: str, output: str, name: str = "candidates",
                             cap: int = CANDIDATE_CAP, lateness: str = DEFAULT_LATENESS,
                             available_now: bool = False) -> StreamingQuery:
-    """Run the stream: merged runs are ranked per batch and appended to
-    ``output`` (parquet, partitioned by ``edition_date``)."""
-
-    def rank_batch(batch: DataFrame, batch_id: int) -> None:
-        # rank per run: two runs of one edition may close in the same batch
-        ranked = rank_per_edition(batch, cap=cap, by=("as_of", "edition_date"))
-        (ranked.write.mode("append").option("txnVersion", batch_id).option("txnAppId", name)
-         .partitionBy("edition_date").parquet(output))
-
+    """Run the stream: merged runs are ranked per batch and written to
+    ``output`` (parquet, partitioned by ``as_of`` and ``edition_date``)."""
     w = (merged_stream(read_landed(spark, landing), lateness).writeStream
-         .outputMode("append").foreachBatch(rank_batch)
+         .outputMode("append").foreachBatch(lambda batch, _: write_batch(batch, output, cap))
          .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

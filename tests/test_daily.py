@@ -34,8 +34,9 @@ def test_daily_edition(spark, tmp_path):
         [(D, AS_OF, "ai", 1, [("Dup", "https://n.example/1?utm_source=hn", 120, int(AS_OF.timestamp()) - 60, "9")])],
         STORY_ANSWER_SCHEMA)
     para = "<p>" + "Texto largo del articulo. " * 5 + "</p>"
-    pages = spark.createDataFrame([(1, "https://n.example/1", 200, "text/html", f"<html>{para}</html>")],
-                                  "page_id long, url string, status int, content_type string, html string")
+    pages = spark.createDataFrame([(0, D - dt.timedelta(1), "https://n.example/1", 200, "text/html", f"<html>{para.replace('Texto', 'Ayer')}</html>"),
+                                   (1, D, "https://n.example/1", 200, "text/html", f"<html>{para}</html>")],
+                                  "page_id long, edition_date date, url string, status int, content_type string, html string")
     out = prepare(docs, pages, runs, story_answers=stories)
     status = {r["source"]: (r["ok"], r["n_items"]) for r in out["source_status"].collect()}
     assert status == {"Feed A": (True, 8), "Feed B": (False, 0), "Hacker News": (True, 1)}

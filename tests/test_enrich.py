@@ -53,3 +53,29 @@ def test_paragraphs_stop_after_eight(spark):
     html = "<p>short</p>" + "".join(para(i) for i in range(12)) + "<pre>" + "y" * 70 + "</pre>"
     got = one(spark, readable_paragraphs(F.col("x")), rows=[(html,)])[0]
     assert len(got) == 8 and got[0].startswith("Paragraph 00") and got[-1].startswith("Paragraph 07")
+
+
+def test_text_belongs_to_the_edition_and_html_is_not_shuffled(spark):
+    import datetime as dt
+
+    from broadsheet.operators.enrich import enrich
+    d1, d2 = dt.date(2026, 7, 1), dt.date(2026, 7, 2)
+    ranked = spark.createDataFrame([(d, u, k) for d in (d1, d2) for k, u in enumerate(("https://n.example/a", "https://n.example/b"), 1)],
+                                   "edition_date date, url string, position int")
+    page = lambda day: f"<p>{LONG} Day {day}, read once more.</p>"
+    pages = spark.createDataFrame(
+        [(1, d1, "https://n.example/a", 200, "text/html", page(1)), (2, d2, "https://n.example/a?utm_source=x", 200, "text/html", page(2)),
+         (3, d1, "https://n.example/b", 200, "text/html", page(1)), (4, d1, "https://n.example/a", 200, "text/html", page(9))],
+        "page_id long, edition_date date, url string, status int, content_type string, html string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = enrich(ranked, pages, top=1)
+        rows = {(r["edition_date"], r["position"]): r["content"] for r in got.collect()}
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Day 1" in rows[d1, 1] and "Day 2" in rows[d2, 1] and rows[d1, 2] is None and rows[d2, 2] is None
+    joins = [i for i, line in enumerate(plan.splitlines()) if "Join" in line]
+    extract = [i for i, line in enumerate(plan.splitlines()) if "<p" in line]
+    assert joins and extract and min(extract) > max(joins)

@@ -130,3 +130,16 @@ def test_canonical_oracle_agrees_on_tricky_urls(spark):
     want = dict(con.execute(f"SELECT url, {canonical_sql('url')} FROM u").fetchall())
     got = one(spark, canonical_url(F.col("x")), rows=[(u,) for u in urls])
     assert got == [want[u] for u in urls]
+
+
+def test_canonical_url_user_info_backslash_and_mixed_escapes(spark):
+    cases = {
+        "https://User:Pass@Host.com/a": "https://User:Pass@host.com/a",
+        "https://User:@Host.com/a": "https://User@host.com/a",
+        "https://:@Host.com:443/a": "https://host.com/a",
+        "https://h.com\\a\\b/": "https://h.com/a/b",
+        "https://h.com/s?q=%zz%20y&ref=1": "https://h.com/s?q=%25zz+y",
+        "https://h.com/s?q=100%&b=%C3%A9&utm_source=x": "https://h.com/s?q=100%25&b=%C3%A9",
+    }
+    got = one(spark, canonical_url(F.col("x")), rows=[(k,) for k in cases])
+    assert got == list(cases.values())

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from broadsheet.operators.dedup import dedup_candidates, rank_per_edition
-from broadsheet.streaming.candidates import LANDED_SCHEMA, start_candidates_stream
+from broadsheet.streaming.candidates import LANDED_SCHEMA, start_candidates_stream, write_batch
 
 RUN1 = dt.datetime(2026, 7, 17, 5, 0)
 RUN2 = dt.datetime(2026, 7, 18, 5, 0)
@@ -36,3 +36,12 @@ def test_stream_matches_batch(spark, tmp_path):
     cols = ["edition_date", "seq", "title", "snippet", "url", "source", "published_at", "points", "position"]
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
     assert got.count() == 5
+
+
+def test_a_replayed_batch_writes_no_row_twice(spark, tmp_path):
+    out = str(tmp_path / "out")
+    items = spark.createDataFrame(_items(RUN1, RUN1.date(), 20) + _items(RUN2, RUN2.date(), 9), LANDED_SCHEMA)
+    for run in (RUN1, RUN2, RUN2):
+        write_batch(items.where(F.col("as_of") == F.lit(run)), out, cap=5)
+    got = spark.read.parquet(out)
+    assert sorted((r["as_of"], r["position"]) for r in got.collect()) == [(r, k) for r in (RUN1, RUN2) for k in range(1, 6)]
