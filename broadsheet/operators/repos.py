@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.dates import REPO_LOOKBACK_DAYS
+from broadsheet.functions.social import string_or, strip_fences
 from broadsheet.functions.text import js_trim
 
-# Trending repos read per edition, repos picked, placeholder text.
+# Call kind of the repo call, trending repos read per edition,
+# repos picked, placeholder text.
+REPOS_CALL = "repos"
 TRENDING_LIMIT = 25
 PICK = 5
 NO_DESCRIPTION = "(sin descripción)"
@@ -33,6 +36,12 @@ def recent_names(published: DataFrame) -> DataFrame:
         .select("name", "edition_date")
 
 
+def published_repos(editions: DataFrame) -> DataFrame:
+    """A6 input: ``(name, edition_date)`` of every repo in read editions."""
+    return editions.select(F.to_date("date").alias("edition_date"), F.explode("repos").alias("r")) \
+        .select(F.col("r.name").alias("name"), "edition_date")
+
+
 def exclude_recent(trending: DataFrame, published: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
     """Drop trending repos already published in the previous ``days`` editions.
 
@@ -71,6 +80,25 @@ def replay_publications(trending: DataFrame, days: int = REPO_LOOKBACK_DAYS) ->
     return per_name.select("name", F.explode(F.aggregate("ds", init, step)["out"]).alias("edition_date"))
 
 
+def answer_picks(responses: DataFrame) -> DataFrame:
+    """Landed answers of the repo call -> ``edition_date, key, pos, name, description``.
+
+    The call is made once, so only attempt 1 counts. Fences go, ``repos`` must be
+    a list; entries whose name is not a string are left out, a description that is
+    not a string is null, repeated names stay. Text that is not JSON, a missing
+    or other ``repos`` and a list with a null entry give no picks.
+    """
+    null = F.lit(None).cast("string")
+    entries = F.try_variant_get(F.try_parse_json(strip_fences(F.col("raw"))), "$.repos", "array<variant>")
+    r = responses.where((F.col("call_kind") == REPOS_CALL) & (F.col("attempt") == 1)) \
+        .select("edition_date", "key", entries.alias("entries")) \
+        .where(~F.exists("entries", lambda x: x.isNull() | F.is_variant_null(x)))
+    return (r.select("edition_date", "key", F.posexplode("entries").alias("pos", "e"))
+            .select("edition_date", "key", "pos", string_or("e", "$.name", null).alias("name"),
+                    string_or("e", "$.description", null).alias("description"))
+            .where(F.col("name").isNotNull()))
+
+
 def join_picks(picks: DataFrame, trending: DataFrame, pick: int = PICK) -> DataFrame:
     """J4 + W6: model picks joined back to the trending rows of the same edition.
 

@@ -33,6 +33,8 @@ from broadsheet.operators.dedup import CANDIDATE_CAP, ENRICH_TOP, dedup_candidat
 from broadsheet.operators.edition import accepted_items, assemble_editions
 from broadsheet.operators.enrich import enrich
 from broadsheet.operators.ingest import map_feed_items, merge_story_hits, run_status, story_hits
+from broadsheet.operators.repos import (
+    PICK, REPOS_CALL, answer_picks, exclude_recent, join_picks, published_repos, repos_prompt, top_search, with_fallback)
 from broadsheet.operators.social import attach_item_social, attach_repo_social, post_requests
 from broadsheet.session import materialize
 from broadsheet.sources.editions import write_editions
@@ -127,6 +129,26 @@ def accept(responses: DataFrame, candidates: DataFrame, runs: DataFrame,
             "post_requests": post_requests(accepted_items(accepted))}
 
 
+def prepare_repos(scraped: DataFrame, searched: DataFrame | None = None, archive: DataFrame | None = None,
+                  pick: int = PICK) -> dict[str, DataFrame]:
+    """J-REPOS before the model: trending rows (``parse_trending``), or the search
+    (``search_repos``) for editions without any, less what the read editions of
+    ``archive`` published in the previous seven days, and one prompt per edition."""
+    rows = with_fallback(scraped, top_search(searched)) if searched is not None else scraped
+    fresh = materialize(exclude_recent(rows, published_repos(archive)) if archive is not None else rows)
+    prompts = repos_prompt(fresh, pick).select(
+        *BY, F.lit(REPOS_CALL).alias("call_kind"), F.lit("").alias("key"), F.lit(1).alias("attempt"), "prompt")
+    return {"trending": fresh, "prompts": prompts}
+
+
+def accept_repos(responses: DataFrame, trending: DataFrame, pick: int = PICK) -> dict[str, DataFrame]:
+    """J-REPOS after the model: the landed repo answers joined back to the fresh
+    trending rows, at most ``pick`` per edition, ready for ``publish``, and the
+    post requests of these picks."""
+    picks = join_picks(answer_picks(responses), trending, pick)
+    return {"picks": picks, "post_requests": post_requests(repos=picks)}
+
+
 def publish(accepted: DataFrame, responses: DataFrame, runs: DataFrame, output: str,
             repos: DataFrame | None = None) -> DataFrame:
     """J-POSTS + K1: attach the landed post answers (best effort) to the

@@ -66,6 +66,36 @@ def repo_picks_query(spark, sf_dir):
         .withColumn("slot", F.col("slot").cast("int"))
 
 
+def _repo_answers(spark, sf_dir):
+    """One answer for each order: whole, fenced, or broken in one of five ways."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    first = F.concat(F.lit('{"name":"o/'), cust, F.lit('","description":"'), F.col("o_orderpriority"), F.lit('"}'))
+    entries = F.concat(first, F.lit(',{"name":'), cust, F.lit(',"description":"n"},{"name":"x/'), key,
+                       F.lit('","description":5},'), first)
+    whole = F.concat(F.lit('{"repos":['), entries, F.lit("]}"))
+    k = F.col("o_orderkey") % 7
+    raw = (F.when(k == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+           .when(k == 1, F.concat(F.lit("Elijo "), entries))
+           .when(k == 2, F.lit('{"repos":"o/1"}'))
+           .when(k == 3, F.lit('{"items":[]}'))
+           .when(k == 4, F.concat(F.lit('{"repos":['), entries, F.lit(",null]}")))
+           .when(k == 5, F.concat(F.lit("["), entries, F.lit("]"))).otherwise(whole))
+    return o.select(F.lit("2024-01-01").cast("date").alias("edition_date"), F.lit(R.REPOS_CALL).alias("call_kind"),
+                    key.alias("key"), F.lit(1).alias("attempt"), raw.alias("raw"))
+
+
+@query("repo_answers", """
+WITH a AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 7 IN (0, 6))
+SELECT key, 0 AS pos, 'o/' || o_custkey AS name, o_orderpriority AS description FROM a
+UNION ALL SELECT key, 2, 'x/' || key, NULL FROM a
+UNION ALL SELECT key, 3, 'o/' || o_custkey, o_orderpriority FROM a
+""")
+def repo_answers(spark, sf_dir):
+    """Answers to picks (fences, non-string names and descriptions, repeats, broken answers)."""
+    return R.answer_picks(_repo_answers(spark, sf_dir)).select("key", "pos", "name", "description")
+
+
 @query("source_fallback", f"""
 WITH {RAW_SQL.format(span=20)},
 scraped0 AS (SELECT edition_date, name, url, description, language, stars, stars_today, 'scrape' AS origin,

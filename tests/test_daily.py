@@ -4,8 +4,7 @@ checked answers -> written edition."""
 import datetime as dt
 import json
 
-from broadsheet.operators.repos import join_picks
-from broadsheet.plans.daily import accept, prepare, publish
+from broadsheet.plans.daily import accept, accept_repos, prepare, prepare_repos, publish
 from broadsheet.sources.editions import read_editions
 from broadsheet.sources.landed import STORY_ANSWER_SCHEMA
 
@@ -58,9 +57,16 @@ def test_daily_edition(spark, tmp_path):
     assert acc["retry_prompts"].count() == 0 and acc["post_requests"].count() == 6
     trending = spark.createDataFrame([(D, k, f"o/{n}", f"https://g.example/{n}", f"about {n}", "Go", 7) for k, n in enumerate("abc")],
                                      "edition_date date, seq long, name string, url string, description string, language string, stars long")
-    picks = spark.createDataFrame([(D, 0, "o/c", "c in words"), (D, 1, "o/a", " "), (D, 2, "o/x", "not there")],
-                                  "edition_date date, pos int, name string, description string")
-    written = publish(acc["accepted"], responses, runs, str(tmp_path / "editions"), join_picks(picks, trending))
+    archive = spark.createDataFrame([((D - dt.timedelta(days=3)).isoformat(), [("o/b",)]), ((D - dt.timedelta(days=8)).isoformat(), [("o/a",)])],
+                                    "date string, repos array<struct<name string>>")
+    repos = prepare_repos(trending, archive=archive)
+    assert "o/b" not in repos["prompts"].collect()[0]["prompt"] and repos["trending"].count() == 2
+    picked = spark.createDataFrame([(D, "repos", "", 1, json.dumps({"repos": [
+        {"name": "o/c", "description": "c in words"}, {"name": 7}, {"name": "o/a", "description": 5}, {"name": "o/b", "description": "kept out"}]}))],
+        responses.schema)
+    chosen = accept_repos(picked, repos["trending"])
+    assert sorted(r["key"] for r in chosen["post_requests"].collect()) == ["o/a", "o/c"]
+    written = publish(acc["accepted"], responses, runs, str(tmp_path / "editions"), chosen["picks"])
     assert written.count() == 1
     ed = read_editions(spark, str(tmp_path / "editions")).collect()[0]
     assert ed["date"] == "2026-07-18" and ed["provider"] == "deepseek" and len(ed["items"]) == 6
