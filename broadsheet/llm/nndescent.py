@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: NN-descent graph and greedy search.
 
-Equal vectors are one node. Nodes start with the best neighbours of small random
-cells (signs of random projections, split further where a cell is crowded). Then,
+Equal vectors are one node; vectors of each length are searched by themselves.
+Nodes start with the best neighbours of small random cells (signs of random
+projections, split further where a cell is crowded) and of parts dealt by hash, so
+that a node alone in its cells has neighbours as well. Then,
 round by round, the graph is joined with itself: each node brings its neighbours
 and a sample of those that name it together, compares them pairwise, and proposes
 pairs that beat what either end holds; every node keeps its best. Queries walk
-the graph greedily: from the query's own node, the best unexpanded nodes' lists
+the graph greedily: from the query's own node and some drawn by hash, the best unexpanded nodes' lists
 are joined in, scored, and the best kept, hop by hop. Both work on vectors
 rounded to one byte a component with a scale of their own; the nodes that the
 search keeps are scored again exactly, in double precision, on the original
@@ -27,6 +29,7 @@ from .common import small_batches, written
 
 DEGREE, REVERSE, ROUNDS = 32, 24, 6
 CELLS, CELL = 3, 128
+DEALS, ENTRIES = 2, 16
 PROPOSE = 6
 BEAM, WIDTH, HOPS = 128, 16, 8
 SAMPLE = 4096
@@ -77,6 +80,12 @@ def cells(nodes: DataFrame, count: int, dims: int, seed: int) -> DataFrame:
     return dealt.join(crowd, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), "parts"))
 
 
+def deals(nodes: DataFrame, count: int, seed: int) -> DataFrame:
+    """``node, code, scale, cell, part``: parts of about CELL nodes dealt by hash."""
+    part = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, count // CELL)))
+    return nodes.select("node", "code", "scale", F.lit(0).cast("long").alias("cell"), part.alias("part"))
+
+
 def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's k largest entries."""
     k = min(k, score.shape[1])
@@ -114,8 +123,9 @@ def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, reverse: int
 
     edge = "u long, w long, s float, fresh int"
     first = None
-    for t in range(CELLS):
-        got = cells(nodes, count, dims, t + 1).select("cell", "part", "node", "code", "scale").groupBy("cell", "part").applyInPandas(pairs, edge)
+    starts = [cells(nodes, count, dims, t + 1) for t in range(CELLS)] + [deals(nodes, count, CELLS + t + 1) for t in range(DEALS)]
+    for start in starts:
+        got = start.select("cell", "part", "node", "code", "scale").groupBy("cell", "part").applyInPandas(pairs, edge)
         first = got if first is None else first.unionByName(got)
     graph = written(keep_best(first, degree), "graph")
 
@@ -150,7 +160,9 @@ def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, reverse: int
         near = both_ways(graph, reverse, round_).join(known, "member")
         lists = near.groupBy("v").agg(F.collect_list(F.struct("member", "fresh", "floor", "code", "scale")).alias("near")).select("near")
         old = graph.withColumn("fresh", F.lit(0))
-        graph = written(keep_best(old.unionByName(lists.mapInArrow(propose, edge)), degree), "graph")
+        # A node that few name, as an outlier, is offered to those it names.
+        turned = graph.select(F.col("w").alias("u"), F.col("u").alias("w"), "s", F.lit(1).alias("fresh"))
+        graph = written(keep_best(old.unionByName(turned).unionByName(lists.mapInArrow(propose, edge)), degree), "graph")
         if graph.where("fresh = 1").count() < 0.02 * degree * count:
             break
     return graph.select("u", "w", "s", F.lit(0).alias("fresh"))
@@ -158,7 +170,8 @@ def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, reverse: int
 
 def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, dims: int, reverse: int = REVERSE, beam: int = BEAM,
          width: int = WIDTH, hops: int = HOPS) -> DataFrame:
-    """``q`` (the query's node) -> ``q, node``: the beam after the last hop."""
+    """``q`` (the query's node) -> ``q, node``: the beam after the last hop. Each walk
+    starts at the query's own node and about ENTRIES others, drawn by hash."""
 
     @F.pandas_udf("float")
     def product(a: pd.Series, sa: pd.Series, b: pd.Series, sb: pd.Series) -> pd.Series:
@@ -166,13 +179,20 @@ def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, dims: int, revers
         y = np.frombuffer(b"".join(b), np.int8).reshape(-1, dims).astype(np.float32)
         return pd.Series((x * y).sum(1) * (sa * sb).to_numpy(np.float32))
 
-    links = written(both_ways(graph, reverse, 99).select(F.col("v").alias("node"), "member"), "adjacent")
+    # Parts dealt by hash make every node a member of some lists, however few name it.
+    dealt = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(73)), F.lit(max(1, nodes.count() // ENTRIES))).alias("part"))
+    drawn = dealt.join(dealt.select(F.col("node").alias("member"), "part"), "part").where("node <> member").select("node", "member")
+    links = written(both_ways(graph, reverse, 99).select(F.col("v").alias("node"), "member").unionByName(drawn).distinct(), "adjacent")
     mine = asked.join(nodes, asked["q"] == nodes["node"]).select("q", F.col("code").alias("qcode"), F.col("scale").alias("qscale"))
     state = written(asked.select("q", F.col("q").alias("node"), F.lit(3e38).cast("float").alias("s"), F.lit(0).alias("seen")), "beam")
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "node")
+    parts = F.lit(max(1, nodes.count() // ENTRIES))
+    entries = (asked.select("q", F.pmod(F.xxhash64("q", F.lit(71)), parts).alias("part"))
+               .join(nodes.select("node", F.pmod(F.xxhash64("node", F.lit(72)), parts).alias("part")), "part").select("q", "node"))
     for hop in range(hops):
         front = (state.where("seen = 0").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= width).select("q", "node"))
-        reached = (front.join(links, "node").select("q", F.col("member").alias("node")).distinct()
+        reached = front.join(links, "node").select("q", F.col("member").alias("node"))
+        reached = ((reached if hop else reached.unionByName(entries)).distinct()
                    .join(state.select("q", "node"), ["q", "node"], "left_anti"))
         scored = (reached.join(nodes.select("node", "code", "scale"), "node").join(mine, "q")
                   .select("q", "node", product("code", "scale", "qcode", "qscale").alias("s"), F.lit(0).alias("seen")))
@@ -185,15 +205,30 @@ def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, dims: int, revers
     return state.select("q", "node")
 
 
+def compare(nodes: DataFrame, asked: DataFrame, beam: int) -> DataFrame:
+    """``dims, node, code, scale`` and ``dims, q`` -> ``dims, q, node``: of each length,
+    every query with all nodes, for lengths of few nodes."""
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        x = decoded(pa.array(group["code"]), pa.array(group["scale"]), int(group["dims"].iloc[0]))
+        node, rows = group["node"].to_numpy(np.int64), np.flatnonzero(group["asks"])
+        a, b = best_of(x[rows] @ x.T, beam)
+        return pd.DataFrame({"dims": group["dims"].iloc[0], "q": node[rows[a]], "node": node[b]})
+
+    marked = nodes.join(asked.select("dims", F.col("q").alias("node"), F.lit(True).alias("asks")), ["dims", "node"], "left")
+    marked = marked.select("dims", "node", "code", "scale", F.coalesce("asks", F.lit(False)).alias("asks"))
+    return marked.groupBy("dims").applyInPandas(pairs, "dims int, q long, node long")
+
+
 def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS,
             beam: int = BEAM, width: int = WIDTH, hops: int = HOPS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row where ``query`` holds, the k
     nearest rows found by inner product, ties to the smaller id.
 
     Null and zero vectors and vectors with null or non-finite components take no
-    part, nor do rows without an id or with another length than most rows'. Rows
-    with the query's id are its own; a repeated row counts once; fewer candidates
-    than k: all that the search reaches. An empty table gives no rows.
+    part, nor do rows without an id; vectors of another length are no candidates.
+    Rows with the query's id are its own; a repeated row counts once; fewer
+    candidates than k: all of them. An empty table gives no rows.
     Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -201,33 +236,38 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE
     v = F.col(vector_col)
     rows = written(vectors.where(F.col(id_col).isNotNull() & usable(v)).select(
         F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dims"), query.alias("asks")), "vectors")
-    common = rows.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     result = "query_id long, rank int, vec_id long, score double"
-    if common is None:
+    distinct = written(rows.groupBy("dims", "v").agg(F.min("vec_id").alias("node")), "nodes")
+    nodes = written(distinct.select("node", "dims", "v").mapInPandas(rounded, "node long, dims int, code binary, scale double"), "codes")
+    sizes = nodes.groupBy("dims").agg(F.count("*").alias("n"))
+    large = [r["dims"] for r in sizes.where(F.col("n") > 2 * CELL).orderBy("dims").collect()]
+    if not large and not sizes.limit(1).count():
         return spark.createDataFrame([], result)
-    dims = common["dims"]
-    rows = rows.where(F.col("dims") == dims)
-    distinct = written(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.lit(dims).alias("dims")), "nodes")
-    nodes = written(distinct.mapInPandas(rounded, "node long, dims int, code binary, scale double").drop("dims"), "codes")
     # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
-    named = rows.join(distinct.select("v", "node"), "v").select("node", "vec_id", "asks")
-    by_id = Window.partitionBy("node").orderBy("vec_id")
-    named = written(named.dropDuplicates(["node", "vec_id"]), "members")
-    members = named.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("node", "vec_id")
-    asked = named.where("asks").select(F.col("node").alias("q"), F.col("vec_id").alias("query_id"))
-    graph = build_graph(nodes, dims, degree, reverse, rounds)
-    beam_ = walk(graph, nodes, written(asked.select("q").distinct(), "asked"), dims, reverse, max(beam, k + 1), width, hops)
+    named = rows.join(distinct, ["dims", "v"]).select("dims", "node", "vec_id", "asks")
+    by_id = Window.partitionBy("dims", "node").orderBy("vec_id")
+    named = written(named.dropDuplicates(["dims", "node", "vec_id"]), "members")
+    members = named.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("dims", "node", "vec_id")
+    asked = named.where("asks").select("dims", F.col("node").alias("q"), F.col("vec_id").alias("query_id"))
+    queries, beam = written(asked.select("dims", "q").distinct(), "asked"), max(beam, k + 1)
+    few = ~F.col("dims").isin(large)
+    beam_ = compare(nodes.where(few), queries.where(few), beam)
+    for dims in large:
+        mine, some = nodes.where(F.col("dims") == dims).drop("dims"), queries.where(F.col("dims") == dims).drop("dims")
+        graph = build_graph(mine, dims, degree, reverse, rounds)
+        found = walk(graph, mine, some, dims, reverse, beam, width, hops)
+        beam_ = beam_.unionByName(found.withColumn("dims", F.lit(dims)))
 
     @F.pandas_udf("double")
     def exact(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(np.dot(np.asarray(x, float), np.asarray(y, float))) for x, y in zip(a, b)], dtype=float)
 
-    full = distinct.select("node", "v")
-    scored = (beam_.join(full, "node").join(full.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
-              .select("q", "node", exact("v", "qv").alias("score")))
+    full = distinct.select("dims", "node", "v")
+    scored = (beam_.join(full, ["dims", "node"]).join(full.select("dims", F.col("node").alias("q"), F.col("v").alias("qv")), ["dims", "q"])
+              .select("dims", "q", "node", exact("v", "qv").alias("score")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # Every node has at least one row, so the k + 1 best scores hold the answer.
-    by_score = Window.partitionBy("q").orderBy(F.desc("score"))
+    by_score = Window.partitionBy("dims", "q").orderBy(F.desc("score"))
     scored = scored.withColumn("r", F.dense_rank().over(by_score)).where(F.col("r") <= k + 1).drop("r")
-    return (asked.join(scored, "q").join(members, "node").where("vec_id <> query_id")
+    return (asked.join(scored, ["dims", "q"]).join(members, ["dims", "node"]).where("vec_id <> query_id")
             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

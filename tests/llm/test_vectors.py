@@ -84,3 +84,21 @@ def test_nn_descent_on_odd_vectors(spark):
     assert nndescent.nearest(df.limit(0), F.col("vec_id") % 5 == 0).collect() == []
     few = nndescent.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0, 20).collect()
     assert [r["rank"] for r in few] == [1, 2, 3]
+
+
+def test_nn_descent_reaches_outliers_and_other_lengths(spark):
+    # Two clusters fill few cells; outliers are alone in theirs.
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(2, 8))
+    x = np.concatenate([middle[np.arange(2100) % 2] + 0.1 * rng.normal(size=(2100, 8)), 2 * rng.normal(size=(12, 8))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += [(5000 + i, [float(c) for c in rng.normal(size=3)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asks = lambda q: q >= 2100 or q % 100 == 0
+    got = nndescent.nearest(df, (F.col("vec_id") >= 2100) | (F.col("vec_id") % 100 == 0), 20).collect()
+    want = brute(rows, asks, 20, lambda a, b: float(np.dot(a, b)), any)
+    assert sorted((r["query_id"], r["rank"]) for r in got) == sorted((q, r) for q, r, _, _ in want)
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    for part in (lambda q: q < 2100, lambda q: 2100 <= q < 5000, lambda q: q >= 5000):
+        pairs = {(q, i) for q, _, i, _ in want if part(q)}
+        assert len(found & pairs) >= 0.9 * len(pairs)
