@@ -65,3 +65,19 @@ def test_links_of_a_graph_with_several_links_for_a_row(spark):
     assert len(got) == 400 and max(load.values()) - min(load.values()) <= 12, load
     whole = sum(len({got[c * 10 + j] for j in range(10)}) == 1 for c in range(40))
     assert whole >= 25, whole
+
+
+def test_pairs_and_triples_alone_come_together(spark):
+    for copies, texts in ((2, 900), (3, 600)):
+        docs = spark.range(copies * texts).select(
+            F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.lpad((F.col("id") % texts).cast("string"), 6, "0")).alias("text"))
+        got = sharding.shard_documents(docs, 8).collect()
+        check(got, [tuple(r) for r in docs.collect()], 8)
+        held, load = defaultdict(set), Counter()
+        for r in got:
+            held[r["doc_id"] % texts].add(r["shard"])
+            load[r["shard"]] += r["size"]
+        split = sum(len(s) > 1 for s in held.values())
+        mean = sum(load.values()) / 8
+        assert split <= 0.01 * texts, split
+        assert max(load.values()) - min(load.values()) <= 0.03 * mean, load
