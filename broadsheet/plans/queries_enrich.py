@@ -91,18 +91,15 @@ enriched AS (SELECT c.edition_date, c.url, c.position,
 
 ENRICH_TAIL = enrich_tail(EN.ENRICH_TOP)
 _ENRICH_SQL = RANKED_SQL + "," + ENRICH_TAIL
-# A configured limit below the size of an edition, so that T2 cuts.
-FEW = 5
-_FEW_SQL = RANKED_SQL + "," + enrich_tail(FEW)
 
 
 def _enriched(spark, sf_dir):
     ranked = rank_per_edition(dedup_candidates(collected(spark, sf_dir)), CANDIDATE_CAP)
-    return EN.enrich(ranked, pages_by_edition(spark, sf_dir), top=FEW)
+    return EN.enrich(ranked, pages_by_edition(spark, sf_dir), top=EN.ENRICH_TOP)
 
 
 @query("enriched_candidates", f"""
-{_FEW_SQL}
+{_ENRICH_SQL}
 SELECT edition_date, url, position, content FROM enriched
 """)
 def enriched_candidates(spark, sf_dir):
@@ -111,9 +108,9 @@ def enriched_candidates(spark, sf_dir):
 
 
 @query("enrich_rate", f"""
-{_FEW_SQL}
-SELECT edition_date, count(*) AS n_targets, count(content) AS n_ok FROM enriched WHERE position <= {FEW}
+{_ENRICH_SQL}
+SELECT edition_date, count(*) AS n_targets, count(content) AS n_ok FROM enriched WHERE position <= {EN.ENRICH_TOP}
 GROUP BY edition_date
 """)
 def enrich_rate(spark, sf_dir):
-    return EN.enrich_rate(_enriched(spark, sf_dir), top=FEW)
+    return EN.enrich_rate(_enriched(spark, sf_dir), top=EN.ENRICH_TOP)

@@ -79,3 +79,17 @@ def test_text_belongs_to_the_edition_and_html_is_not_shuffled(spark):
     joins = [i for i, line in enumerate(plan.splitlines()) if "Join" in line]
     extract = [i for i, line in enumerate(plan.splitlines()) if "<p" in line]
     assert joins and extract and min(extract) > max(joins)
+
+
+def test_queries_enrich_the_production_limit(spark, tmp_path):
+    from broadsheet.operators.enrich import ENRICH_TOP
+    from broadsheet.plans.queries_enrich import enrich_rate, enriched_candidates
+    # 40 pages of one edition (page_id % 30 = 1), all fetched as HTML.
+    ids = [i for i in range(1, 3000, 30) if i % 11 and i % 13][:40]
+    rows = [(i, f"https://e.example/{i}", f"<title>T{i}</title><p>{LONG}</p>") for i in ids]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = enriched_candidates(spark, str(tmp_path)).where("edition_date = '2024-01-02'").collect()
+    assert len(got) == 40 and ENRICH_TOP == 30
+    assert sorted(r["position"] for r in got if r["content"] is not None) == list(range(1, 31))
+    rate = enrich_rate(spark, str(tmp_path)).where("edition_date = '2024-01-02'").collect()
+    assert [(r["n_targets"], r["n_ok"]) for r in rate] == [(30, 30)]
