@@ -74,3 +74,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, bits:
     return (df.join(starts, [*keys, "__range"])
             .withColumn(name, F.col("__start") + F.row_number().over(within) - 1)
             .drop("__range", "__start"))
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """Join ``rows`` to ``facts``, which has one row for each ``key``, without one
+    task for a hot key. Keys that hold more than 1/``share`` of all rows are fewer
+    than ``share``; their facts are broadcast, all others meet by shuffle. Null keys
+    join nothing. ``rows`` is read several times, so it should be a written table."""
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") * share > total).select(key)
+    few = written(facts.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True)), "hot")
+    apart = rows.join(F.broadcast(few.select(key, "__hot")), key, "left")
+    warm = rows.join(F.broadcast(few.drop("__hot")), key)
+    return warm.unionByName(apart.where("__hot is null").drop("__hot").hint("merge").join(facts, key))

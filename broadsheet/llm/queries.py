@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, chat, mixing, neardup, nndescent, packing, quality, sharding, urls, warc
+from . import bitslice, chat, mixing, neardup, nndescent, packing, quality, repair, runs, sharding, tokencache, urls, warc
 from .common import written
 
 TOKENIZER = "word_bpe_49k.json"
+COUNTED = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +119,31 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, with a cache of its own that begins empty."""
+    return tokencache.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED)).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_auction_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by a rule, judged and repaired at least cost."""
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")), F.col("gone"))
+
+
+def op13_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document after the contract's rule has planted some."""
+    found = runs.find_runs(runs.planted(table(spark, sf_dir, "documents")))
+    best = runs.strongest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                       F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                      F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_label_propagation_shards, op2_pattern_packing, op3_random_indexing_quality, op4_nn_descent, op5_bit_sliced_top_k,
-    op6_weighted_url_vocabulary, op7_reply_tree_chat, op8_splittable_warc, op9_vantage_point_simhash, op10_subset_sum_mixing)}
-ORACLES = {"op5_bit_sliced_top_k": OP5_SQL, "op6_weighted_url_vocabulary": urls.ORACLE, "op7_reply_tree_chat": OP7_SQL}
+    op6_weighted_url_vocabulary, op7_reply_tree_chat, op8_splittable_warc, op9_vantage_point_simhash, op10_subset_sum_mixing,
+    op11_digest_cache_token_counts, op12_auction_conversation_repair, op13_maximal_pair_runs)}
+ORACLES = {"op5_bit_sliced_top_k": OP5_SQL, "op6_weighted_url_vocabulary": urls.ORACLE, "op7_reply_tree_chat": OP7_SQL,
+           "op12_auction_conversation_repair": repair.ORACLE}
