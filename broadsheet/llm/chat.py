@@ -35,6 +35,11 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
+def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle: no side of a self-join goes through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     """``tree, node, parent, score`` -> ``tree, leaf, node``: the nodes of the chosen
     root-to-leaf paths.
@@ -44,38 +49,36 @@ def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     rank by the sum of scores on their path (null: 0), then the longer path, then
     the smaller leaf; the first ``per_tree`` stay (None: all).
     """
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    jump = (nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("sum"))
-            .join(known, ["tree", "parent"], "left")
-            .select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), "sum"))
-    jump = written(jump, "jump")
-    jumps, reach = [jump.where("up is not null").select("tree", "node", "up")], 1
-    parents = jump.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    size = jump.count()
+    # A stretch of `steps` nodes from `node` upwards ends below `up`, which may turn
+    # out not to be there: then the stretch ends at a root.
+    jump = written(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"),
+                                F.coalesce("score", F.lit(0.0)).cast("double").alias("sum")), "jump")
+    jumps, reach, size = [jump.where("up is not null").select("tree", "node", "up")], 1, jump.count()
     while jumps[-1].limit(1).count() and reach <= size:
         above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
                             F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
-        # Roots are done: only nodes whose stretch still ends below a root join.
+        # Roots are done: only nodes whose stretch still ends below another node join.
         done, open_ = jump.where("up is null"), jump.where("up is not null")
         jump = written(done.unionByName(
-            open_.join(above, ["tree", "up"])
-            .select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"),
-                    (F.col("sum") + F.col("sum2")).alias("sum"))), "jump")
+            met(open_, above, ["tree", "up"], "left")
+            .select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
+                    (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"))), "jump")
         reach *= 2
         jumps.append(jump.where("up is not null").select("tree", "node", "up"))
-    leaves = jump.where("up is null").join(parents, ["tree", "node"], "left_anti")
+    parents = jumps[0].select("tree", F.col("up").alias("node"))
+    leaves = met(jump.where("up is null"), parents, ["tree", "node"], "left_anti")
     if per_tree is not None:
         best = Window.partitionBy("tree").orderBy(F.desc("sum"), F.desc("steps"), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_tree)
     # A stretch of `steps` nodes that ends in `node`; halved until all are single.
     walk = leaves.select("tree", F.col("node").alias("leaf"), "node", "steps")
     for k in range(len(jumps) - 2, -1, -1):
-        half = 1 << k
-        long_ = walk.where(F.col("steps") > half).join(jumps[k], ["tree", "node"])
-        walk = written(
-            walk.where(F.col("steps") <= half)
-            .unionByName(long_.select("tree", "leaf", F.col("up").alias("node"), (F.col("steps") - half).alias("steps")))
-            .unionByName(long_.select("tree", "leaf", "node", F.lit(half).cast("long").alias("steps"))), "walk")
+        half = F.lit(1 << k).cast("long")
+        halves = F.explode(F.array(F.struct(F.col("up").alias("node"), (F.col("steps") - half).alias("steps")), F.struct("node", half.alias("steps"))))
+        long_ = met(walk.where(F.col("steps") > half), jumps[k], ["tree", "node"]).select("tree", "leaf", halves.alias("h"))
+        walk = walk.where(F.col("steps") <= half).unionByName(long_.select("tree", "leaf", "h.node", "h.steps"))
+        if k % 3 == 0:
+            walk = written(walk, "walk")
     return walk.select("tree", "leaf", "node")
 
 
@@ -88,7 +91,7 @@ def format_trees(nodes: DataFrame, per_tree: int | None = 1, loss_role: str = "a
     Null roles and texts are empty. One conversation is one row and one string.
     """
     path = chosen_paths(nodes.select("tree", "node", "parent", "score"), per_tree)
-    turns = path.join(nodes.select("tree", "node", "depth_order", F.coalesce("role", F.lit("")).alias("role"),
+    turns = met(path, nodes.select("tree", "node", "depth_order", F.coalesce("role", F.lit("")).alias("role"),
                                    F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
     turns = (turns.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")))
              .withColumn("body", escape(F.col("text"))))
