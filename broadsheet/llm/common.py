@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +19,23 @@ ARROW_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
+    """Bound what a Python worker holds at once. The operators are lazy, so the
+    setting stays in the caller's session; it changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

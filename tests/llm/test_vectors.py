@@ -46,6 +46,25 @@ def test_bit_slices_match_brute_force_on_odd_vectors(spark, block, batch):
     assert bitslice.top_k(df.limit(0), F.col("vec_id") % 5 == 0).collect() == []
 
 
+def test_large_components_and_long_vectors_are_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.normal(size=1024)]) for k in range(90)]
+    rows += [(100 + k, [2e6, 1.0, -k / 7]) for k in range(30)] + [(140, [-1e300, 0.5, 1.0]), (141, [0.0, 2.0 ** 40, 3.0]), (142, [-3e40, 1e-300, 9.0])]
+    rows += [(200 + k, [1e6 * (1 if k % 2 else -1)] * 600) for k in range(6)] + [(210, [0.25] * 600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = lambda v: [int(np.floor(x * 256)) if abs(x) < 1e300 else int(x) * 256 for x in v]
+    whole = [(i, exact(v)) for i, v in rows]
+    want = set()
+    for q, a in whole:
+        if q % 5 == 0 and q < 140 or q == 210:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if len(a) == len(b) and i != q)
+            want |= {(q, n, i, -s) for n, (s, i) in enumerate(scores[:3], 1)}
+    asks = (F.col("vec_id") % 5 == 0) & (F.col("vec_id") < 140) | (F.col("vec_id") == 210)
+    assert {tuple(r) for r in bitslice.top_k(df, asks, 3).collect()} == want
+    with pytest.raises(Exception, match="CAST_OVERFLOW|CAST_INVALID_INPUT"):
+        bitslice.top_k(df, F.col("vec_id") == 200, 3).collect()
+
+
 def test_bit_sliced_sum_is_the_inner_product():
     rng = np.random.default_rng(1)
     values, query = rng.integers(-300, 300, (200, 7)), np.array([0, 5, -9, 1, -1, 255, -256])
