@@ -38,7 +38,7 @@ def with_paths(editions: DataFrame) -> DataFrame:
 
 
 def edition_index(editions: DataFrame) -> DataFrame:
-    """W1 number (oldest = 1) and W2 neighbours over all editions, newest first (T4)."""
+    """T4 + W1 + W2: every edition, newest first, with its number (oldest = 1) and neighbours."""
     e = with_paths(editions)
     w = Window.orderBy("date")
     nav = (e.select("date", "path")
@@ -47,7 +47,7 @@ def edition_index(editions: DataFrame) -> DataFrame:
            .withColumn("older_path", F.lag("path").over(w))
            .drop("path"))
     return e.join(nav, "date").withColumn("long_date", long_date_es(F.col("date"))) \
-        .withColumn("short_date", short_date_es(F.col("date")))
+        .withColumn("short_date", short_date_es(F.col("date"))).orderBy(F.desc("date"))
 
 
 def repos_edition_index(editions: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import canonical_url
+from broadsheet.operators.topk import top_per_group
 
 # Candidate cap of the default configuration and of the function
 # default, and the number of top candidates that get article text.
@@ -71,15 +72,14 @@ def signal_order() -> list[Column]:
             F.col("seq").asc()]
 
 
-def rank_per_edition(cands: DataFrame, cap: int = CANDIDATE_CAP, by: Sequence[str] = ("edition_date",)) -> DataFrame:
+def rank_per_edition(cands: DataFrame, cap: int | Column = CANDIDATE_CAP, by: Sequence[str] = ("edition_date",),
+                     most: int | None = None) -> DataFrame:
     """T1 for many editions: ``position`` 1..cap per edition.
 
-    ``row_number() <= cap`` plans as a WindowGroupLimit that already keeps only
-    the top ``cap`` rows per edition inside each map task, so a huge edition
-    shuffles at most ``cap`` rows per map task.
+    ``cap`` is a number or a column of ``cands`` (S5: an edition's own setting, at
+    most ``most``). A huge edition is ranked in parts first, see ``top_per_group``.
     """
-    w = Window.partitionBy(*by).orderBy(*signal_order())
-    return cands.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap)
+    return top_per_group(cands, by, signal_order(), cap, "position", ["seq"], most)
 
 
 def rank_single_run(cands: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
@@ -90,6 +90,6 @@ def rank_single_run(cands: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy(*signal_order())))
 
 
-def enrich_targets(ranked: DataFrame, top: int = ENRICH_TOP) -> DataFrame:
+def enrich_targets(ranked: DataFrame, top: int | Column = ENRICH_TOP) -> DataFrame:
     """Only the first ``top`` candidates of each edition are enriched."""
     return ranked.where(F.col("position") <= top)

@@ -8,7 +8,7 @@ distinct keys, because Catalyst would push a semi-join below the extraction.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.html import extract_readable, usable_text
@@ -33,16 +33,16 @@ def page_texts(pages: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     return t.groupBy(*KEY).agg(F.min_by("content", "page_id").alias("content"))
 
 
-def enrich(ranked: DataFrame, pages: DataFrame, top: int = ENRICH_TOP) -> DataFrame:
-    """T2 + J1: ``content`` for the first ``top`` candidates of each edition,
-    null for the rest and for pages without usable text."""
+def enrich(ranked: DataFrame, pages: DataFrame, top: int | Column = ENRICH_TOP) -> DataFrame:
+    """T2 + J1: ``content`` for the first ``top`` candidates of each edition (a number
+    or a column of ``ranked``), null for the rest and for pages without usable text."""
     targets = ranked.where(F.col("position") <= top).select(*KEY).distinct()
     texts = page_texts(pages, targets)
     return (ranked.join(texts, KEY, "left")
             .withColumn("content", F.when(F.col("position") <= top, F.col("content"))))
 
 
-def enrich_rate(enriched: DataFrame, top: int = ENRICH_TOP) -> DataFrame:
+def enrich_rate(enriched: DataFrame, top: int | Column = ENRICH_TOP) -> DataFrame:
     """Targets and successful reads per edition."""
     t = enriched.where(F.col("position") <= top)
     return t.groupBy("edition_date").agg(F.count("*").alias("n_targets"),

@@ -7,11 +7,12 @@ filters many runs at once with ordinary predicates that Catalyst pushes down.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.dates import parse_feed_date
 from broadsheet.functions.text import js_trim
+from broadsheet.operators.topk import top_per_group
 
 # ---------------------------------------------------------------------------
 # Fixed values of the default configuration.
@@ -29,12 +30,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def window_start(as_of, hours: int = WINDOW_HOURS) -> Column:
-    return _c(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
+def window_start(as_of, hours: int | Column = WINDOW_HOURS) -> Column:
+    return _c(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours) if isinstance(hours, int) else hours)
 
 
-def map_feed_items(entries: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
-    """P1-P4 on parsed feed entries: P2 URL rule, P3 window, P4 snippet.
+def map_feed_items(entries: DataFrame, hours: int | Column = WINDOW_HOURS) -> DataFrame:
+    """P1-P4 on parsed feed entries: P2 URL rule, P3 window, P4 snippet. ``hours`` is a
+    number or a column of ``entries``.
 
     ``entries`` has ``title, link, guid, isoDate, pubDate, contentSnippet,
     content`` (strings) plus ``as_of`` and any carried columns. Drops, in order:
@@ -57,20 +59,19 @@ def map_feed_items(entries: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
             .drop("_ts"))
 
 
-def story_hits(hits: DataFrame, hours: int = WINDOW_HOURS, min_points: int = STORY_MIN_POINTS,
+def story_hits(hits: DataFrame, hours: int | Column = WINDOW_HOURS, min_points: int | Column = STORY_MIN_POINTS,
                per_query: int = HITS_PER_QUERY, by: tuple[str, ...] = ("run_date",)) -> DataFrame:
     """P5 + W4: hits newer than the window (strict) with enough points, newest
     ``per_query`` per query; then external http(s) URLs only.
 
     ``hits`` has ``query, query_ordinal, title, url, points, created`` and
-    ``as_of``. ``row_number() <= per_query`` plans as a WindowGroupLimit, so
-    each map task keeps only the newest rows of each query before the shuffle.
+    ``as_of``; ``hours`` and ``min_points`` may be columns of it. A query with very
+    many hits is ranked in parts first, see ``top_per_group``.
     The API applies the filters before its page limit, hence filter first.
     """
     f = hits.where((F.col("created") > window_start(F.col("as_of"), hours))
                    & (F.coalesce(F.col("points"), F.lit(0)) >= min_points))
-    w = Window.partitionBy(*by, "query").orderBy(F.col("created").desc(), F.col("hit_id"))
-    top = f.withColumn("hit_pos", F.row_number().over(w)).where(F.col("hit_pos") <= per_query)
+    top = top_per_group(f, [*by, "query"], [F.col("created").desc(), F.col("hit_id")], per_query, "hit_pos", ["hit_id", "url"])
     return top.withColumn("url", js_trim(F.coalesce(F.col("url"), F.lit("")))).where(F.col("url").rlike(WEB_URL))
 
 
@@ -104,7 +105,8 @@ def source_status(docs: DataFrame, by: tuple[str, ...] = ("edition_date",)) -> D
 
 def run_status(status: DataFrame, candidates: DataFrame, by: str = "edition_date") -> DataFrame:
     """A3 totals + P7 gates per run: attempted, succeeded, failed sources (in
-    name order), candidates after dedup, and the run status."""
+    name order), candidates after dedup, and the run status. The list of failures
+    holds a run's configured sources at most; ``source_failures`` has them as rows."""
     s = status.groupBy(by).agg(
         F.count("*").alias("attempted"),
         F.count_if("ok").alias("succeeded"),
@@ -114,3 +116,23 @@ def run_status(status: DataFrame, candidates: DataFrame, by: str = "edition_date
     return j.withColumn("status", F.when(F.col("succeeded") == 0, F.lit("no_source"))
                         .when(F.col("n_candidates") < MIN_CANDIDATES, F.lit("too_few"))
                         .otherwise(F.lit("ready")))
+
+
+def source_failures(status: DataFrame, by: str = "edition_date") -> DataFrame:
+    """A3: one row for each failed source of a run with its ``reason``, and ``level``:
+    ``ignored`` for fragile sources, else ``warning``."""
+    return status.where(~F.col("ok")).select(
+        by, "source", "reason", F.when(F.coalesce("fragile", F.lit(False)), "ignored").otherwise("warning").alias("level"))
+
+
+def idle_runs(runs: DataFrame, published: DataFrame | None = None, by: str = "edition_date") -> DataFrame:
+    """Runs that do nothing, with their status: ``published`` (the edition is
+    there already), else ``skipped`` (``runs`` has a column ``has_credential`` and
+    it is not true)."""
+    known = runs.select(by, (F.coalesce("has_credential", F.lit(False)) if "has_credential" in runs.columns else F.lit(True)).alias("__may"))
+    if published is not None:
+        known = known.join(published.select(by, F.lit(True).alias("__done")).distinct(), by, "left")
+    else:
+        known = known.withColumn("__done", F.lit(None).cast("boolean"))
+    status = F.when(F.col("__done"), "published").when(~F.col("__may"), "skipped")
+    return known.select(by, status.alias("status")).where("status is not null")

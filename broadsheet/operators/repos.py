@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.functions.dates import REPO_LOOKBACK_DAYS
+from broadsheet.functions.dates import REPO_LOOKBACK_DAYS, previous_edition_dates
 from broadsheet.functions.social import string_or, strip_fences
 from broadsheet.functions.text import js_trim
+from broadsheet.operators.topk import top_per_group
 
 # Call kind of the repo call, trending repos read per edition,
 # repos picked, placeholder text.
@@ -42,6 +43,28 @@ def published_repos(editions: DataFrame) -> DataFrame:
         .select(F.col("r.name").alias("name"), "edition_date")
 
 
+def recent_by_edition(archive: DataFrame, editions: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
+    """``(edition_date, name)`` of the repos that the ``days`` editions before each
+    ``edition_date`` of ``editions`` published (F17).
+
+    ``archive`` are read editions with the partition column ``edition_date``
+    (``read_editions``): only the folders of those days are opened, since the days
+    prune the scan at run time. They are broadcast; distinct dates with at most
+    ``days`` rows each, so the calendar bounds them, not the data.
+    """
+    wanted = (editions.select("edition_date").distinct()
+              .select("edition_date", F.explode(previous_edition_dates("edition_date", days)).alias("__day"))
+              .where(F.col("__day") < F.col("edition_date")))
+    repos = archive.select(F.col("edition_date").alias("__day"), "repos")
+    return (repos.join(F.broadcast(wanted), "__day").select("edition_date", F.explode("repos").alias("r"))
+            .select("edition_date", F.col("r.name").alias("name")).where(F.col("name") != "").distinct())
+
+
+def drop_recent(trending: DataFrame, recent: DataFrame) -> DataFrame:
+    """J5 against ``recent_by_edition``: trending repos that no edition of the window published."""
+    return trending.join(recent.hint("merge"), ["edition_date", "name"], "left_anti").select(*trending.columns)
+
+
 def exclude_recent(trending: DataFrame, published: DataFrame, days: int = REPO_LOOKBACK_DAYS) -> DataFrame:
     """Drop trending repos already published in the previous ``days`` editions.
 
@@ -99,28 +122,30 @@ def answer_picks(responses: DataFrame) -> DataFrame:
             .where(F.col("name").isNotNull()))
 
 
-def join_picks(picks: DataFrame, trending: DataFrame, pick: int = PICK) -> DataFrame:
+def join_picks(picks: DataFrame, trending: DataFrame, pick: int | Column = PICK, most: int | None = None) -> DataFrame:
     """J4 + W6: model picks joined back to the trending rows of the same edition.
 
     ``picks(edition_date, pos, name, description)`` keeps duplicates; for a name
     listed twice in the trending input the last row wins. Hard data (url,
     language, stars) always comes from the trending row; the description from
     the pick unless blank. Rows left without description are dropped, then the
-    first ``pick`` per edition in model order are kept.
+    first ``pick`` per edition in model order are kept; ``pick`` is a number or a
+    column of ``picks`` (S5), at most ``most``.
     """
     last = trending.groupBy("edition_date", "name").agg(
         F.max_by(F.struct("url", "description", "language", "stars"), F.col("seq")).alias("src"))
     picked_desc = F.when(F.col("p_desc").isNotNull() & (js_trim(F.col("p_desc")) != ""), F.col("p_desc")) \
         .otherwise(F.col("src.description"))
-    j = (picks.select("edition_date", "pos", "name", F.col("description").alias("p_desc"))
+    limit = F.lit(pick) if isinstance(pick, int) else pick
+    j = (picks.select("edition_date", "pos", "name", F.col("description").alias("p_desc"), limit.alias("__pick"))
          .join(last, ["edition_date", "name"])
          .select("edition_date", "pos", "name", F.col("src.url").alias("url"),
                  js_trim(picked_desc).alias("description"),
                  F.nullif(F.col("src.language"), F.lit("")).alias("language"),
-                 F.nullif(F.col("src.stars"), F.lit(0)).alias("stars"))
+                 F.nullif(F.col("src.stars"), F.lit(0)).alias("stars"), "__pick")
          .where(F.col("description") != ""))
-    w = Window.partitionBy("edition_date").orderBy("pos")
-    return j.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= pick)
+    return top_per_group(j, ["edition_date"], [F.col("pos")], pick if isinstance(pick, int) else F.col("__pick"), "slot",
+                         ["pos", "name"], most).drop("__pick")
 
 
 def with_fallback(scraped: DataFrame, searched: DataFrame) -> DataFrame:
@@ -128,10 +153,10 @@ def with_fallback(scraped: DataFrame, searched: DataFrame) -> DataFrame:
     return scraped.unionByName(searched.join(scraped.select("edition_date").distinct(), "edition_date", "left_anti"))
 
 
-def top_search(search: DataFrame, limit: int = TRENDING_LIMIT) -> DataFrame:
+def top_search(search: DataFrame, limit: int | Column = TRENDING_LIMIT, most: int | None = None) -> DataFrame:
     """Newest-created repos by stars desc, ``limit`` per edition."""
-    w = Window.partitionBy("edition_date").orderBy(F.col("stars").desc(), F.col("name"))
-    return search.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= limit)
+    order = [F.col("stars").desc(), F.col("name")]
+    return top_per_group(search.drop("seq"), ["edition_date"], order, limit, "seq", ["name"], most)
 
 
 def repo_prompt_line(pos: Column) -> Column:
@@ -143,13 +168,13 @@ def repo_prompt_line(pos: Column) -> Column:
     return F.concat(pos.cast("string"), F.lit(". "), F.col("name"), meta_line, F.lit("\n   "), desc)
 
 
-def repos_prompt(fresh: DataFrame, pick: int = PICK, header: str = REPOS_PROMPT_HEADER) -> DataFrame:
+def repos_prompt(fresh: DataFrame, pick: int | Column = PICK, header: str = REPOS_PROMPT_HEADER) -> DataFrame:
     """F22 + A7: one prompt per edition, lines in trending order. Every fresh row is
-    listed; the configured limit applies where the page is read."""
+    listed; the configured limit applies where the page is read. ``pick`` is a
+    number or a column of ``fresh`` that is the same for all rows of an edition."""
     w = Window.partitionBy("edition_date").orderBy("seq")
-    lines = fresh.withColumn("i", F.row_number().over(w)).select(
-        "edition_date", F.struct("i", repo_prompt_line(F.col("i")).alias("line")).alias("l"))
-    g = lines.groupBy("edition_date").agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    return g.select("edition_date", F.concat(F.lit(header.format(pick=pick)),
-                                             F.array_join(F.transform("ls", lambda x: x["line"]), "\n\n"))
-                    .alias("prompt"))
+    lines = fresh.withColumn("__pick", F.lit(pick) if isinstance(pick, int) else pick).withColumn("i", F.row_number().over(w)).select(
+        "edition_date", "__pick", F.struct("i", repo_prompt_line(F.col("i")).alias("line")).alias("l"))
+    g = lines.groupBy("edition_date").agg(F.array_sort(F.collect_list("l")).alias("ls"), F.max("__pick").alias("__pick"))
+    head = F.replace(F.lit(header), F.lit("{pick}"), F.col("__pick").cast("string"))
+    return g.select("edition_date", F.concat(head, F.array_join(F.transform("ls", lambda x: x["line"]), "\n\n")).alias("prompt"))

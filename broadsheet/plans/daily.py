@@ -32,13 +32,16 @@ from broadsheet.operators.collect import collect_all
 from broadsheet.operators.dedup import CANDIDATE_CAP, ENRICH_TOP, dedup_candidates, rank_per_edition
 from broadsheet.operators.edition import accepted_items, assemble_editions
 from broadsheet.operators.enrich import enrich
-from broadsheet.operators.ingest import map_feed_items, merge_story_hits, run_status, story_hits
+from broadsheet.operators.ingest import (
+    STORY_MIN_POINTS, WINDOW_HOURS, idle_runs, map_feed_items, merge_story_hits, run_status, source_failures, story_hits)
 from broadsheet.operators.repos import (
-    PICK, REPOS_CALL, answer_picks, exclude_recent, join_picks, published_repos, repos_prompt, top_search, with_fallback)
+    PICK, REPOS_CALL, answer_picks, drop_recent, join_picks, recent_by_edition, repos_prompt, top_search, with_fallback)
 from broadsheet.operators.social import attach_item_social, attach_repo_social, post_requests
+from broadsheet.operators.topk import top_per_group
 from broadsheet.session import materialize
+from broadsheet.sources.config import edition_settings, largest
 from broadsheet.sources.editions import write_editions
-from broadsheet.sources.feeds import feed_entries, parse_feed_docs
+from broadsheet.sources.feeds import configured_docs, feed_entries, parse_feed_docs
 from broadsheet.sources.landed import model_items, story_hit_rows, unwrap_answer
 
 # Call kind and key of the curation call, source names.
@@ -46,6 +49,10 @@ DIGEST_CALL = "digest"
 STORY_SOURCE_NAME = "Hacker News"
 MODEL_SOURCE_NAME = "Hugging Face (trending)"
 BY = ("edition_date",)
+# Reasons of failed sources.
+FEED_UNREADABLE = "no document of the feed could be read"
+NO_STORIES = "no query had an answer with a usable story"
+NO_MODELS = "the model list could not be read"
 
 
 def run_meta(runs: DataFrame) -> DataFrame:
@@ -56,9 +63,15 @@ def run_meta(runs: DataFrame) -> DataFrame:
                        V.resolve_provider(F.col("provider")).alias("provider"))
 
 
+def _left(df: DataFrame, published: DataFrame | None) -> DataFrame:
+    """K3 before any work: rows of editions that are not published yet."""
+    return df if published is None else df.join(published.select(*BY).distinct(), list(BY), "left_anti")
+
+
 def prepare(feed_docs: DataFrame, pages: DataFrame, runs: DataFrame, story_answers: DataFrame | None = None,
             model_answers: DataFrame | None = None, cap: int = CANDIDATE_CAP,
-            enrich_top: int = ENRICH_TOP) -> dict[str, DataFrame]:
+            enrich_top: int = ENRICH_TOP, config: DataFrame | None = None,
+            published: DataFrame | None = None) -> dict[str, DataFrame]:
     """Collect, rank, enrich and write prompts for every run in ``runs``.
 
     ``feed_docs(edition_date, as_of, source, source_ordinal, body)``,
@@ -66,26 +79,59 @@ def prepare(feed_docs: DataFrame, pages: DataFrame, runs: DataFrame, story_answe
     in fetch order: the first page of an edition's URL wins), ``runs(edition_date, as_of,
     provider)``, optional landed story answers (``read_story_answers``) and
     model lists (``read_model_answers``).
+
+    ``config`` (S5) replaces ``cap``, ``enrich_top`` and the other fixed limits by each
+    edition's own, leaves out disabled feeds, stories and models, and gives feeds their
+    order and ``fragile``. ``published`` (K3: ``published_dates``) are editions
+    that exist: their landed documents are not read, let alone parsed. Runs
+    that do nothing (P7: published, or ``runs.has_credential`` is not true) appear in
+    ``run_status`` with that status.
     """
+    idle = idle_runs(runs, published)
+    open_ = runs.join(idle.select(*BY), list(BY), "left_anti")
+    skip = idle.select(*BY) if published is not None or "has_credential" in runs.columns else None
+    feed_docs = _left(feed_docs, skip)
+    story_answers = None if story_answers is None else _left(story_answers, skip)
+    model_answers = None if model_answers is None else _left(model_answers, skip)
+    settings, most = None, {}
+    hours, points, limits = WINDOW_HOURS, STORY_MIN_POINTS, {}
+    if config is not None:
+        settings = materialize(edition_settings(config, open_))
+        most = largest(settings)
+        feed_docs = configured_docs(feed_docs, config).join(settings.select(*BY, "window_hours"), list(BY))
+        hours, points = F.col("window_hours"), F.col("min_points")
+        limits = {c: settings.select(*BY, c) for c in ("candidate_cap", "enrich_top", "models_limit")}
     # status and items both read the parsed documents: parse each one once
     parsed = materialize(parse_feed_docs(feed_docs))
-    feeds = map_feed_items(feed_entries(parsed))
+    feeds = map_feed_items(feed_entries(parsed), hours)
     stories = models = None
-    status = [parsed.groupBy(*BY, "source").agg(F.bool_or("parsed").alias("ok"))
+    fragile = F.bool_or("fragile") if "fragile" in parsed.columns else F.bool_or(F.lit(False))
+    status = [parsed.groupBy(*BY, "source").agg(F.bool_or("parsed").alias("ok"), fragile.alias("fragile"))
               .join(feeds.groupBy(*BY, "source").agg(F.count("*").alias("n_items")), [*BY, "source"], "left")
-              .select(*BY, "source", "ok", F.coalesce("n_items", F.lit(0)).alias("n_items"))]
+              .select(*BY, "source", "ok", "fragile", F.when(~F.col("ok"), FEED_UNREADABLE).alias("reason"),
+                      F.coalesce("n_items", F.lit(0)).alias("n_items"))]
     if story_answers is not None:
-        stories = merge_story_hits(story_hits(story_hit_rows(story_answers), by=BY), by=BY)
+        if settings is not None:
+            story_answers = story_answers.join(settings.where("stories_enabled").select(*BY, "window_hours", "min_points"), list(BY))
+        hits = story_hit_rows(story_answers, (*BY, *(c for c in ("window_hours", "min_points") if settings is not None)))
+        stories = merge_story_hits(story_hits(hits, hours, points, by=BY), by=BY)
         counts = story_answers.groupBy(*BY).agg(F.lit(STORY_SOURCE_NAME).alias("source")) \
             .join(stories.groupBy(*BY).agg(F.count("*").alias("n_items")), list(BY), "left")
-        status.append(counts.select(*BY, "source", (F.coalesce("n_items", F.lit(0)) > 0).alias("ok"),
-                                    F.coalesce("n_items", F.lit(0)).alias("n_items")))
+        ok = F.coalesce("n_items", F.lit(0)) > 0
+        status.append(counts.select(*BY, "source", ok.alias("ok"), F.lit(False).alias("fragile"),
+                                    F.when(~ok, NO_STORIES).alias("reason"), F.coalesce("n_items", F.lit(0)).alias("n_items")))
     if model_answers is not None:
         models = model_items(model_answers, by=BY)
+        if settings is not None:
+            on = settings.where("models_enabled").select(*BY)
+            model_answers = model_answers.join(on, list(BY), "left_semi")
+            models = models.join(on, list(BY), "left_semi").join(limits["models_limit"], list(BY)) \
+                .where(F.col("item_ordinal") <= F.col("models_limit"))
         counts = model_answers.groupBy(*BY).agg(F.bool_or(F.col("models").isNotNull()).alias("ok"),
                                                 F.lit(MODEL_SOURCE_NAME).alias("source")) \
             .join(models.groupBy(*BY).agg(F.count("*").alias("n_items")), list(BY), "left")
-        status.append(counts.select(*BY, "source", "ok", F.coalesce("n_items", F.lit(0)).alias("n_items")))
+        status.append(counts.select(*BY, "source", "ok", F.lit(False).alias("fragile"), F.when(~F.col("ok"), NO_MODELS).alias("reason"),
+                                    F.coalesce("n_items", F.lit(0)).alias("n_items")))
     source_status = status[0]
     for s in status[1:]:
         source_status = source_status.unionByName(s)
@@ -93,29 +139,34 @@ def prepare(feed_docs: DataFrame, pages: DataFrame, runs: DataFrame, story_answe
     collected = collect_all(feeds, stories, models, by=BY)
     merged = dedup_candidates(collected)
     gates = run_status(source_status, merged)
-    ready = gates.where(F.col("status") == "ready").select(*BY)
-    ranked = rank_per_edition(merged.join(ready, list(BY), "left_semi"), cap=cap)
+    ready = merged.join(gates.where(F.col("status") == "ready").select(*BY), list(BY), "left_semi")
+    if settings is None:
+        ranked, top = rank_per_edition(ready, cap=cap), enrich_top
+    else:
+        ranked = rank_per_edition(ready.join(limits["candidate_cap"], list(BY)), F.col("candidate_cap"), most=most["candidate_cap"])
+        ranked, top = ranked.drop("candidate_cap").join(limits["enrich_top"], list(BY)), F.col("enrich_top")
     # every later step (prompts, answer checks, publishing) reads the
     # candidates: compute them once and cut the lineage there
-    candidates = materialize(enrich(ranked, pages, top=enrich_top))
+    candidates = materialize(enrich(ranked, pages, top=top).drop("enrich_top"))
     prompts = digest_prompts(candidates, run_meta(runs)).select(
         *BY, F.lit(DIGEST_CALL).alias("call_kind"), F.lit("").alias("key"), F.lit(1).alias("attempt"), "prompt")
-    return {"collected": collected, "source_status": source_status, "run_status": gates,
-            "candidates": candidates, "prompts": prompts}
+    return {"collected": collected, "source_status": source_status, "source_failures": source_failures(source_status),
+            "run_status": gates.unionByName(idle, allowMissingColumns=True), "candidates": candidates, "prompts": prompts}
 
 
 def accept(responses: DataFrame, candidates: DataFrame, runs: DataFrame,
-           envelopes: bool = False) -> dict[str, DataFrame]:
+           envelopes: bool = False, published: DataFrame | None = None) -> dict[str, DataFrame]:
     """J-ACCEPT: check every landed curation answer (``call_kind = 'digest'``).
 
     ``responses(edition_date, call_kind, key, attempt, raw)``; with
     ``envelopes`` the raw text is still inside the provider's envelope (S10).
     Returns the checked attempts, the first valid one per edition, the next
     prompt (after the latest failed attempt) for editions still without one,
-    and the post requests of the accepted items.
+    and the post requests of the accepted items. Answers for editions that are
+    ``published`` (K3) are not looked at.
     """
     meta = run_meta(runs)
-    digest = responses.where(F.col("call_kind") == DIGEST_CALL)
+    digest = _left(responses.where(F.col("call_kind") == DIGEST_CALL), published)
     if envelopes:
         digest = digest.join(meta.select(*BY, "provider"), list(BY), "left") \
             .withColumn("raw", unwrap_answer(F.col("raw"), F.col("provider"))).drop("provider")
@@ -130,22 +181,52 @@ def accept(responses: DataFrame, candidates: DataFrame, runs: DataFrame,
 
 
 def prepare_repos(scraped: DataFrame, searched: DataFrame | None = None, archive: DataFrame | None = None,
-                  pick: int = PICK) -> dict[str, DataFrame]:
+                  pick: int = PICK, config: DataFrame | None = None, published: DataFrame | None = None) -> dict[str, DataFrame]:
     """J-REPOS before the model: trending rows (``parse_trending``), or the search
     (``search_repos``) for editions without any, less what the read editions of
-    ``archive`` published in the previous seven days, and one prompt per edition."""
-    rows = with_fallback(scraped, top_search(searched)) if searched is not None else scraped
-    fresh = materialize(exclude_recent(rows, published_repos(archive)) if archive is not None else rows)
-    prompts = repos_prompt(fresh, pick).select(
+    ``archive`` published in the previous seven days, and one prompt per edition.
+
+    An ``archive`` with the partition column ``edition_date`` (``read_editions``) is
+    read for those days only. ``config`` (S5) gives each edition's limit and pick and
+    leaves out editions without repos; ``published`` (K3) editions are left out.
+    """
+    scraped = _left(scraped, published)
+    searched = None if searched is None else _left(searched, published)
+    settings, most, columns = None, {}, scraped.columns
+    if config is not None:
+        days = scraped.select(*BY) if searched is None else scraped.select(*BY).unionByName(searched.select(*BY))
+        settings = materialize(edition_settings(config, days).where("repos_enabled").select(*BY, "repos_limit", "pick"))
+        most = {c: v or 0 for c, v in settings.agg(F.max("repos_limit").alias("repos_limit"), F.max("pick").alias("pick")).first().asDict().items()}
+        scraped = top_per_group(scraped.withColumnRenamed("seq", "__seq").join(settings, list(BY)), BY, [F.col("__seq")], F.col("repos_limit"),
+                                "__at", ["__seq", "name"], most["repos_limit"]).withColumnRenamed("__seq", "seq").select(*columns)
+    rows = scraped
+    if searched is not None:
+        best = top_search(searched) if settings is None else \
+            top_search(searched.join(settings, list(BY)), F.col("repos_limit"), most["repos_limit"]).drop("repos_limit", "pick")
+        rows = with_fallback(scraped, best)
+    if archive is not None:
+        rows = materialize(rows)
+        if "edition_date" not in archive.columns:
+            archive = archive.withColumn("edition_date", F.to_date("date"))
+        rows = drop_recent(rows, recent_by_edition(archive, rows))
+    fresh = materialize(rows if settings is None else rows.join(settings.select(*BY, "pick"), list(BY)))
+    prompts = repos_prompt(fresh, pick if settings is None else F.col("pick")).select(
         *BY, F.lit(REPOS_CALL).alias("call_kind"), F.lit("").alias("key"), F.lit(1).alias("attempt"), "prompt")
     return {"trending": fresh, "prompts": prompts}
 
 
 def accept_repos(responses: DataFrame, trending: DataFrame, pick: int = PICK) -> dict[str, DataFrame]:
     """J-REPOS after the model: the landed repo answers joined back to the fresh
-    trending rows, at most ``pick`` per edition, ready for ``publish``, and the
-    post requests of these picks."""
-    picks = join_picks(answer_picks(responses), trending, pick)
+    trending rows, at most ``pick`` per edition (its own, where ``trending`` comes from
+    a configured ``prepare_repos``), ready for ``publish``, and the post requests of
+    these picks."""
+    answers = answer_picks(responses)
+    if "pick" in trending.columns:
+        own = trending.select(*BY, "pick").distinct()
+        most = own.agg(F.max("pick")).first()[0] or 0
+        picks = join_picks(answers.join(own, list(BY)), trending, F.col("pick"), most)
+    else:
+        picks = join_picks(answers, trending, pick)
     return {"picks": picks, "post_requests": post_requests(repos=picks)}
 
 

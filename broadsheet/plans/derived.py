@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import url_host
+from broadsheet.operators.validate import CATEGORIES, MAX_ITEMS, MAX_REPOS, PROVIDERS
 from broadsheet.sources.tables import read_table
 
 # Fixed values of the derivation (shared with the SQL oracles).
@@ -63,11 +64,17 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("edition_date", "seq", "title", "snippet", "url", "source", "published_at", "points"))
 
 
-# The four digest categories and the two providers.
-CATEGORIES = ["lanzamientos", "investigacion", "industria", "herramientas"]
-PROVIDERS = ["deepseek", "claude-code"]
-ITEMS_PER_EDITION = 20
-REPOS_PER_EDITION = 3
+def edition_config(items: DataFrame) -> DataFrame:
+    """A configuration for each edition of ``items``, in the document's shape: its
+    sources are the feeds, enabled unless the name's length is a multiple of 3, and
+    the cap runs from 3 to 33 by day. Other settings are left out."""
+    feeds = items.select("edition_date", "source").distinct().groupBy("edition_date").agg(F.array_sort(F.collect_list("source")).alias("names"))
+    day = F.datediff("edition_date", F.lit(EPOCH_DAY).cast("date"))
+    rss = F.transform("names", lambda n: F.struct(n.alias("id"), n.alias("name"), n.alias("url"), (F.length(n) % 3 != 0).alias("enabled"), F.lit(False).alias("fragile")))
+    return feeds.select("edition_date", rss.alias("rss"), (day % 7 * 5 + 3).cast("int").alias("candidate_cap"))
+
+
+ITEMS_PER_EDITION = MAX_ITEMS
 
 
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +82,8 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Items: the day's events by value desc, event_id asc, first 20 (a per-day
     top-k, so each group is bounded before it is collected). Days whose error
-    count is above the median of all days carry up to 3 repos (their top error
-    events). The result has the digest document shape.
+    count is above the median of all days carry repos (their top error events, as
+    many as a document may hold: 8). The result has the digest document shape.
     """
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props") \
         .withColumn("day", F.to_date("ts"))
@@ -102,7 +109,7 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     errs = ev.where(F.col("event_type") == "error").withColumn("r", F.row_number().over(
         Window.partitionBy("day").orderBy(F.col("value").desc(), "event_id"))) \
-        .where(F.col("r") <= REPOS_PER_EDITION)
+        .where(F.col("r") <= MAX_REPOS)
     repo = F.struct(
         F.col("r").alias("r"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/r"), F.col("event_id").cast("string"))

@@ -21,7 +21,7 @@ days AS (SELECT day, max(ts) AS last_ts, count(*) FILTER (WHERE event_type = 'er
          FROM ev GROUP BY day),
 med AS (SELECT quantile_cont(n_errors, 0.5) AS m FROM days),
 errs AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY value DESC, event_id) AS r
-         FROM ev WHERE event_type = 'error' QUALIFY r <= 3),
+         FROM ev WHERE event_type = 'error' QUALIFY r <= 8),
 ed AS (
   SELECT strftime(d.day, '%Y-%m-%d') AS date, d.day,
          (SELECT count(*) FROM top t WHERE t.day = d.day) AS n_items,

@@ -8,7 +8,9 @@ from broadsheet.functions.text import canonical_url
 from broadsheet.operators.dedup import (CANDIDATE_CAP, dedup_candidates, merge_items,
                                         rank_per_edition, rank_single_run)
 from broadsheet.plans.catalog import iso_ts, query
-from broadsheet.plans.derived import collected
+from broadsheet.plans.derived import collected, edition_config
+from broadsheet.sources.config import edition_settings, largest
+from broadsheet.sources.feeds import configured_docs
 from broadsheet.plans.sqlparts import COLLECTED, canonical_sql, iso
 from broadsheet.sources.tables import read_table
 
@@ -76,3 +78,24 @@ FROM ranked WHERE position <= {CANDIDATE_CAP}
 def candidates_per_edition(spark, sf_dir):
     """Top candidates of every edition at once (row_number per edition)."""
     return _out(rank_per_edition(dedup_candidates(collected(spark, sf_dir)), cap=CANDIDATE_CAP), "position")
+
+
+@query("configured_candidates", _DEDUP_SQL.format(by="edition_date,").replace(
+    "FROM collected)", "FROM collected WHERE length(source) % 3 <> 0)", 1) + f""",
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY edition_date
+                               ORDER BY coalesce(points, 0) DESC, published_at DESC, seq) AS position
+  FROM merged)
+SELECT edition_date, seq, title, snippet, url, source, {iso('published_at')} AS published_at, points, position
+FROM ranked WHERE position <= 3 + datediff('day', date '2024-01-01', edition_date) % 7 * 5
+""")
+def configured_candidates(spark, sf_dir):
+    """S5 + T1: every edition with its own configuration: disabled sources leave, and
+    the cap of the ranking is a column."""
+    items = collected(spark, sf_dir)
+    config = edition_config(items)
+    settings = edition_settings(config, config)
+    merged = dedup_candidates(configured_docs(items, config))
+    ranked = rank_per_edition(merged.join(settings.select("edition_date", "candidate_cap"), "edition_date"),
+                              F.col("candidate_cap"), most=largest(settings)["candidate_cap"])
+    return _out(ranked, "position")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import repos as R
 from broadsheet.plans.catalog import query
-from broadsheet.plans.derived import repo_history, repo_picks, repos_raw
+from broadsheet.plans.derived import editions, repo_history, repo_picks, repos_raw
+from broadsheet.plans.queries_archive import EDITIONS_SQL
+from broadsheet.session import shared_folder
+from broadsheet.sources.editions import read_editions, write_editions
 from broadsheet.sources.tables import read_table
 
 HISTORY_SQL = """
@@ -32,6 +35,25 @@ def repo_no_repeat(spark, sf_dir):
     return R.exclude_recent(h, h).select("name", "edition_date")
 
 
+@query("recent_names", f"""
+WITH {EDITIONS_SQL},
+runs AS (SELECT DISTINCT day + 3 AS edition_date FROM days),
+pub AS (SELECT e.day, 'u' || e.user_id || '/r' || e.event_id AS name FROM errs e JOIN days d ON d.day = e.day
+        WHERE d.n_errors > (SELECT m FROM med))
+SELECT DISTINCT CAST(r.edition_date AS DATE) AS edition_date, p.name FROM runs r
+JOIN pub p ON p.day BETWEEN r.edition_date - 7 AND r.edition_date - 1
+""")
+def recent_names(spark, sf_dir):
+    """The archive written, and the names of the seven days before
+    each run (three days after each edition) read back from their folders."""
+    docs = editions(spark, sf_dir).withColumn("edition_date", F.to_date("date"))
+    folder = shared_folder(spark, "archive")
+    write_editions(docs, folder)
+    archive = read_editions(spark, folder)
+    runs = archive.select(F.date_add("edition_date", 3).alias("edition_date"))
+    return R.recent_by_edition(archive, runs)
+
+
 @query("repo_replay", f"""
 WITH RECURSIVE {HISTORY_SQL},
 pub(name, edition_date) AS (

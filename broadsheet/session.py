@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -109,6 +110,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a result that several later steps read: a reliable
     checkpoint in the shared checkpoint folder (survives lost executors, unlike

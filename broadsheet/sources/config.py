@@ -1,9 +1,11 @@
-"""Source configuration (S5): one JSON document, read with an explicit schema.
+"""Source configuration (S5): a JSON document, read with an explicit schema.
 
-The configuration is a one-row DataFrame. Its lists become rows
-(``feeds.enabled_sources`` for the feeds, ``story_queries`` here) that are
-joined to the landed documents; its scalars are job parameters, read once
-with ``job_parameters`` (a single small row, not data).
+A configuration is a DataFrame of one row, or of one row for each edition with a
+column ``edition_date`` (editions of different days may have been configured
+differently). Its lists become rows (``enabled_sources`` for the feeds,
+``story_queries``) that are joined to the landed documents; its scalars become
+columns beside each edition (``edition_settings``), so limits are data, too.
+``job_parameters`` reads the scalars of a single row for other uses.
 """
 
 from __future__ import annotations
@@ -11,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.operators.dedup import CANDIDATE_CAP, ENRICH_TOP
+from broadsheet.operators.ingest import STORY_MIN_POINTS, WINDOW_HOURS
+from broadsheet.operators.repos import PICK
 from broadsheet.sources.feeds import enabled_sources
+from broadsheet.sources.trending import TRENDING_LIMIT
 
 # ---------------------------------------------------------------------------
 # The configuration document's schema.
@@ -24,7 +30,43 @@ CONFIG_SCHEMA = (
     "github_trending struct<id: string, name: string, enabled: boolean, since: string, `limit`: int, pick: int>")
 # ---------------------------------------------------------------------------
 
-__all__ = ["CONFIG_SCHEMA", "enabled_sources", "job_parameters", "read_config", "story_queries"]
+# Settings of an edition that its configuration does not mention.
+DEFAULTS = {"window_hours": WINDOW_HOURS, "candidate_cap": CANDIDATE_CAP, "enrich_top": ENRICH_TOP, "min_points": STORY_MIN_POINTS,
+            "models_limit": 20, "repos_limit": TRENDING_LIMIT, "pick": PICK,
+            "stories_enabled": False, "models_enabled": False, "repos_enabled": False}
+
+__all__ = ["CONFIG_SCHEMA", "DEFAULTS", "edition_settings", "enabled_sources", "job_parameters", "largest", "read_config", "story_queries"]
+
+
+# Where a setting stands in the document.
+PLACES = {"window_hours": "window_hours", "candidate_cap": "candidate_cap", "enrich_top": "enrich_top",
+          "min_points": "hackernews.min_points", "models_limit": "huggingface_trending.limit",
+          "repos_limit": "github_trending.limit", "pick": "github_trending.pick", "stories_enabled": "hackernews.enabled",
+          "models_enabled": "huggingface_trending.enabled", "repos_enabled": "github_trending.enabled"}
+
+
+def _scalars(config: DataFrame) -> list:
+    return [(F.col(at) if at.split(".")[0] in config.columns else F.lit(None)).alias(c) for c, at in PLACES.items()]
+
+
+def edition_settings(config: DataFrame, editions: DataFrame) -> DataFrame:
+    """One row for each ``edition_date`` of ``editions`` with every scalar setting.
+    Editions without a configuration, and settings that are missing, take ``DEFAULTS``."""
+    days = editions.select("edition_date").distinct()
+    if "edition_date" in config.columns:
+        own = days.join(config.select("edition_date", *_scalars(config)).dropDuplicates(["edition_date"]), "edition_date", "left")
+    else:  # one row, not data: its values are constants of the plan
+        row = config.select(*_scalars(config)).first()
+        own = days.select("edition_date", *(F.lit(row[c] if row else None).alias(c) for c in DEFAULTS))
+    return own.select("edition_date", *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in DEFAULTS.items()))
+
+
+def largest(settings: DataFrame) -> dict[str, int]:
+    """The largest value of each number among the settings: what the bounded top-k
+    steps need to know before they run. One row of maxima, at least 0."""
+    names = [c for c, v in DEFAULTS.items() if not isinstance(v, bool)]
+    row = settings.agg(*(F.max(c).alias(c) for c in names)).first()
+    return {c: max(0, row[c] or 0) for c in names}
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
@@ -35,9 +77,10 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 def story_queries(config: DataFrame) -> DataFrame:
     """The story-search queries in configuration order (``query_ordinal``
     from 1), or no rows when the story source is disabled."""
+    day = [c for c in config.columns if c == "edition_date"]
     return (config.where(F.coalesce(F.col("hackernews.enabled"), F.lit(False)))
-            .select(F.posexplode("hackernews.queries").alias("query_ordinal", "query"))
-            .select((F.col("query_ordinal") + 1).alias("query_ordinal"), "query"))
+            .select(*day, F.posexplode("hackernews.queries").alias("query_ordinal", "query"))
+            .select(*day, (F.col("query_ordinal") + 1).alias("query_ordinal"), "query"))
 
 
 def job_parameters(config: DataFrame) -> dict:

@@ -63,14 +63,25 @@ def feed_entries(parsed: DataFrame) -> DataFrame:
                     *[F.col("e")[f].alias(f) for f in ENTRY_FIELDS])
 
 
+def configured_docs(docs: DataFrame, config: DataFrame) -> DataFrame:
+    """S5 on landed documents: those of enabled feeds (by name, and edition where the
+    configuration has one), with the configured ordinal and ``fragile``. Of feeds
+    that share a name the first one counts."""
+    keys = [c for c in ("edition_date", "source") if c == "source" or c in config.columns]
+    feeds = enabled_sources(config).groupBy(*keys).agg(
+        F.min("source_ordinal").alias("source_ordinal"), F.min_by("fragile", "source_ordinal").alias("fragile"))
+    return docs.drop("source_ordinal", "fragile").join(feeds, keys)
+
+
 def enabled_sources(config: DataFrame) -> DataFrame:
     """Configured feeds in config order, enabled ones only.
 
-    ``config`` is the one-row configuration read with
-    ``spark.read.json(path, multiLine=True)``; ``source_ordinal`` keeps the
-    arrival order the reference's collection follows.
+    ``config`` is the configuration (``config.read_config``), with an
+    ``edition_date`` where it differs by edition; ``source_ordinal`` keeps the
+    arrival order that the collection follows.
     """
-    return (config.select(F.posexplode("rss").alias("source_ordinal", "s"))
+    day = [c for c in config.columns if c == "edition_date"]
+    return (config.select(*day, F.posexplode("rss").alias("source_ordinal", "s"))
             .where(F.col("s.enabled"))
-            .select("source_ordinal", F.col("s.id").alias("source_id"), F.col("s.name").alias("source"),
+            .select(*day, "source_ordinal", F.col("s.id").alias("source_id"), F.col("s.name").alias("source"),
                     F.col("s.url").alias("url"), F.coalesce(F.col("s.fragile"), F.lit(False)).alias("fragile")))

@@ -55,12 +55,24 @@ def parse_trending(pages: DataFrame, html: str = "html", limit: int = TRENDING_L
                       "r.description", "r.language", "r.stars", "r.stars_today")
 
 
-def search_repos(answers: DataFrame) -> DataFrame:
+# Days before the run that a searched repository may be old (fixed value).
+SEARCH_DAYS = 7
+
+
+def search_repos(answers: DataFrame, days: int = SEARCH_DAYS) -> DataFrame:
     """Search answers (``items`` of full_name, html_url, description,
-    language, stargazers_count) -> raw repos; non-string names dropped,
-    missing values become '' / 0 and ``stars_today`` is 0."""
+    language, stargazers_count, and created_at if it was landed) -> raw repos;
+    non-string names dropped, missing values become '' / 0 and ``stars_today`` is 0.
+
+    The search asks for repositories created after the day ``days`` before the run
+    (``as_of`` if the answers have it, else ``edition_date``). Where the landed items
+    carry ``created_at`` (text, ISO 8601) the file may hold older ones: those, and
+    items whose date is missing or unreadable, are left out."""
     e = answers.select(*[c for c in answers.columns if c != "items"], F.posexplode("items").alias("pos", "r"))
     keep = [c for c in answers.columns if c != "items"]
+    if "created_at" in answers.schema["items"].dataType.elementType.names:
+        day = F.to_date("as_of" if "as_of" in keep else "edition_date")
+        e = e.where(F.to_date(F.try_to_timestamp("r.created_at")) > F.date_sub(day, days))
     return (e.where(F.col("r.full_name").isNotNull())
             .select(*keep, (F.col("pos") + 1).alias("seq"), F.col("r.full_name").alias("name"),
                     F.coalesce(F.col("r.html_url"), F.concat(F.lit("https://github.com/"), F.col("r.full_name")))
