@@ -92,7 +92,8 @@ def _parse_shapes(body: Column, text: Column) -> Column:
     """One parse per row. The shape tests form a decision tree (year digits,
     then seconds, then zone kind), so each regex test runs at most once even
     though the expression is evaluated outside generated code."""
-    rfc = body.rlike(r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{2,4} [0-9]{1,2}:[0-9]{2}")
+    # other zone names have fixed offsets here, but follow the season in Java's parser
+    rfc = body.rlike(r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{2,4} [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?( GMT| UTC| [+-][0-9]{4})$")
     year4 = body.rlike(r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} ")
     secs = body.rlike(r" [0-9]{1,2}:[0-9]{2}:[0-9]{2}( |$)")
     offset = body.rlike(r"[+-][0-9]{4}$")
@@ -104,8 +105,83 @@ def _parse_shapes(body: Column, text: Column) -> Column:
     def by_secs(y4: bool) -> Column:
         return F.when(secs, by_zone(y4, True)).otherwise(by_zone(y4, False))
 
-    return F.when(~rfc, F.try_to_timestamp(text)) \
-        .otherwise(F.when(year4, by_secs(True)).otherwise(by_secs(False)))
+    iso = text.rlike(r"^[+-]?[0-9]{4,6}-[0-9]{2}-[0-9]{2}")
+    known = F.when(rfc, F.when(year4, by_secs(True)).otherwise(by_secs(False))).when(iso, F.try_to_timestamp(text))
+    return F.coalesce(known, F.when(~iso, lenient_date(text)))
+
+
+# ---------------------------------------------------------------------------
+# Month names by their first three letters, and zone names with
+# their minutes from UTC.
+MONTH_KEYS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+ZONE_MINUTES = {"z": 0, "ut": 0, "utc": 0, "gmt": 0, "est": -300, "edt": -240, "cst": -360, "cdt": -300,
+                "mst": -420, "mdt": -360, "pst": -480, "pdt": -420}
+# A date without a year is read as being of this one.
+NO_YEAR = 2001
+# ---------------------------------------------------------------------------
+_TIME = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(?:[.][0-9]+)?)? *([ap]m)?(?![a-z0-9:])"
+_OFFSET = r" *(?:(?:utc|gmt|ut|z) *)?([+-])([0-9]{1,2})(?::?([0-9]{2}))?(?![0-9])"
+
+
+def _date_parts(t: Column) -> Column:
+    """Tokens of a lower-case date text: clock, offset, words and the other numbers."""
+    clock = F.regexp_extract(t, _TIME, 0)
+    offset = F.when(clock != "", F.regexp_extract(t, _TIME + _OFFSET, 0))
+    rest = F.replace(t, F.when(F.coalesce(offset, F.lit("")) != "", offset).otherwise(clock), F.lit(" "))
+    rest = F.when(clock == "", t).otherwise(rest)
+    return F.struct(
+        (clock != "").alias("timed"), F.coalesce(offset, F.lit("")).alias("offset"),
+        *(F.coalesce(F.regexp_extract(clock, _TIME, n).try_cast("int"), F.lit(0)).alias(c) for n, c in ((1, "hour"), (2, "minute"), (3, "second"))),
+        F.regexp_extract(clock, _TIME, 4).alias("half"),
+        F.regexp_extract_all(rest, F.lit("[a-z]+"), 0).alias("words"),
+        F.transform(F.regexp_extract_all(rest, F.lit("[0-9]+"), 0), lambda n: n.try_cast("int")).alias("numbers"),
+        # a word other than a month or zone after the first number is no date
+        F.regexp_extract_all(F.regexp_extract(rest, "[0-9](.*)", 1), F.lit("[a-z]+"), 0).alias("late"),
+        rest.rlike(r"^[a-z0-9 ,./:-]*$").alias("clean"))
+
+
+def _composed(p: Column) -> Column:
+    def month_of(word: Column) -> Column:
+        return F.array_position(F.array(*[F.lit(m) for m in MONTH_KEYS]), F.substring(word, 1, 3))
+
+    zones = F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv])
+    named = F.filter(F.transform(p["words"], month_of), lambda m: m > 0)
+    month_name = F.try_element_at(named, F.lit(1))
+    a, b, c = (F.try_element_at(p["numbers"], F.lit(k)) for k in (1, 2, 3))
+    n = F.size(p["numbers"])
+    first_day = a.between(1, 31)
+    year = F.when(month_name.isNotNull(), F.when(n == 1, F.lit(NO_YEAR)).when(first_day, b).otherwise(a)) \
+        .when(n == 2, F.lit(NO_YEAR)).when(first_day, c).otherwise(a)
+    month = F.when(month_name.isNotNull(), month_name).when((n == 3) & ~first_day, b).otherwise(a)
+    day = F.when(month_name.isNotNull(), F.when((n == 1) | first_day, a).otherwise(b)).when((n == 3) & ~first_day, c).otherwise(b)
+    year = F.when(year.between(0, 49), year + 2000).when(year.between(50, 99), year + 1900).otherwise(year)
+    zone = F.try_element_at(F.filter(F.transform(p["words"], lambda w: F.try_element_at(zones, w)), lambda z: z.isNotNull()), F.lit(1))
+    sign = F.when(F.regexp_extract(p["offset"], _OFFSET, 1) == "-", -1).otherwise(1)
+
+    def part(k: int) -> Column:
+        return F.coalesce(F.regexp_extract(p["offset"], _OFFSET, k).try_cast("int"), F.lit(0))
+
+    away = F.when(p["offset"] != "", sign * (part(2) * 60 + part(3))).otherwise(F.coalesce(zone, F.lit(0)))
+    hour = F.when(p["half"] == "", p["hour"]).otherwise(p["hour"] % 12 + F.when(p["half"] == "pm", 12).otherwise(0))
+    known = F.forall(p["late"], lambda w: (month_of(w) > 0) | F.map_contains_key(zones, w))
+    numbers = F.when(month_name.isNotNull(), n.between(1, 2)).otherwise(n.between(2, 3))
+    sound = (p["clean"] & known & numbers & (F.size(named) <= 1) & month.between(1, 12) & day.between(1, 31) & year.between(0, 9999)
+             & ((p["hour"] < 24) | ((p["hour"] == 24) & (p["minute"] + p["second"] == 0))) & (p["minute"] < 60) & (p["second"] < 60)
+             & ((p["half"] == "") | p["hour"].between(1, 12)))
+    # a day that the month lacks runs on into the next month
+    start = F.unix_date(F.make_date(year, month.cast("int"), F.lit(1))) + day - 1
+    seconds = start.cast("long") * 86400 + hour * 3600 + (p["minute"] - away) * 60 + p["second"]
+    return F.when(sound, F.timestamp_seconds(seconds))
+
+
+def lenient_date(s) -> Column:
+    """F26, free forms: a month name (its first three letters count) or numbers by
+    slashes, day, year, and maybe a clock with ``am``/``pm``, a zone name or an offset, in
+    any usual order; comments in parentheses go. Without a zone it is UTC.
+    Two-digit years are 1950 to 2049. Null if it is no date."""
+    low = F.lower(F.regexp_replace(F.trim(_c(s)), r"\([^()]*\)", " "))
+    parts = F.transform(F.array(low), _date_parts)
+    return F.try_element_at(F.transform(parts, _composed), F.lit(1))
 
 
 def parse_feed_date(s) -> Column:
@@ -113,8 +189,8 @@ def parse_feed_date(s) -> Column:
 
     The leading weekday is removed; RFC 822 text is parsed with the one
     pattern its shape calls for (2- or 4-digit year, with or without seconds,
-    zone name or numeric offset); anything else goes through the ISO cast.
-    Only one parse runs per row and failures give null. The cleaned text is
+    zone name or numeric offset), ISO text by the cast. Other shapes, and RFC
+    text whose zone the pattern does not know, are read by ``lenient_date``. The cleaned text is
     bound once as a lambda variable, so the shape tests do not repeat it.
     """
     t = F.trim(_c(s))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from broadsheet.functions.hosts import serialized_host
+
 # ---------------------------------------------------------------------------
 # Fixed values.
 # The white-space class of JavaScript's String.prototype.trim and of the regex
@@ -146,19 +148,25 @@ def _url_parts(t: Column) -> Column:
         t.alias("t"), c.rlike(_URL_PATTERN).alias("ok"),
         F.lower(F.regexp_extract(c, _URL_PATTERN, 1)).alias("scheme"),
         F.regexp_extract(c, _URL_PATTERN, 2).alias("authority"),
+        F.regexp_extract(F.regexp_extract(c, _URL_PATTERN, 2), "([^@]*)$", 1).alias("hostport"),
         F.regexp_extract(c, _URL_PATTERN, 3).alias("path"),
         F.regexp_extract(c, _URL_PATTERN, 4).alias("query"))
 
 
+def _with_host(u: Column) -> Column:
+    """The host as it is written; a host that the standard rejects is empty, which
+    leaves the URL as it is."""
+    return u.withField("host", F.coalesce(serialized_host(F.regexp_extract(u["hostport"], r"^(.*?)(:[0-9]*)?$", 1)), F.lit("")))
+
+
 def _canonical_from_parts(u: Column) -> Column:
     scheme, path, query = u["scheme"], u["path"], u["query"]
     # user info keeps its case; an empty password or empty user info goes
     user = F.regexp_replace(F.regexp_extract(u["authority"], "^(.*@)", 1), ":?@$", "@")
     user = F.when(user == "@", F.lit("")).otherwise(user)
-    hostport = F.lower(F.regexp_extract(u["authority"], "([^@]*)$", 1))
-    host = F.regexp_extract(hostport, r"^(.*?)(:[0-9]*)?$", 1)
+    host = u["host"]
     # the port is a number: leading zeros go, above 65535 the URL is rejected
-    port_digits = F.regexp_extract(hostport, r":([0-9]*)$", 1)
+    port_digits = F.regexp_extract(u["hostport"], r":([0-9]*)$", 1)
     port_num = F.when(F.length(F.ltrim(port_digits, F.lit("0"))) <= 5, port_digits.try_cast("int"))
     port = F.when(port_digits == "", F.lit("")).otherwise(port_num.cast("string"))
     port_ok = (port_digits == "") | (port_num <= 65535)
@@ -188,13 +196,14 @@ def canonical_url(col) -> Column:
     the whole string removed. Anything that is not an http(s) URL with a host
     is returned trimmed. Dot segments and backslashes in the path are resolved
     and raw characters of the path and of an untouched query are
-    percent-encoded, as the URL standard serialises them. Host names are not
-    converted to punycode.
+    percent-encoded, as the URL standard serialises them. Hosts follow it too (see
+    ``hosts.serialized_host``): Punycode, IPv4 numbers, shortest IPv6. A letter and a
+    combining mark are not composed first.
 
     The URL is split once and the parts are bound as a lambda variable, so the
     rebuilding steps never repeat the split.
     """
-    parts = F.transform(F.array(js_trim(col)), _url_parts)
+    parts = F.transform(F.transform(F.array(js_trim(col)), _url_parts), _with_host)
     return F.element_at(F.transform(parts, _canonical_from_parts), 1)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.functions.formats import is_date, is_date_time, is_uri
 from broadsheet.functions.social import strip_fences
 
 # ---------------------------------------------------------------------------
@@ -36,8 +37,6 @@ TEXT_BOUNDS = {"title": (1, 200), "summary": (1, 800), "why_it_matters": (1, 400
 REPO_DESCRIPTION_MAX = 400
 MAX_ATTEMPTS = 3
 URL_PATTERN = r"^https?://"
-URI_PATTERN = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\s]*$"
-DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 RETRY_NOTE = ("\n\n---\nLa respuesta anterior NO fue válida. Corrige EXACTAMENTE estos problemas y "
               "responde de nuevo solo con el JSON:\n- ")
 # ---------------------------------------------------------------------------
@@ -93,7 +92,7 @@ def _text_ok(v: Column, key: str, lo: int, hi: int | None) -> Column:
 
 def _url_ok(v: Column, key: str) -> Column:
     s = _str(v, key)
-    return _is_string(v, key) & s.rlike(URL_PATTERN) & s.rlike(URI_PATTERN)
+    return _is_string(v, key) & s.rlike(URL_PATTERN) & is_uri(s)
 
 
 def _social_ok(v: Column) -> Column:
@@ -194,9 +193,8 @@ def check_attempts(attempts: DataFrame, inputs: DataFrame | None = None, runs: D
     root_extra = F.transform(F.array_sort(F.array_except(keys, _lit_array(ROOT_KEYS))),
                              lambda k: F.concat(F.lit("V1:extra:"), k))
     meta = F.array(
-        F.when(~F.coalesce(F.col("date").rlike(DATE_PATTERN) & F.try_to_date("date").isNotNull(), F.lit(False)),
-               F.lit("V2:date")),
-        F.when(F.try_to_timestamp("generated_at").isNull(), F.lit("V2:generated_at")),
+        F.when(~is_date(F.col("date")), F.lit("V2:date")),
+        F.when(~is_date_time(F.col("generated_at")), F.lit("V2:generated_at")),
         F.when(~F.coalesce(F.col("provider").isin(*PROVIDERS), F.lit(False)), F.lit("V2:provider")))
     has_items = F.array_contains(keys, "items")
     items_errs = F.when(~has_items, F.array(F.lit("V1:required:items"))) \
