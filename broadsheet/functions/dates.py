@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from broadsheet.functions.hosts import applied, bound
+
 # ---------------------------------------------------------------------------
 # Fixed values.
 # Civil zone of the edition date.
@@ -123,55 +125,54 @@ _TIME = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(?:[.][0-9]+)?)? *([ap]m)?(?!
 _OFFSET = r" *(?:(?:utc|gmt|ut|z) *)?([+-])([0-9]{1,2})(?::?([0-9]{2}))?(?![0-9])"
 
 
-def _date_parts(t: Column) -> Column:
-    """Tokens of a lower-case date text: clock, offset, words and the other numbers."""
-    clock = F.regexp_extract(t, _TIME, 0)
-    offset = F.when(clock != "", F.regexp_extract(t, _TIME + _OFFSET, 0))
-    rest = F.replace(t, F.when(F.coalesce(offset, F.lit("")) != "", offset).otherwise(clock), F.lit(" "))
-    rest = F.when(clock == "", t).otherwise(rest)
-    return F.struct(
-        (clock != "").alias("timed"), F.coalesce(offset, F.lit("")).alias("offset"),
-        *(F.coalesce(F.regexp_extract(clock, _TIME, n).try_cast("int"), F.lit(0)).alias(c) for n, c in ((1, "hour"), (2, "minute"), (3, "second"))),
-        F.regexp_extract(clock, _TIME, 4).alias("half"),
-        F.regexp_extract_all(rest, F.lit("[a-z]+"), 0).alias("words"),
-        F.transform(F.regexp_extract_all(rest, F.lit("[0-9]+"), 0), lambda n: n.try_cast("int")).alias("numbers"),
+
+
+def _lenient_sql(t: str) -> str:
+    """``lenient_date`` of a lower-case text as SQL text (see ``hosts`` for the reason)."""
+    months = "array(" + ", ".join(f"'{m}'" for m in MONTH_KEYS) + ")"
+    zones = "map(" + ", ".join(f"'{z}', {m}" for z, m in ZONE_MINUTES.items()) + ")"
+    month_of = f"array_position({months}, substring(w, 1, 3))"
+
+    def split_up(clock: str) -> str:
+        offset = f"regexp_extract({t}, r'{_TIME}{_OFFSET}', 0)"
+        return bound(f"CASE WHEN {clock} = '' THEN '' ELSE {offset} END", lambda o: bound(
+            f"CASE WHEN {clock} = '' THEN {t} ELSE replace({t}, CASE WHEN {o} <> '' THEN {o} ELSE {clock} END, ' ') END", lambda r: tokens(clock, o, r)))
+
+    def tokens(clock: str, offset: str, rest: str) -> str:
+        hms = ", ".join(f"coalesce(try_cast(regexp_extract({clock}, r'{_TIME}', {n}) AS int), 0) AS {c}" for n, c in ((1, "hour"), (2, "minute"), (3, "second")))
+        sign, hours, more = (f"regexp_extract({offset}, r'{_TIME}{_OFFSET}', {n})" for n in (5, 6, 7))
+        minutes = f"CASE WHEN {sign} = '-' THEN -1 ELSE 1 END * (coalesce(try_cast({hours} AS int), 0) * 60 + coalesce(try_cast({more} AS int), 0))"
+        words = f"regexp_extract_all({rest}, '[a-z]+', 0)"
         # a word other than a month or zone after the first number is no date
-        F.regexp_extract_all(F.regexp_extract(rest, "[0-9](.*)", 1), F.lit("[a-z]+"), 0).alias("late"),
-        rest.rlike(r"^[a-z0-9 ,./:-]*$").alias("clean"))
-
-
-def _composed(p: Column) -> Column:
-    def month_of(word: Column) -> Column:
-        return F.array_position(F.array(*[F.lit(m) for m in MONTH_KEYS]), F.substring(word, 1, 3))
-
-    zones = F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv])
-    named = F.filter(F.transform(p["words"], month_of), lambda m: m > 0)
-    month_name = F.try_element_at(named, F.lit(1))
-    a, b, c = (F.try_element_at(p["numbers"], F.lit(k)) for k in (1, 2, 3))
-    n = F.size(p["numbers"])
-    first_day = a.between(1, 31)
-    year = F.when(month_name.isNotNull(), F.when(n == 1, F.lit(NO_YEAR)).when(first_day, b).otherwise(a)) \
-        .when(n == 2, F.lit(NO_YEAR)).when(first_day, c).otherwise(a)
-    month = F.when(month_name.isNotNull(), month_name).when((n == 3) & ~first_day, b).otherwise(a)
-    day = F.when(month_name.isNotNull(), F.when((n == 1) | first_day, a).otherwise(b)).when((n == 3) & ~first_day, c).otherwise(b)
-    year = F.when(year.between(0, 49), year + 2000).when(year.between(50, 99), year + 1900).otherwise(year)
-    zone = F.try_element_at(F.filter(F.transform(p["words"], lambda w: F.try_element_at(zones, w)), lambda z: z.isNotNull()), F.lit(1))
-    sign = F.when(F.regexp_extract(p["offset"], _OFFSET, 1) == "-", -1).otherwise(1)
-
-    def part(k: int) -> Column:
-        return F.coalesce(F.regexp_extract(p["offset"], _OFFSET, k).try_cast("int"), F.lit(0))
-
-    away = F.when(p["offset"] != "", sign * (part(2) * 60 + part(3))).otherwise(F.coalesce(zone, F.lit(0)))
-    hour = F.when(p["half"] == "", p["hour"]).otherwise(p["hour"] % 12 + F.when(p["half"] == "pm", 12).otherwise(0))
-    known = F.forall(p["late"], lambda w: (month_of(w) > 0) | F.map_contains_key(zones, w))
-    numbers = F.when(month_name.isNotNull(), n.between(1, 2)).otherwise(n.between(2, 3))
-    sound = (p["clean"] & known & numbers & (F.size(named) <= 1) & month.between(1, 12) & day.between(1, 31) & year.between(0, 9999)
-             & ((p["hour"] < 24) | ((p["hour"] == 24) & (p["minute"] + p["second"] == 0))) & (p["minute"] < 60) & (p["second"] < 60)
-             & ((p["half"] == "") | p["hour"].between(1, 12)))
-    # a day that the month lacks runs on into the next month
-    start = F.unix_date(F.make_date(year, month.cast("int"), F.lit(1))) + day - 1
-    seconds = start.cast("long") * 86400 + hour * 3600 + (p["minute"] - away) * 60 + p["second"]
-    return F.when(sound, F.timestamp_seconds(seconds))
+        late = f"regexp_extract_all(regexp_extract({rest}, '[0-9](.*)', 1), '[a-z]+', 0)"
+        return bound(f"struct({hms}, regexp_extract({clock}, r'{_TIME}', 4) AS half, CASE WHEN {offset} <> '' THEN {minutes} END AS away, "
+                     f"filter(transform({words}, w -> {month_of}), m -> m > 0) AS named, "
+                     f"try_element_at(filter(transform({words}, w -> try_element_at({zones}, w)), z -> z IS NOT NULL), 1) AS zone, "
+                     f"transform(regexp_extract_all({rest}, '[0-9]+', 0), n -> try_cast(n AS int)) AS numbers, "
+                     f"rlike({rest}, '^[a-z0-9 ,./:-]*$') AND forall({late}, w -> {month_of} > 0 OR map_contains_key({zones}, w)) AS clean)", placed)
+
+    def placed(p: str) -> str:
+        a, b, c = (f"try_element_at({p}.numbers, {k})" for k in (1, 2, 3))
+        n, by_name, first_day = f"size({p}.numbers)", f"size({p}.named) > 0", f"{a} BETWEEN 1 AND 31"
+        year = f"CASE WHEN {n} = 1 OR ({n} = 2 AND NOT ({by_name})) THEN {NO_YEAR} WHEN {first_day} THEN CASE WHEN {by_name} THEN {b} ELSE {c} END ELSE {a} END"
+        month = f"CASE WHEN {by_name} THEN int({p}.named[0]) WHEN {n} = 3 AND NOT ({first_day}) THEN {b} ELSE {a} END"
+        day = f"CASE WHEN {by_name} THEN CASE WHEN {n} = 1 OR {first_day} THEN {a} ELSE {b} END WHEN {n} = 3 AND NOT ({first_day}) THEN {c} ELSE {b} END"
+        numbers = f"CASE WHEN {by_name} THEN {n} BETWEEN 1 AND 2 ELSE {n} BETWEEN 2 AND 3 END"
+        clock = (f"({p}.hour < 24 OR ({p}.hour = 24 AND {p}.minute + {p}.second = 0)) AND {p}.minute < 60 AND {p}.second < 60 "
+                 f"AND ({p}.half = '' OR {p}.hour BETWEEN 1 AND 12)")
+        hour = f"CASE WHEN {p}.half = '' THEN {p}.hour ELSE {p}.hour % 12 + CASE WHEN {p}.half = 'pm' THEN 12 ELSE 0 END END"
+        return bound(f"struct({year} AS y, {month} AS m, {day} AS d, {hour} AS hour, {p}.clean AND {numbers} AND size({p}.named) <= 1 AND {clock} AS sound)",
+                     lambda d: instant(p, d))
+
+    def instant(p: str, d: str) -> str:
+        year = f"CASE WHEN {d}.y BETWEEN 0 AND 49 THEN {d}.y + 2000 WHEN {d}.y BETWEEN 50 AND 99 THEN {d}.y + 1900 ELSE {d}.y END"
+        # a day that the month lacks runs on into the next month
+        start = f"unix_date(make_date({year}, {d}.m, 1)) + {d}.d - 1"
+        away = f"coalesce({p}.away, {p}.zone, 0)"
+        return (f"CASE WHEN {d}.sound AND {d}.m BETWEEN 1 AND 12 AND {d}.d BETWEEN 1 AND 31 AND {d}.y BETWEEN 0 AND 9999 "
+                f"THEN timestamp_seconds(bigint({start}) * 86400 + {d}.hour * 3600 + ({p}.minute - {away}) * 60 + {p}.second) END")
+
+    return bound(f"regexp_extract({t}, r'{_TIME}', 0)", split_up)
 
 
 def lenient_date(s) -> Column:
@@ -180,8 +181,7 @@ def lenient_date(s) -> Column:
     any usual order; comments in parentheses go. Without a zone it is UTC.
     Two-digit years are 1950 to 2049. Null if it is no date."""
     low = F.lower(F.regexp_replace(F.trim(_c(s)), r"\([^()]*\)", " "))
-    parts = F.transform(F.array(low), _date_parts)
-    return F.try_element_at(F.transform(parts, _composed), F.lit(1))
+    return F.when(_c(s).rlike("[0-9]"), applied(_lenient_sql, low))
 
 
 def parse_feed_date(s) -> Column:
