@@ -37,4 +37,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from broadsheet.plans import (queries_accept, queries_archive, queries_enrich,  # noqa: F401
                                   queries_ingest, queries_rank,
-                                  queries_posts, queries_repos, queries_scans, queries_sources)
+                                  queries_posts, queries_repos, queries_rules, queries_scans, queries_sources)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from broadsheet.functions.formats import uri_pattern
 from broadsheet.functions.prompts import digest_prompts
 from broadsheet.operators import validate as V
 from broadsheet.operators.dedup import CANDIDATE_CAP, dedup_candidates, rank_per_edition
@@ -18,7 +19,7 @@ _ITEM_KEYS = "['rank', 'category', 'title', 'summary', 'why_it_matters', 'url',
 _ITEM_REQ = "['rank', 'category', 'title', 'summary', 'why_it_matters', 'url', 'source']"
 _ROOT_KEYS = "['date', 'generated_at', 'provider', 'items', 'repos']"
 _FENCE = r"^```(?:json)?\s*([\s\S]*?)\s*```$"
-_URI = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\s]*$"
+_URI = uri_pattern(java=False).replace("'", "''")
 
 ANSWERS_SQL = _DEDUP_SQL.format(by="edition_date,") + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY edition_date
@@ -131,7 +132,7 @@ e0 AS (SELECT *,
          ELSE list_concat([CASE WHEN len(kept) < 6 THEN 'V3:min' END, CASE WHEN len(kept) > 20 THEN 'V3:max' END],
                           flatten(list_transform(kept, lambda x, i: {_item_errs('x', '(i - 1)')}))) END),
     CASE WHEN NOT list_contains(coalesce(json_keys(v), []), 'repos') THEN []
-         WHEN json_type(v, '$.repos') <> 'ARRAY' THEN ['V6:type'] ELSE ['V6:unchecked'] END),
+         WHEN json_type(v, '$.repos') <> 'ARRAY' THEN ['V6:type'] ELSE [CASE WHEN json_array_length(v, '$.repos') > 8 THEN 'V6:max' END] END),
     lambda ee: ee IS NOT NULL) AS schema_errs,
   list_filter(list_append(
     list_transform(kept, lambda x, i: CASE WHEN NOT list_contains(urls, json_extract_string(x, '$.url'))

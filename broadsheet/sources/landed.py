@@ -19,6 +19,8 @@ STORY_ANSWER_SCHEMA = ("edition_date date, as_of timestamp, query string, query_
                        f"hits {HIT_SCHEMA}")
 MODEL_SCHEMA = "array<struct<id: string, modelId: string, downloads: bigint, likes: bigint, lastModified: string>>"
 MODEL_ANSWER_SCHEMA = f"edition_date date, as_of timestamp, models {MODEL_SCHEMA}"
+RESPONSE_SCHEMA = ("edition_date date, call_kind string, key string, attempt int, raw string, landed_at timestamp, "
+                   "_corrupt_record string")
 MODEL_TITLE = "Modelo en tendencia: "
 MODEL_SNIPPET_DOWNLOADS = "Descargas: "
 MODEL_SNIPPET_LIKES = ", likes: "
@@ -93,6 +95,18 @@ def model_rows(models: DataFrame, by: tuple[str, ...] = ("edition_date",)) -> Da
                     F.lit(None).cast("bigint").alias("points")))
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """S9 scan: landed model answers (JSON lines, one for each call and attempt).
+    Lines that do not parse stay, in ``_corrupt_record``, with null fields; see
+    ``good_responses``."""
+    return spark.read.schema(RESPONSE_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+
+
+def good_responses(responses: DataFrame) -> DataFrame:
+    """The readable rows of ``read_responses`` that name their call."""
+    return responses.where(F.col("_corrupt_record").isNull() & F.col("edition_date").isNotNull() & F.col("attempt").isNotNull()).drop("_corrupt_record")
+
+
 def unwrap_chat(raw) -> Column:
     """S10, chat API: the text at ``choices[0].message.content``; null (a failed
     call) when the envelope is not JSON or the text is missing, empty or not

@@ -5,10 +5,13 @@ parquet files during the day. The A1 merge is a streaming aggregate keyed by
 ``(as_of, edition_date, canonical url)`` with a watermark on ``as_of``: a
 run's merged rows stay in the state store until the watermark passes the run
 instant, then they are emitted once (append mode) and the state is dropped.
-All rows of one run leave in the same micro-batch, so ``foreachBatch`` can
+An item that lands twice (a replayed file, a loader that was restarted) is taken once:
+duplicates of run, canonical URL and arrival number are dropped while the watermark
+still admits them. All rows of one run leave in the same micro-batch, so ``foreachBatch`` can
 rank them exactly (T1) and write them to a table partitioned by ``as_of`` and
 ``edition_date``. A run is emitted once a run later than it by the lateness has
-landed; items that land after that are left to the batch job.
+landed; items that land after that are left to the batch job (``late_rows`` counts
+them).
 
 State is one row per (run, URL), bounded by what one run collects. The
 stream's checkpoint lives under the shared ``spark.checkpoint.dir``, so a
@@ -43,11 +46,22 @@ def read_landed(spark: SparkSession, folder: str, max_files: int | None = None)
     return r.parquet(folder)
 
 
+def distinct_items(items: DataFrame, lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """Every landed item once: run, edition, canonical URL and arrival number name it.
+    The state survives restarts and is dropped behind the watermark."""
+    keyed = items.withWatermark("as_of", lateness).withColumn("__key", canonical_url(F.col("url")))
+    return keyed.dropDuplicatesWithinWatermark(["as_of", "edition_date", "__key", "seq"])
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the reported micro-batches left out because their run had closed."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def merged_stream(items: DataFrame, lateness: str = DEFAULT_LATENESS) -> DataFrame:
     """A1 on a stream: exactly ``merge_items`` (same aggregates), grouped by
     run as well, and finalised when the watermark on ``as_of`` passes the run."""
-    return merge_items(items.withWatermark("as_of", lateness), canonical_url(F.col("url")),
-                       by=("as_of", "edition_date"))
+    return merge_items(distinct_items(items, lateness), F.col("__key"), by=("as_of", "edition_date"))
 
 
 def write_batch(batch: DataFrame, output: str, cap: int = CANDIDATE_CAP) -> None:
