@@ -50,6 +50,16 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put_aside(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Columns that an operator's results would replace, under private names."""
+    return df.withColumnsRenamed({c: f"__own_{c}" for c in names if c in df.columns})
+
+
+def put_back(df: DataFrame, columns: list[str], names: tuple[str, ...]) -> DataFrame:
+    """The columns ``columns`` with the values that ``put_aside`` kept."""
+    return df.select(*(F.col(f"__own_{c}").alias(c) if c in names else F.col(f"`{c}`") for c in columns))
+
+
 def worker_store(name: str) -> dict:
     """A dictionary that lives in the Python worker, for caches that several tasks
     of a worker use. A worker serves one operator after the other; it holds the

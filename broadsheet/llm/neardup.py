@@ -5,10 +5,12 @@ all of them to shards: at a node a point goes inside or outside a ball around th
 vantage point, and because two points within r of each other differ by at most r
 in their distance to it, an inside point within r of the boundary is also sent
 outside as a visitor. So of two linked points that part at a node, one visits the
-other's side, and every link shows up in some shard. Each shard is searched with
-a tree of its own, pruned by the same bounds, and reports a spanning forest of
-its links instead of all pairs; the forests are joined to components by rounds of
-hooking to the smallest neighbour.
+other's side, and every link shows up in some shard. A dense ball can leave a shard
+with far more points than meant; it is cut in blocks by hash, and each pair of
+blocks becomes a shard of its own. Each shard is searched with a tree of its own,
+pruned by the same bounds, and reports a spanning forest of its links instead of
+all pairs; the forests are joined to components by rounds of hooking to the
+smallest neighbour.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import join_facts, small_batches, written
 
 WORDS, DISTANCE, SEED = 3, 2, 42
-SAMPLE, SHARD_POINTS, LEAF = 20_000, 16_384, 256
+SAMPLE, SHARD_POINTS, LEAF = 20_000, 8_192, 256
 # Bits of up to so many shingles are added up at once.
 BLOCK = 1 << 15
 
@@ -191,7 +193,8 @@ def search(points: np.ndarray, home: np.ndarray, distance: int, leaf: int = LEAF
 
 def links(points: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, shard_points: int = SHARD_POINTS) -> DataFrame:
     """Distinct fingerprints (column ``fp``) -> spanning links ``a, b``. The tree is
-    fitted on at most ``sample`` points; all points are routed and searched."""
+    fitted on at most ``sample`` points; all points are routed and searched, and no
+    task searches many more than twice ``shard_points``."""
     spark = points.sparkSession
     count = points.count()
     if count < 2:
@@ -210,8 +213,15 @@ def links(points: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sha
         pairs = np.array(search(fp.view(np.uint64), group["home"].to_numpy(bool), distance), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
-    sent = points.select("fp").mapInPandas(send, "shard int, fp long, home boolean")
-    return sent.groupBy("shard").applyInPandas(find, "a long, b long")
+    sent = written(points.select("fp").mapInPandas(send, "shard int, fp long, home boolean"), "routed")
+    # Shards are fewer than the sample's points, so their sizes may be broadcast.
+    blocks = F.when(F.col("n") > 2 * shard_points, F.ceil(F.col("n") / shard_points)).otherwise(1)
+    sizes = sent.groupBy("shard").agg(F.count("*").alias("n")).select("shard", blocks.cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (sent.join(F.broadcast(sizes), "shard").select("shard", "fp", "home", own.alias("own"), other.alias("other"))
+             .select("shard", "fp", "home", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    return dealt.groupBy("shard", "low", "high").applyInPandas(find, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,24 +245,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row: the fingerprint (signed), and the
-    smallest id among the documents reached over links of at most ``distance``
-    differing bits, itself included.
+                    id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp, component_id, root`` for every row, and the columns ``carry``: the
+    fingerprint (signed), the smallest id among the documents reached over links of at
+    most ``distance`` differing bits, itself included, and the smallest fingerprint
+    among these, which names the component also where ids are null or repeated.
 
     Null and empty texts have fingerprint 0 and link like any other. Null ids are
     never the smallest unless there is no other. Repeated rows stay. An empty
     table gives no rows. Other columns are not read.
     """
-    base = written(fingerprints(docs.select(id_col, text_col), text_col, words, seed).select(id_col, "fp"), "fingerprints")
+    base = written(fingerprints(docs.select(id_col, text_col, *carry), text_col, words, seed).select(id_col, *carry, "fp"), "fingerprints")
     points = written(base.groupBy("fp").agg(F.min(id_col).alias("__least")), "points")
     root = components(links(points, distance))
     linked = root.select(F.col("node").alias("fp"), "root").unionByName(
         root.select(F.col("root").alias("fp"), "root").distinct())
     named = points.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("__least").alias("component_id"))
-    of_point = written(named.join(least, "root").select("fp", "component_id"), "component")
-    return base.join(of_point, "fp").select(id_col, "fp", "component_id")
+    of_point = written(named.join(least, "root").select("fp", "component_id", "root"), "component")
+    return join_facts(base, of_point, "fp").select(id_col, *carry, "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of linked fingerprints, with all columns: of its smallest
+    id the smallest content, and of rows that repeat both any one. Null ids come after
+    all others. Texts are read once for the fingerprint and move once, after exact
+    repeats were merged where they are."""
+    marks = ("__mark", "__twin")  # two hashes name a row's id and content
+    marked = docs.withColumn("__mark", F.xxhash64(id_col, text_col)).withColumn("__twin", F.xxhash64(F.lit(7), text_col, id_col))
+    found = near_duplicates(marked, id_col=id_col, text_col=text_col, carry=marks, **options)
+    first = F.min_by(F.struct(*marks), F.struct(F.col(id_col).isNull(), F.col(id_col), *(F.col(m) for m in marks)))
+    stay = found.groupBy("root").agg(first.alias("stay")).select("stay.*")
+    # An inner join: a semi-join would be moved below the merging of repeats.
+    return marked.dropDuplicates([*marks]).join(stay, [*marks]).select(*docs.columns)
 
 
 def hex16(fp):

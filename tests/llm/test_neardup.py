@@ -93,3 +93,24 @@ def test_components_of_chains_and_stars(spark):
 def test_fingerprint_is_spark_xxhash64(spark):
     row = spark.createDataFrame([("one two three",)], "t string").select(F.xxhash64("t").alias("h")).first()
     assert neardup.fingerprint("One  two\tTHREE") == row["h"]
+
+
+def test_oversized_shards_are_cut_in_block_pairs(spark):
+    """A dense ball that no tree splits well, far over the shard size: every link is found."""
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(1 << 62))
+    ball = {centre ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 62, (900, 3))}
+    points = sorted(ball | {int(x) for x in rng.integers(0, 1 << 62, 300)})
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    edges = neardup.links(df, shard_points=64).collect()
+    sizes = neardup.Forest(len(points))
+    at = {p: k for k, p in enumerate(points)}
+    for e in edges:
+        assert bin(e.a ^ e.b).count("1") <= 2
+        sizes.join(at[e.a], at[e.b])
+    want = neardup.Forest(len(points))
+    for i, p in enumerate(points):
+        for j in range(i):
+            if bin(p ^ points[j]).count("1") <= 2:
+                want.join(i, j)
+    assert [sizes.find(k) for k in range(len(points))] == [want.find(k) for k in range(len(points))]
