@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import put_aside, put_back, ranked, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Budget that the dynamic programme fits exactly; sums are bits of one integer.
@@ -135,9 +135,13 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = (5, 2, 1), mo
     return out.withColumn("copies", copies.cast("long")).drop("__has", "__source", "__size", "__times", "__extra", "__rank")
 
 
+# Columns that ``mix`` adds.
+MADE = ("source_size", "target", "copies")
+
+
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the
     columns of ``docs``. A document's words are its text's (null: none)."""
-    sized = docs.withColumn("__words", F.regexp_count(text_col, F.lit(WORD)))
+    sized = put_aside(docs, MADE).withColumn("__words", F.regexp_count(text_col, F.lit(WORD)))
     took = mix(sized, size_col="__words", content_col=text_col, **options).where("copies > 0")
-    return took.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return put_back(took.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs.columns, MADE)

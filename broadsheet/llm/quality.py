@@ -226,6 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
     return Network(x, np.array([r["quality"] for r in rows], float))
 
 
+# Columns that ``score_documents`` adds.
+MADE = ("held_out", "score", "predicted")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Add ``held_out, score, predicted`` to every row of ``docs`` (columns of these
     names are replaced). Only the text enters a score; an empty or null text is
