@@ -7,29 +7,23 @@ is written as Parquet in the shared checkpoint folder and read again by the next
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from broadsheet.llm import mixing, neardup, quality
-from broadsheet.llm.common import written
+from broadsheet.llm.common import put_aside, put_back, written
 from broadsheet.llm.queries import packed, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, does not reject. The
     labels are joined by ``doc_id``; without labelled documents all are kept."""
-    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score_documents(put_aside(docs, quality.MADE), table(spark, sf_dir, "labels"))
+    return put_back(scored.where("predicted = 1"), docs.columns, quality.MADE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one with the smallest
     id. Of rows that repeat this id one stays; a group without ids keeps one row."""
-    found = neardup.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    marked = neardup.fingerprints(docs, name="__own")
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    return neardup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
