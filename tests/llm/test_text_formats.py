@@ -78,6 +78,43 @@ def test_stored_members_with_false_magic_are_joined_over_ranges(spark, tmp_path)
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_archives_in_the_usual_naming(spark, tmp_path):
+    """Files named .warc.gz, small ranges, magic bytes inside stored members and across
+    range ends; other names beside them; other tools can read what is written."""
+    rows = []
+    for f in range(3):
+        data = b""
+        for k in range(9):
+            payload = warc.MAGIC * (k + 1) + bytes([k, f]) * 300 + gzip.compress(b"not a record", mtime=0)
+            raw = zlib.decompress(warc.member(10 * f + k, "u", payload, None), 31)
+            z = zlib.compressobj(0 if k % 2 else 6, zlib.DEFLATED, 31)
+            data += z.compress(raw) + z.flush()
+            rows.append((10 * f + k, payload))
+        (tmp_path / ("a.warc.gz", "b.warc.gz", "c.warc")[f]).write_bytes(data)
+    for size in (64, 101, 1000, 1 << 20):
+        assert read(warc.read_warc(spark, str(tmp_path), range_bytes=size)) == records(rows)
+    assert read(warc.read_warc(spark, str(tmp_path / "a.warc.gz"))) == records(rows[:9])
+    path = warc.write_warc(spark.createDataFrame([(k, "u", "x" * k) for k in range(50)], "page_id long, url string, html string").repartition(2), chunk_bytes=4000)
+    names = [p for p in __import__("pathlib").Path(path.removeprefix("file:")).iterdir() if not p.name.startswith((".", "_"))]
+    assert len(names) > 2 and all(p.name.endswith(".warc.gz") for p in names)
+    assert sum(gzip.decompress(p.read_bytes()).count(b"WARC/1.1") for p in names) == 50
+
+
+def test_many_repeated_digests_meet_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FEW_DIGESTS", 3)
+    rows = [(k, "u", f"p{k % 20}") for k in range(60)]
+    path = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert read(warc.read_warc(spark, path)) == records([(i, h.encode()) for i, _, h in rows])
+
+
+def test_a_damaged_member_fails(spark, tmp_path):
+    import pytest
+    data = warc.member(1, "u", b"x" * 5000, None) + warc.member(2, "u", b"y" * 5000, None)[:-9]
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    with pytest.raises(Exception, match="cut off or damaged"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
 def test_url_rules_and_vocabulary(spark):
     want = {
         "http://a.com/x": ("a.com", "/x", "com/", "allow"), "http://com": ("com", "", None, "allow"),
