@@ -6,8 +6,8 @@ vantage point, and because two points within r of each other differ by at most r
 in their distance to it, an inside point within r of the boundary is also sent
 outside as a visitor. So of two linked points that part at a node, one visits the
 other's side, and every link shows up in some shard. A dense ball can leave a shard
-with far more points than meant; it is cut in blocks by hash, and each pair of
-blocks becomes a shard of its own. Each shard is searched with a tree of its own,
+with far more points than meant; beyond what a task should hold it is cut in blocks
+by hash, and each pair of blocks becomes a shard of its own. Each shard is searched with a tree of its own,
 pruned by the same bounds, and reports a spanning forest of its links instead of
 all pairs; the forests are joined to components by rounds of hooking to the
 smallest neighbour.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import join_facts, small_batches, written
 
 WORDS, DISTANCE, SEED = 3, 2, 42
-SAMPLE, SHARD_POINTS, LEAF = 20_000, 8_192, 256
+SAMPLE, SHARD_POINTS, LEAF = 20_000, 16_384, 256
+# Points that one task searches at most: about 16 MB of them.
+TASK_POINTS = 1 << 20
 # Bits of up to so many shingles are added up at once.
 BLOCK = 1 << 15
 
@@ -191,10 +193,11 @@ def search(points: np.ndarray, home: np.ndarray, distance: int, leaf: int = LEAF
     return found
 
 
-def links(points: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, shard_points: int = SHARD_POINTS) -> DataFrame:
+def links(points: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, shard_points: int = SHARD_POINTS,
+          task_points: int = TASK_POINTS) -> DataFrame:
     """Distinct fingerprints (column ``fp``) -> spanning links ``a, b``. The tree is
     fitted on at most ``sample`` points; all points are routed and searched, and no
-    task searches many more than twice ``shard_points``."""
+    task searches many more than ``task_points``."""
     spark = points.sparkSession
     count = points.count()
     if count < 2:
@@ -215,7 +218,7 @@ def links(points: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sha
 
     sent = written(points.select("fp").mapInPandas(send, "shard int, fp long, home boolean"), "routed")
     # Shards are fewer than the sample's points, so their sizes may be broadcast.
-    blocks = F.when(F.col("n") > 2 * shard_points, F.ceil(F.col("n") / shard_points)).otherwise(1)
+    blocks = F.when(F.col("n") > task_points, F.ceil(2 * F.col("n") / task_points)).otherwise(1)
     sizes = sent.groupBy("shard").agg(F.count("*").alias("n")).select("shard", blocks.cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

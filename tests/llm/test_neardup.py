@@ -102,7 +102,7 @@ def test_oversized_shards_are_cut_in_block_pairs(spark):
     ball = {centre ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 62, (900, 3))}
     points = sorted(ball | {int(x) for x in rng.integers(0, 1 << 62, 300)})
     df = spark.createDataFrame([(p,) for p in points], "fp long")
-    edges = neardup.links(df, shard_points=64).collect()
+    edges = neardup.links(df, shard_points=64, task_points=128).collect()
     sizes = neardup.Forest(len(points))
     at = {p: k for k, p in enumerate(points)}
     for e in edges:
