@@ -8,14 +8,16 @@ round by round, the graph is joined with itself: each node brings its neighbours
 and a sample of those that name it together, compares them pairwise, and proposes
 pairs that beat what either end holds; every node keeps its best. Queries walk
 the graph greedily: from the query's own node and some drawn by hash, the best unexpanded nodes' lists
-are joined in, scored, and the best kept, hop by hop. Both work on vectors
-rounded to one byte a component with a scale of their own; the nodes that the
+are joined in, scored, and the best kept, hop by hop, until all that is kept is
+expanded. Rounds end when the lists hardly change, and the number kept grows with the
+logarithm of the table. Both work on vectors rounded to one byte a component with a scale of their own; the nodes that the
 search keeps are scored again exactly, in double precision, on the original
 vectors.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-DEGREE, REVERSE, ROUNDS = 32, 24, 6
+DEGREE, REVERSE = 32, 24
 CELLS, CELL = 3, 128
 DEALS, ENTRIES = 2, 16
 PROPOSE = 6
-BEAM, WIDTH, HOPS = 128, 16, 8
+# A round that changes a smaller share of the lists is the last.
+CHANGED = 0.02
+# The beam of a table of 2,048 nodes, and what each doubling adds; parts of it expanded in a hop.
+BEAM, BEAM_STEP, HOPS = 128, 64, 8
 SAMPLE = 4096
 
 
@@ -110,9 +115,14 @@ def both_ways(graph: DataFrame, reverse: int, seed: int) -> DataFrame:
             .groupBy("v", "member").agg(F.max("fresh").alias("fresh")))
 
 
-def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """``node, code, scale`` -> ``u, w, s``: the neighbour graph."""
-    count = nodes.count()
+def beam_of(count: int) -> int:
+    """How many nodes a walk keeps in a graph of ``count`` nodes."""
+    return BEAM + round(BEAM_STEP * max(0.0, math.log2(max(1, count) / 2048)))
+
+
+def build_graph(nodes: DataFrame, count: int, dims: int, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
+    """``node, code, scale`` (``count`` rows) -> ``u, w, s``: the neighbour graph. A
+    list only ever changes for a better one, so the rounds end."""
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         x = decoded(pa.array(group["code"]), pa.array(group["scale"]), dims)
@@ -154,24 +164,28 @@ def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, reverse: int
                 [pa.array(u, pa.int64()), pa.array(np.concatenate(ws) if us else u, pa.int64()),
                  pa.array(np.concatenate(ss) if us else u, pa.float32()), pa.array(np.ones(len(u)), pa.int32())], ["u", "w", "s", "fresh"])
 
-    for round_ in range(rounds):
+    for round_ in itertools.count():
         floor = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(-3e38)).cast("float").alias("floor"))
         known = nodes.join(floor, nodes["node"] == floor["u"]).select(F.col("node").alias("member"), "floor", "code", "scale")
-        near = both_ways(graph, reverse, round_).join(known, "member")
+        # Lists without a fresh member have nothing new to compare: no vectors for them.
+        together = both_ways(graph, reverse, round_)
+        together = together.join(together.where("fresh = 1").select("v").distinct(), "v", "left_semi")
+        near = together.join(known, "member")
         lists = near.groupBy("v").agg(F.collect_list(F.struct("member", "fresh", "floor", "code", "scale")).alias("near")).select("near")
         old = graph.withColumn("fresh", F.lit(0))
         # A node that few name, as an outlier, is offered to those it names.
         turned = graph.select(F.col("w").alias("u"), F.col("u").alias("w"), "s", F.lit(1).alias("fresh"))
         graph = written(keep_best(old.unionByName(turned).unionByName(lists.mapInArrow(propose, edge)), degree), "graph")
-        if graph.where("fresh = 1").count() < 0.02 * degree * count:
-            break
-    return graph.select("u", "w", "s", F.lit(0).alias("fresh"))
+        if graph.where("fresh = 1").count() <= CHANGED * degree * count:
+            return graph.select("u", "w", "s", F.lit(0).alias("fresh"))
 
 
-def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, dims: int, reverse: int = REVERSE, beam: int = BEAM,
-         width: int = WIDTH, hops: int = HOPS) -> DataFrame:
-    """``q`` (the query's node) -> ``q, node``: the beam after the last hop. Each walk
-    starts at the query's own node and about ENTRIES others, drawn by hash."""
+def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, count: int, dims: int, reverse: int = REVERSE,
+         beam: int = BEAM) -> DataFrame:
+    """``q`` (the query's node) -> ``q, node``: the beam when all of it is expanded. Each
+    walk starts at the query's own node and about ENTRIES others, drawn by hash. What
+    falls out of a beam is worse than all of it and never returns, so the hops end."""
+    width = max(1, beam // HOPS)
 
     @F.pandas_udf("float")
     def product(a: pd.Series, sa: pd.Series, b: pd.Series, sb: pd.Series) -> pd.Series:
@@ -180,16 +194,16 @@ def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, dims: int, revers
         return pd.Series((x * y).sum(1) * (sa * sb).to_numpy(np.float32))
 
     # Parts dealt by hash make every node a member of some lists, however few name it.
-    dealt = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(73)), F.lit(max(1, nodes.count() // ENTRIES))).alias("part"))
+    parts = F.lit(max(1, count // ENTRIES))
+    dealt = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(73)), parts).alias("part"))
     drawn = dealt.join(dealt.select(F.col("node").alias("member"), "part"), "part").where("node <> member").select("node", "member")
     links = written(both_ways(graph, reverse, 99).select(F.col("v").alias("node"), "member").unionByName(drawn).distinct(), "adjacent")
     mine = asked.join(nodes, asked["q"] == nodes["node"]).select("q", F.col("code").alias("qcode"), F.col("scale").alias("qscale"))
     state = written(asked.select("q", F.col("q").alias("node"), F.lit(3e38).cast("float").alias("s"), F.lit(0).alias("seen")), "beam")
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-    parts = F.lit(max(1, nodes.count() // ENTRIES))
     entries = (asked.select("q", F.pmod(F.xxhash64("q", F.lit(71)), parts).alias("part"))
                .join(nodes.select("node", F.pmod(F.xxhash64("node", F.lit(72)), parts).alias("part")), "part").select("q", "node"))
-    for hop in range(hops):
+    for hop in itertools.count():
         front = (state.where("seen = 0").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= width).select("q", "node"))
         reached = front.join(links, "node").select("q", F.col("member").alias("node"))
         reached = ((reached if hop else reached.unionByName(entries)).distinct()
@@ -200,9 +214,8 @@ def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, dims: int, revers
             "q", "node", "s", F.greatest("seen", F.coalesce("now", F.lit(0))).alias("seen"))
         state = written(spent.unionByName(scored).withColumn("r", F.row_number().over(by_score))
                         .where(F.col("r") <= beam).drop("r"), "beam")
-        if hop and not state.where("seen = 0").limit(1).count():
-            break
-    return state.select("q", "node")
+        if not state.where("seen = 0").limit(1).count():
+            return state.select("q", "node")
 
 
 def compare(nodes: DataFrame, asked: DataFrame, beam: int) -> DataFrame:
@@ -220,10 +233,11 @@ def compare(nodes: DataFrame, asked: DataFrame, beam: int) -> DataFrame:
     return marked.groupBy("dims").applyInPandas(pairs, "dims int, q long, node long")
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS,
-            beam: int = BEAM, width: int = WIDTH, hops: int = HOPS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE, reverse: int = REVERSE,
+            beam: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row where ``query`` holds, the k
-    nearest rows found by inner product, ties to the smaller id.
+    nearest rows found by inner product, ties to the smaller id. A walk keeps ``beam``
+    nodes (None: by the number of nodes), at least k + 1.
 
     Null and zero vectors and vectors with null or non-finite components take no
     part, nor do rows without an id; vectors of another length are no candidates.
@@ -240,7 +254,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE
     distinct = written(rows.groupBy("dims", "v").agg(F.min("vec_id").alias("node")), "nodes")
     nodes = written(distinct.select("node", "dims", "v").mapInPandas(rounded, "node long, dims int, code binary, scale double"), "codes")
     sizes = nodes.groupBy("dims").agg(F.count("*").alias("n"))
-    large = [r["dims"] for r in sizes.where(F.col("n") > 2 * CELL).orderBy("dims").collect()]
+    large = {r["dims"]: r["n"] for r in sizes.where(F.col("n") > 2 * CELL).orderBy("dims").collect()}
     if not large and not sizes.limit(1).count():
         return spark.createDataFrame([], result)
     # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
@@ -249,13 +263,13 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE
     named = written(named.dropDuplicates(["dims", "node", "vec_id"]), "members")
     members = named.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("dims", "node", "vec_id")
     asked = named.where("asks").select("dims", F.col("node").alias("q"), F.col("vec_id").alias("query_id"))
-    queries, beam = written(asked.select("dims", "q").distinct(), "asked"), max(beam, k + 1)
-    few = ~F.col("dims").isin(large)
-    beam_ = compare(nodes.where(few), queries.where(few), beam)
-    for dims in large:
+    queries = written(asked.select("dims", "q").distinct(), "asked")
+    few = ~F.col("dims").isin(list(large))
+    beam_ = compare(nodes.where(few), queries.where(few), max(beam or BEAM, k + 1))
+    for dims, count in large.items():
         mine, some = nodes.where(F.col("dims") == dims).drop("dims"), queries.where(F.col("dims") == dims).drop("dims")
-        graph = build_graph(mine, dims, degree, reverse, rounds)
-        found = walk(graph, mine, some, dims, reverse, beam, width, hops)
+        graph = build_graph(mine, count, dims, degree, reverse)
+        found = walk(graph, mine, some, count, dims, reverse, max(beam or beam_of(count), k + 1))
         beam_ = beam_.unionByName(found.withColumn("dims", F.lit(dims)))
 
     @F.pandas_udf("double")
