@@ -8,11 +8,11 @@ round by round, the graph is joined with itself: each node brings its neighbours
 and a sample of those that name it together, compares them pairwise, and proposes
 pairs that beat what either end holds; every node keeps its best. Queries walk
 the graph greedily: from the query's own node and some drawn by hash, the best unexpanded nodes' lists
-are joined in, scored, and the best kept, hop by hop, until all that is kept is
-expanded. Rounds end when the lists hardly change, and the number kept grows with the
-logarithm of the table. Both work on vectors rounded to one byte a component with a scale of their own; the nodes that the
-search keeps are scored again exactly, in double precision, on the original
-vectors.
+are joined in, scored, and the best kept, hop by hop, until the best
+no longer change. Rounds end when the lists hardly change, and the number kept grows
+with the logarithm of the table. Both work on vectors rounded to one byte a component
+with a scale of their own; the nodes that the search keeps are scored again exactly,
+in double precision, on the original vectors.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ PROPOSE = 6
 # A round that changes a smaller share of the lists is the last.
 CHANGED = 0.02
 # The beam of a table of 2,048 nodes, and what each doubling adds; parts of it expanded in a hop.
-BEAM, BEAM_STEP, HOPS = 128, 64, 8
+BEAM, BEAM_STEP, HOPS = 128, 64, 12
 SAMPLE = 4096
 
 
@@ -181,10 +181,11 @@ def build_graph(nodes: DataFrame, count: int, dims: int, degree: int = DEGREE, r
 
 
 def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, count: int, dims: int, reverse: int = REVERSE,
-         beam: int = BEAM) -> DataFrame:
-    """``q`` (the query's node) -> ``q, node``: the beam when all of it is expanded. Each
-    walk starts at the query's own node and about ENTRIES others, drawn by hash. What
-    falls out of a beam is worse than all of it and never returns, so the hops end."""
+         beam: int = BEAM, settled: int = 42) -> DataFrame:
+    """``q`` (the query's node) -> ``q, node``: the beam when all of it is expanded, or
+    a hop left its best ``settled`` nodes as they were. Each walk starts at the query's
+    own node and about ENTRIES others, drawn by hash. What falls out of a beam is worse
+    than all of it and never returns, so the hops end."""
     width = max(1, beam // HOPS)
 
     @F.pandas_udf("float")
@@ -200,7 +201,7 @@ def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, count: int, dims:
     links = written(both_ways(graph, reverse, 99).select(F.col("v").alias("node"), "member").unionByName(drawn).distinct(), "adjacent")
     mine = asked.join(nodes, asked["q"] == nodes["node"]).select("q", F.col("code").alias("qcode"), F.col("scale").alias("qscale"))
     state = written(asked.select("q", F.col("q").alias("node"), F.lit(3e38).cast("float").alias("s"), F.lit(0).alias("seen")), "beam")
-    by_score = Window.partitionBy("q").orderBy(F.desc("s"), "node")
+    by_score, whole = Window.partitionBy("q").orderBy(F.desc("s"), "node"), Window.partitionBy("q")
     entries = (asked.select("q", F.pmod(F.xxhash64("q", F.lit(71)), parts).alias("part"))
                .join(nodes.select("node", F.pmod(F.xxhash64("node", F.lit(72)), parts).alias("part")), "part").select("q", "node"))
     for hop in itertools.count():
@@ -209,11 +210,12 @@ def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, count: int, dims:
         reached = ((reached if hop else reached.unionByName(entries)).distinct()
                    .join(state.select("q", "node"), ["q", "node"], "left_anti"))
         scored = (reached.join(nodes.select("node", "code", "scale"), "node").join(mine, "q")
-                  .select("q", "node", product("code", "scale", "qcode", "qscale").alias("s"), F.lit(0).alias("seen")))
+                  .select("q", "node", product("code", "scale", "qcode", "qscale").alias("s"), F.lit(0).alias("seen"), F.lit(True).alias("added")))
         spent = state.join(front.withColumn("now", F.lit(1)), ["q", "node"], "left").select(
-            "q", "node", "s", F.greatest("seen", F.coalesce("now", F.lit(0))).alias("seen"))
-        state = written(spent.unionByName(scored).withColumn("r", F.row_number().over(by_score))
-                        .where(F.col("r") <= beam).drop("r"), "beam")
+            "q", "node", "s", F.greatest("seen", F.coalesce("now", F.lit(0))).alias("seen"), F.lit(False).alias("added"))
+        kept = spent.unionByName(scored).withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= beam)
+        moved = F.max(F.col("added") & (F.col("r") <= settled)).over(whole)
+        state = written(kept.select("q", "node", "s", F.when(moved, F.col("seen")).otherwise(F.lit(1)).alias("seen")), "beam")
         if not state.where("seen = 0").limit(1).count():
             return state.select("q", "node")
 
@@ -269,7 +271,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, degree: int = DEGREE
     for dims, count in large.items():
         mine, some = nodes.where(F.col("dims") == dims).drop("dims"), queries.where(F.col("dims") == dims).drop("dims")
         graph = build_graph(mine, count, dims, degree, reverse)
-        found = walk(graph, mine, some, count, dims, reverse, max(beam or beam_of(count), k + 1))
+        found = walk(graph, mine, some, count, dims, reverse, max(beam or beam_of(count), k + 1), 2 * (k + 1))
         beam_ = beam_.unionByName(found.withColumn("dims", F.lit(dims)))
 
     @F.pandas_udf("double")
