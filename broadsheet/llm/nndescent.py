@@ -34,10 +34,12 @@ CELLS, CELL = 3, 128
 DEALS, ENTRIES = 2, 16
 PROPOSE = 6
 # A round that changes a smaller share of the lists is the last.
-CHANGED = 0.02
+CHANGED = 0.05
 # The beam of a table of 2,048 nodes, and what each doubling adds; parts of it expanded in a hop.
-BEAM, BEAM_STEP, HOPS = 128, 64, 8
+BEAM, BEAM_STEP, HOPS = 128, 64, 4
 SAMPLE = 4096
+# Queries that meet at one list together.
+VISITS = 256
 
 
 def usable(vector: Column) -> Column:
@@ -112,7 +114,7 @@ def both_ways(graph: DataFrame, reverse: int, seed: int) -> DataFrame:
     back = graph.withColumn("r", F.row_number().over(some)).where(F.col("r") <= reverse)
     return (graph.select(F.col("u").alias("v"), F.col("w").alias("member"), "fresh")
             .unionByName(back.select(F.col("w").alias("v"), F.col("u").alias("member"), "fresh"))
-            .groupBy("v", "member").agg(F.max("fresh").alias("fresh")))
+            .repartition("v").groupBy("v", "member").agg(F.max("fresh").alias("fresh")))
 
 
 def beam_of(count: int) -> int:
@@ -168,8 +170,7 @@ def build_graph(nodes: DataFrame, count: int, dims: int, degree: int = DEGREE, r
         floor = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(-3e38)).cast("float").alias("floor"))
         known = nodes.join(floor, nodes["node"] == floor["u"]).select(F.col("node").alias("member"), "floor", "code", "scale")
         # Lists without a fresh member have nothing new to compare: no vectors for them.
-        together = both_ways(graph, reverse, round_)
-        together = together.join(together.where("fresh = 1").select("v").distinct(), "v", "left_semi")
+        together = both_ways(graph, reverse, round_).withColumn("news", F.max("fresh").over(Window.partitionBy("v"))).where("news = 1").drop("news")
         near = together.join(known, "member")
         lists = near.groupBy("v").agg(F.collect_list(F.struct("member", "fresh", "floor", "code", "scale")).alias("near")).select("near")
         old = graph.withColumn("fresh", F.lit(0))
@@ -180,41 +181,96 @@ def build_graph(nodes: DataFrame, count: int, dims: int, degree: int = DEGREE, r
             return graph.select("u", "w", "s", F.lit(0).alias("fresh"))
 
 
+def adjacency(graph: DataFrame, nodes: DataFrame, count: int, reverse: int) -> DataFrame:
+    """``node, members, codes, scales``: one row a node, its list with the members' codes
+    beside it, each as one binary. Parts dealt by hash make every node a member of some
+    lists, however few name it."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            member, code, scale = lists.flatten().flatten()
+            member, scale, code = member.to_numpy(zero_copy_only=False), scale.to_numpy(zero_copy_only=False).astype(np.float32), code.to_pylist()
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            spans = list(zip([0, *ends[:-1]], ends))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([member[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([b"".join(code[i:j]) for i, j in spans], pa.binary()),
+                 pa.array([scale[i:j].tobytes() for i, j in spans], pa.binary())], ["node", "members", "codes", "scales"])
+
+    part = F.pmod(F.xxhash64("node", F.lit(73)), F.lit(max(1, count // ENTRIES))).alias("part")
+    dealt = nodes.select("node", part)
+    drawn = dealt.join(dealt.select(F.col("node").alias("member"), "part"), "part").where("node <> member").select("node", "member")
+    # A member that is drawn and linked is scored twice and kept once.
+    pairs = both_ways(graph, reverse, 99).select(F.col("v").alias("node"), "member").unionByName(drawn)
+    lists = pairs.join(nodes.select(F.col("node").alias("member"), "code", "scale"), "member").groupBy("node").agg(
+        F.collect_list(F.struct("member", "code", "scale")).alias("near"))
+    return written(lists.mapInArrow(packed, "node long, members binary, codes binary, scales binary"), "adjacent")
+
+
 def walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, count: int, dims: int, reverse: int = REVERSE,
          beam: int = BEAM) -> DataFrame:
     """``q`` (the query's node) -> ``q, node``: the beam when all of it is expanded. Each
-    walk starts at the query's own node and about ENTRIES others, drawn by hash. What
-    falls out of a beam is worse than all of it and never returns, so the hops end."""
-    width = max(1, beam // HOPS)
+    walk starts at the query's own node and about ENTRIES others, drawn by hash. The walks
+    that expand a node in one hop meet at its list, VISITS at a time, and only what beats
+    the worst of a full beam leaves the task. What falls out of a beam is worse than all of
+    it and never returns, so the hops end."""
 
-    @F.pandas_udf("float")
-    def product(a: pd.Series, sa: pd.Series, b: pd.Series, sb: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.int8).reshape(-1, dims).astype(np.float32)
-        y = np.frombuffer(b"".join(b), np.int8).reshape(-1, dims).astype(np.float32)
-        return pd.Series((x * y).sum(1) * (sa * sb).to_numpy(np.float32))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["q", "node", "s"])
+
+        for batch in batches:
+            members, codes, scales, asks = batch.columns
+            q, floor, code, scale = asks.flatten().flatten()
+            q, floor, code = q.to_numpy(zero_copy_only=False), floor.to_numpy(zero_copy_only=False), code.to_pylist()
+            scale = scale.to_numpy(zero_copy_only=False).astype(np.float32)
+            ends = np.cumsum(asks.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            found, rows = [], 0
+            for k, (at, end) in enumerate(zip([0, *ends[:-1]], ends)):
+                y = np.frombuffer(b"".join(code[at:end]), np.int8).reshape(-1, dims).astype(np.float32)
+                x = np.frombuffer(codes[k].as_py(), np.int8).reshape(-1, dims).astype(np.float32)
+                s = (y @ x.T) * scale[at:end, None] * np.frombuffer(scales[k].as_py(), np.float32)
+                i, j = np.nonzero(s > floor[at:end, None])
+                found.append((q[at:end][i], np.frombuffer(members[k].as_py(), np.int64)[j], s[i, j]))
+                rows += len(i)
+                if rows > 1 << 18:
+                    yield table(found)
+                    found, rows = [], 0
+            if found:
+                yield table(found)
 
-    # Parts dealt by hash make every node a member of some lists, however few name it.
-    parts = F.lit(max(1, count // ENTRIES))
-    dealt = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(73)), parts).alias("part"))
-    drawn = dealt.join(dealt.select(F.col("node").alias("member"), "part"), "part").where("node <> member").select("node", "member")
-    links = written(both_ways(graph, reverse, 99).select(F.col("v").alias("node"), "member").unionByName(drawn).distinct(), "adjacent")
-    mine = asked.join(nodes, asked["q"] == nodes["node"]).select("q", F.col("code").alias("qcode"), F.col("scale").alias("qscale"))
-    state = written(asked.select("q", F.col("q").alias("node"), F.lit(3e38).cast("float").alias("s"), F.lit(0).alias("seen")), "beam")
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-    entries = (asked.select("q", F.pmod(F.xxhash64("q", F.lit(71)), parts).alias("part"))
-               .join(nodes.select("node", F.pmod(F.xxhash64("node", F.lit(72)), parts).alias("part")), "part").select("q", "node"))
+    whole, so_far = Window.partitionBy("q"), by_score.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def cut(state: DataFrame) -> DataFrame:
+        """The best of each query; ``front``: whom the next hop expands (few until the
+        beam is full); ``floor``: what a newcomer must beat."""
+        kept = state.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= beam)
+        kept = kept.withColumn("full", F.count("*").over(whole) >= beam).withColumn("turn", F.sum(1 - F.col("seen")).over(so_far))
+        width = F.when(F.col("full"), max(1, beam // HOPS)).otherwise(max(1, beam // (4 * HOPS)))
+        floor = F.when(F.col("full"), F.min("s").over(whole)).otherwise(F.lit(-3e38)).cast("float")
+        return written(kept.select("q", "node", "s", "seen", floor.alias("floor"), ((F.col("seen") == 0) & (F.col("turn") <= width)).alias("front")), "beam")
+
+    def met(front: DataFrame) -> DataFrame:
+        """``q, node, floor`` -> each node's list with the queries at it."""
+        crowd = front.groupBy("node").agg(F.ceil(F.count("*") / VISITS).alias("parts")).where("parts > 1")
+        front = front.join(crowd, "node", "left").withColumn("part", F.pmod(F.xxhash64("q"), F.coalesce("parts", F.lit(1))))
+        asks = front.join(mine, "q").groupBy("node", "part").agg(F.collect_list(F.struct("q", "floor", "qcode", "qscale")).alias("asks"))
+        return asks.join(links, "node").select("members", "codes", "scales", "asks")
+
+    links = adjacency(graph, nodes, count, reverse)
+    mine = written(asked.join(nodes, asked["q"] == nodes["node"]).select("q", F.col("code").alias("qcode"), F.col("scale").alias("qscale")), "queries")
+    parts = F.lit(max(1, count // ENTRIES))
+    drawn = (asked.select("q", F.pmod(F.xxhash64("q", F.lit(71)), parts).alias("part"))
+             .join(nodes.select("node", F.pmod(F.xxhash64("node", F.lit(72)), parts).alias("part")), "part")
+             .select("q", "node", F.lit(-3e38).cast("float").alias("floor")))
+    state = cut(asked.select("q", F.col("q").alias("node"), F.lit(3e38).cast("float").alias("s"), F.lit(0).alias("seen")))
     for hop in itertools.count():
-        front = (state.where("seen = 0").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= width).select("q", "node"))
-        reached = front.join(links, "node").select("q", F.col("member").alias("node"))
-        reached = ((reached if hop else reached.unionByName(entries)).distinct()
-                   .join(state.select("q", "node"), ["q", "node"], "left_anti"))
-        scored = (reached.join(nodes.select("node", "code", "scale"), "node").join(mine, "q")
-                  .select("q", "node", product("code", "scale", "qcode", "qscale").alias("s"), F.lit(0).alias("seen")))
-        spent = state.join(front.withColumn("now", F.lit(1)), ["q", "node"], "left").select(
-            "q", "node", "s", F.greatest("seen", F.coalesce("now", F.lit(0))).alias("seen"))
-        state = written(spent.unionByName(scored).withColumn("r", F.row_number().over(by_score))
-                        .where(F.col("r") <= beam).drop("r"), "beam")
-        if not state.where("seen = 0").limit(1).count():
+        front = state.where("front").select("q", "node", "floor")
+        scored = met(front if hop else front.unionByName(drawn)).mapInArrow(score, "q long, node long, s float").withColumn("seen", F.lit(0))
+        spent = state.select("q", "node", "s", F.greatest("seen", F.col("front").cast("int")).alias("seen"))
+        state = cut(spent.unionByName(scored).repartition("q").groupBy("q", "node").agg(F.max("s").alias("s"), F.max("seen").alias("seen")))
+        if not state.where("front").limit(1).count():
             return state.select("q", "node")
 
 
