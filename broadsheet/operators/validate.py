@@ -56,112 +56,103 @@ def parse_answer(raw) -> Column:
     return F.try_parse_json(strip_fences(raw))
 
 
-def _node(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
+def _fields(v: Column) -> Column:
+    """The fields of an object as a map, null for anything else. The checks take all
+    they need of an object from its map, which is built once."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _vtype(v: Column, key: str | None = None) -> Column:
-    return F.schema_of_variant(v if key is None else _node(v, key))
+def _keys(m: Column) -> Column:
+    return F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
 
 
-def _is_object(t: Column) -> Column:
-    return F.coalesce(F.startswith(t, F.lit("OBJECT")), F.lit(False))
+def _is_string(m: Column, key: str) -> Column:
+    return F.coalesce(F.schema_of_variant(m[key]) == "STRING", F.lit(False))
 
 
-def _keys(v: Column) -> Column:
-    return F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
-
-
-def _is_string(v: Column, key: str) -> Column:
-    return F.coalesce(_vtype(v, key) == "STRING", F.lit(False))
-
-
-def _str(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "string")
+def _str(m: Column, key: str) -> Column:
+    return F.try_variant_get(m[key], "$", "string")
 
 
 def _lit_array(values) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
 
-def _text_ok(v: Column, key: str, lo: int, hi: int | None) -> Column:
-    n = F.length(_str(v, key))
-    ok = _is_string(v, key) & (n >= lo)
-    return ok & (n <= hi) if hi is not None else ok
+def _text_ok(m: Column, key: str, lo: int, hi: int | None) -> Column:
+    n = F.length(_str(m, key))
+    return _is_string(m, key) & (n.between(lo, hi) if hi is not None else n >= lo)
+
+
+def _url_ok(m: Column, key: str) -> Column:
+    s = _str(m, key)
+    return _is_string(m, key) & s.rlike(URL_PATTERN) & is_uri(s)
 
 
-def _url_ok(v: Column, key: str) -> Column:
-    s = _str(v, key)
-    return _is_string(v, key) & s.rlike(URL_PATTERN) & is_uri(s)
+def _integer(m: Column, key: str) -> Column:
+    t = F.schema_of_variant(m[key])
+    return F.coalesce(t.rlike(_INT_TYPES), F.lit(False)) | \
+        (F.coalesce(t.rlike(_NUM_TYPES), F.lit(False)) & (_double(m, key) % 1 == 0))
 
 
-def _social_ok(v: Column) -> Column:
-    s = _node(v, "social")
-    keys = _keys(s)
-    return (_is_object(_vtype(s)) & (F.size(keys) == 2) & F.array_contains(keys, "x")
-            & F.array_contains(keys, "linkedin") & _text_ok(s, "x", 1, None) & _text_ok(s, "linkedin", 1, None))
+def _double(m: Column, key: str) -> Column:
+    return F.try_variant_get(m[key], "$", "double")
 
 
-def _field_errors(prefix: Column, x: Column, keys: Column, checks: dict[str, Column]) -> list[Column]:
-    """One error id per present key whose check fails."""
-    return [F.when(F.array_contains(keys, k) & ~F.coalesce(ok, F.lit(False)), F.concat(prefix, F.lit(k)))
-            for k, ok in checks.items()]
+def _social_ok(m: Column) -> Column:
+    s = _fields(m["social"])
+    return (F.size(F.map_keys(s)) == 2) & _text_ok(s, "x", 1, None) & _text_ok(s, "linkedin", 1, None)
 
 
-def _object_errors(prefix: Column, x: Column, required: list[str], allowed: list[str],
-                   checks: dict[str, Column]) -> Column:
-    keys = _keys(x)
-    extra = F.transform(F.array_sort(F.array_except(keys, _lit_array(allowed))),
+def _object_errors(rule: str, place: Column, m: Column, required: list[str], allowed: list[str],
+                   checks: dict[str, Column], rules: dict[str, str] | None = None) -> Column:
+    """Error ids of one object (``m``: its fields): unknown and missing keys, and each
+    present key whose check fails, under ``rule`` or the key's own in ``rules``."""
+    prefix = F.concat(F.lit(f"{rule}:"), place)
+    extra = F.transform(F.array_sort(F.array_except(F.map_keys(m), _lit_array(allowed))),
                         lambda k: F.concat(prefix, F.lit("extra:"), k))
-    missing = F.transform(F.array_except(_lit_array(required), keys),
+    missing = F.transform(F.array_except(_lit_array(required), F.map_keys(m)),
                           lambda k: F.concat(prefix, F.lit("required:"), k))
-    fields = F.array(*_field_errors(prefix, x, keys, checks))
-    return F.when(~_is_object(_vtype(x)), F.array(F.concat(prefix, F.lit("type")))) \
+    fields = F.array(*[F.when(F.map_contains_key(m, k) & ~F.coalesce(ok, F.lit(False)),
+                              F.concat(F.lit(f"{(rules or {}).get(k, rule)}:"), place, F.lit(k)))
+                       for k, ok in checks.items()])
+    return F.when(m.isNull(), F.array(F.concat(prefix, F.lit("type")))) \
         .otherwise(F.concat(extra, missing, fields))
 
 
-def item_errors(x: Column, i: Column) -> Column:
-    """V4 + V5 for one item (index ``i`` after J2)."""
-    prefix = F.concat(F.lit("V4:items["), i.cast("string"), F.lit("]."))
-    rank_t = _vtype(x, "rank")
-    rank = F.try_variant_get(x, "$.rank", "double")
-    integer = F.coalesce(rank_t.rlike(_INT_TYPES), F.lit(False)) | \
-        (F.coalesce(rank_t.rlike(_NUM_TYPES), F.lit(False)) & (rank % 1 == 0))
+def item_errors(m: Column, i: Column) -> Column:
+    """V4 + V5 for the fields of one item (index ``i`` after J2)."""
     checks = {
-        "rank": integer & rank.between(RANK_MIN, RANK_MAX),
-        "category": _is_string(x, "category") & _str(x, "category").isin(*CATEGORIES),
-        **{k: _text_ok(x, k, lo, hi) for k, (lo, hi) in TEXT_BOUNDS.items()},
-        "url": _url_ok(x, "url"),
-        "source": _text_ok(x, "source", 1, None),
-        "social": _social_ok(x),
+        "rank": _integer(m, "rank") & _double(m, "rank").between(RANK_MIN, RANK_MAX),
+        "category": _is_string(m, "category") & _str(m, "category").isin(*CATEGORIES),
+        **{k: _text_ok(m, k, lo, hi) for k, (lo, hi) in TEXT_BOUNDS.items()},
+        "url": _url_ok(m, "url"),
+        "source": _text_ok(m, "source", 1, None),
+        "social": _social_ok(m),
     }
-    errs = _object_errors(prefix, x, ITEM_REQUIRED, ITEM_KEYS, checks)
-    return F.transform(errs, lambda e: F.regexp_replace(e, r"^V4:(items\[[0-9]+\]\.)social$", "V5:$1social"))
+    place = F.concat(F.lit("items["), i.cast("string"), F.lit("]."))
+    return _object_errors("V4", place, m, ITEM_REQUIRED, ITEM_KEYS, checks, {"social": "V5"})
 
 
-def repo_errors(x: Column, i: Column) -> Column:
-    """V6 for one repo."""
-    prefix = F.concat(F.lit("V6:repos["), i.cast("string"), F.lit("]."))
-    stars_t = _vtype(x, "stars")
-    stars = F.try_variant_get(x, "$.stars", "double")
-    integer = F.coalesce(stars_t.rlike(_INT_TYPES), F.lit(False)) | \
-        (F.coalesce(stars_t.rlike(_NUM_TYPES), F.lit(False)) & (stars % 1 == 0))
+def repo_errors(m: Column, i: Column) -> Column:
+    """V6 for the fields of one repo."""
     checks = {
-        "name": _text_ok(x, "name", 1, None),
-        "url": _url_ok(x, "url"),
-        "description": _text_ok(x, "description", 1, REPO_DESCRIPTION_MAX),
-        "language": _is_string(x, "language"),
-        "stars": integer & (stars >= 0),
-        "social": _social_ok(x),
+        "name": _text_ok(m, "name", 1, None),
+        "url": _url_ok(m, "url"),
+        "description": _text_ok(m, "description", 1, REPO_DESCRIPTION_MAX),
+        "language": _is_string(m, "language"),
+        "stars": _integer(m, "stars") & (_double(m, "stars") >= 0),
+        "social": _social_ok(m),
     }
-    return _object_errors(prefix, x, REPO_REQUIRED, REPO_KEYS, checks)
+    place = F.concat(F.lit("repos["), i.cast("string"), F.lit("]."))
+    return _object_errors("V6", place, m, REPO_REQUIRED, REPO_KEYS, checks)
 
 
 def drop_invented(items: Column, input_urls: Column) -> Column:
     """Drop items whose url is a string not found in the input; anything
     else (missing or non-string url, non-object item) is left to the schema."""
-    return F.filter(items, lambda x: ~(F.coalesce(_vtype(x, "url") == "STRING", F.lit(False))
-                                       & ~F.array_contains(input_urls, _str(x, "url"))))
+    url = F.try_variant_get
+    return F.filter(items, lambda x: ~(F.coalesce(F.schema_of_variant(url(x, "$.url", "variant")) == "STRING", F.lit(False))
+                                       & ~F.array_contains(input_urls, url(x, "$.url", "string"))))
 
 
 def check_attempts(attempts: DataFrame, inputs: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
@@ -179,17 +170,18 @@ def check_attempts(attempts: DataFrame, inputs: DataFrame | None = None, runs: D
         a = a.join(inputs, "edition_date", "left")
     if runs is not None:
         a = a.join(runs, "edition_date", "left")
-    a = a.withColumn("v", parse_answer(F.col("raw")))
-    v = F.col("v")
+    a = a.withColumn("v", parse_answer(F.col("raw"))).withColumn("__root", _fields(F.col("v")))
+    v, root = F.col("v"), F.col("__root")
     urls = F.coalesce(F.col("urls"), F.array().cast("array<string>"))
-    root_obj = _is_object(_vtype(v))
+    root_obj = root.isNotNull()
     items_arr = F.try_variant_get(v, "$.items", "array<variant>")
     kept = drop_invented(items_arr, urls)
     a = a.withColumn("items", F.when(root_obj, kept)) \
         .withColumn("n_in", F.when(root_obj & items_arr.isNotNull(), F.size(items_arr))) \
-        .withColumn("n_dropped", F.when(root_obj & items_arr.isNotNull(), F.size(items_arr) - F.size(kept)))
-    items = F.col("items")
-    keys = _keys(v)
+        .withColumn("n_dropped", F.when(root_obj & items_arr.isNotNull(), F.size(items_arr) - F.size(kept))) \
+        .withColumn("__items", F.transform("items", _fields))
+    items = F.col("__items")
+    keys = _keys(root)
     root_extra = F.transform(F.array_sort(F.array_except(keys, _lit_array(ROOT_KEYS))),
                              lambda k: F.concat(F.lit("V1:extra:"), k))
     meta = F.array(
@@ -207,12 +199,14 @@ def check_attempts(attempts: DataFrame, inputs: DataFrame | None = None, runs: D
     repos_errs = F.when(~F.array_contains(keys, "repos"), F.array().cast("array<string>")) \
         .when(repos_arr.isNull(), F.array(F.lit("V6:type"))) \
         .otherwise(F.concat(F.array(F.when(F.size(repos_arr) > MAX_REPOS, F.lit("V6:max"))),
-                            F.flatten(F.transform(repos_arr, repo_errors))))
-    schema_errs = F.filter(F.concat(root_extra, meta, items_errs, repos_errs), lambda e: e.isNotNull())
+                            F.flatten(F.transform(F.transform(repos_arr, _fields), repo_errors))))
+    a = a.withColumn("__schema", F.when(root_obj, F.filter(F.concat(root_extra, meta, items_errs, repos_errs),
+                                                           lambda e: e.isNotNull())))
+    schema_errs = F.col("__schema")
     # URL and rank checks only run on schema-clean answers.
-    ranks = F.transform(items, lambda x: F.try_variant_get(x, "$.rank", "double"))
+    ranks = F.transform(items, lambda m: _double(m, "rank"))
     late = F.filter(F.concat(
-        F.transform(items, lambda x, i: F.when(~F.array_contains(urls, _str(x, "url")),
+        F.transform(items, lambda m, i: F.when(~F.array_contains(urls, _str(m, "url")),
                                                 F.concat(F.lit("J3:items["), i.cast("string"), F.lit("].url")))),
         F.array(F.when(F.size(F.array_distinct(ranks)) != F.size(ranks), F.lit("A4:rank")))),
         lambda e: e.isNotNull())
@@ -220,7 +214,8 @@ def check_attempts(attempts: DataFrame, inputs: DataFrame | None = None, runs: D
         .when(~root_obj, F.array(F.lit("V1:type"))) \
         .when(F.size(schema_errs) > 0, schema_errs) \
         .otherwise(late)
-    return a.withColumn("errors", F.array_sort(errors)).withColumn("ok", F.size("errors") == 0)
+    return a.withColumn("errors", F.array_sort(errors)).drop("__root", "__items", "__schema") \
+        .withColumn("ok", F.size("errors") == 0)
 
 
 def first_valid(checked: DataFrame) -> DataFrame:

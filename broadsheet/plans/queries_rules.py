@@ -15,7 +15,7 @@ from broadsheet.plans.derived import editions
 from broadsheet.plans.queries_archive import EDITIONS_SQL
 from broadsheet.plans.sqlparts import iso
 from broadsheet.sources.landed import story_hit_rows
-from broadsheet.sources.tables import read_table
+from broadsheet.sources.tables import read_table, spread
 
 
 @query("lenient_dates", f"""
@@ -162,7 +162,7 @@ SELECT p_partkey, CASE p_partkey % {len(SOCIAL_CASES)} * {len(REPO_CASES)} + p_s
 def post_and_repo_checks(spark, sf_dir):
     """V5 + V6: an answer for each part with one of six post blocks and one of seven
     repo lists, and the rules it violates."""
-    p = read_table(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = spread(read_table(spark, sf_dir, "part", "p_partkey", "p_size"))
     items = [f'{{"rank":{k},"category":"industria","title":"T","summary":"S","why_it_matters":"W","url":"https://n.example/{k}","source":"A"' for k in range(1, 7)]
 
     def pick(cases, by):

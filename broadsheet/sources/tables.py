@@ -19,3 +19,10 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``'s rows dealt evenly to as many tasks as a shuffle has: for narrow rows
+    that much work follows on. A scan makes a task for each row group at most, and a
+    small file may be one row group."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

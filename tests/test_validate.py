@@ -91,3 +91,25 @@ def test_first_valid_and_retry(spark):
 def test_provider_choice(spark):
     got = one(spark, resolve_provider(F.col("x")), rows=[("Claude-Code",), ("other",), (None,)])
     assert got == ["claude-code", "deepseek", "deepseek"]
+
+
+def test_checks_of_a_file_with_one_row_group_run_in_many_tasks(spark, tmp_path):
+    from broadsheet.plans.queries_rules import post_and_repo_checks
+
+    rows = [(k % 40, k % 7 + 1) for k in range(400)] + [(None, 1), (5, None), (5, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = post_and_repo_checks(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(str(r["p_partkey"]) for r in got) == sorted(str(k) for k, _ in rows)
+    assert len({r["task"] for r in got}) > 1
+    assert {r["errors"] for r in got if r["p_partkey"] == 7} == {"", "V6:max", "V6:repos[0].required:url", "V6:repos[1].language,V6:repos[1].stars", "V6:type", "V6:repos[0].social,V6:repos[0].stars,V6:repos[1].type", "V6:repos[0].description,V6:repos[0].extra:z,V6:repos[0].name,V6:repos[0].url"}
+
+
+def test_odd_objects(spark):
+    six = [item(i) for i in range(6)]
+    r = check(spark, ["null", "{}", '{"items":null}', digest([{}, [], "s"] + six[3:]), digest([item(0, social=[1], rank=None)] + six[1:]),
+                      digest(six, repos=[None, {}, {"name": 1, "url": None, "description": "d", "social": {}}])])
+    assert r[1]["errors"] == ["V1:type"] and r[2]["errors"] == ["V1:required:items"] and r[3]["errors"] == ["V3:type"]
+    assert r[4]["errors"] == sorted(["V4:items[1].type", "V4:items[2].type"] + [f"V4:items[0].required:{k}" for k in item(0)])
+    assert r[5]["errors"] == ["V4:items[0].rank", "V5:items[0].social"]
+    assert r[6]["errors"] == sorted(["V6:repos[0].type"] + [f"V6:repos[1].required:{k}" for k in ("name", "url", "description")]
+                                    + [f"V6:repos[2].{k}" for k in ("name", "social", "url")])
