@@ -9,6 +9,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +80,45 @@ def make_room(cache: dict, most: int) -> None:
             del cache[key]
 
 
+# A letter, the signs behind it, and the end of the chunk.
+SIGNS = "[!-/:-@\\[-^`{-~]"
+ENDED = rf"([A-Za-zÀ-ÖØ-öø-ÿ])({SIGNS}+)([ \t\n\r]|$)"
+
+
+class Chunks:
+    """What each chunk between white space stands for, as bytes, for a batch of
+    texts together: Arrow splits the texts and numbers their distinct chunks, only
+    those are looked up, and Arrow puts the bytes in place. Signs that end a chunk
+    behind a letter are a chunk of their own, so that a word is one chunk with and
+    without them. ``known`` is a bounded table of chunks seen before."""
+
+    def __init__(self, made, most: int):
+        self.made, self.most = made, most
+        self.known: dict[str, bytes] = {"": b""}
+
+    def meaning(self, chunk: str) -> bytes:
+        found = self.made(chunk)
+        if len(chunk) < 40:
+            make_room(self.known, self.most)
+            self.known[chunk] = found
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """All bytes of the batch, and where each text's begin and end (one number
+        more than texts). A null text has none."""
+        parts = pc.utf8_split_whitespace(pc.replace_substring_regex(texts, ENDED, r"\1 \2\3"))
+        counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+        codes = parts.flatten().dictionary_encode()
+        get, meaning = self.known.get, self.meaning
+        values = [meaning(c) if (b := get(c)) is None else b for c in codes.dictionary.to_numpy(zero_copy_only=False)]
+        if not len(codes):
+            return memoryview(b""), np.zeros(len(texts) + 1, np.int64)
+        sizes = np.fromiter(map(len, values), np.int64, len(values))[codes.indices.to_numpy()]
+        at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        data = pa.array(values, pa.large_binary()).take(codes.indices).buffers()[2]
+        return memoryview(data or b""), at
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, bits: int = 10,
            facts: DataFrame | None = None) -> DataFrame:
     """Add ``name``, the 0-based rank of each row within ``keys`` in the order of

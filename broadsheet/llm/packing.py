@@ -18,19 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import make_room, ranked, small_batches, worker_store, written
+from .common import Chunks, ranked, small_batches, worker_store, written
 
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 200
 PIECES = "{id} {kind}, piece int, start long, length int, ids binary"
-# Letters that the vocabulary's own rules leave whole: no split, no composition.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|]?)")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-CHUNKS, WORDS = 250_000, 350_000
+# Letters, and signs, that the vocabulary's own rules leave whole: no split, no composition.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+CHUNKS = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,9 +44,9 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Text -> token ids (little-endian unsigned 32-bit), as the tokenizer gives
     them. A vocabulary with word ends drops white space and never merges across it, so the
-    ids of a text are those of its chunks; chunks and words are remembered in
-    two bounded tables. Texts with control characters that only Python takes
-    for white space go to the tokenizer whole."""
+    ids of a text are those of its chunks; chunks are remembered in a bounded table, and
+    a batch looks each distinct chunk up once. Texts with control characters that only Python takes
+    for white space, or with the tokenizer's own strings, go to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,41 +54,31 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = Chunks(self.chunk, CHUNKS)
+        names = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = "|".join(["[\x1c-\x1f]", *names])
         self.by_chunk = getattr(self.model, "end_of_word_suffix", None) == "</w>"
 
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-            make_room(self.words, WORDS)
-            if len(word) < 40:
-                self.words[word] = found
-        return found
-
     def chunk(self, chunk: str) -> bytes:
-        m = PLAIN.fullmatch(chunk)
-        if m is None:
-            found = self.plain(chunk)
-        else:
-            found = self.word(m[1].lower())
-            if m[2]:
-                found += self.word(m[2])
-        make_room(self.chunks, CHUNKS)
-        if len(chunk) < 40:
-            self.chunks[chunk] = found
-        return found
-
-    def __call__(self, text: str) -> bytes:
-        if not self.by_chunk or ODD_SPACE.search(text):
-            return self.plain(text)
-        get, chunk = self.chunks.get, self.chunk
-        return b"".join([get(w) or chunk(w) for w in text.split()])
+        if not PLAIN.fullmatch(chunk):
+            return self.plain(chunk)
+        low = chunk.lower()
+        letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null: none."""
+        if not self.by_chunk:
+            return [self.plain(t) if t else b"" for t in texts.to_pylist()]
+        odd = pc.indices_nonzero(pc.match_substring_regex(texts, self.odd)).to_pylist()
+        whole = {k: self.plain(texts[k].as_py()) for k in odd}
+        if odd:
+            texts = pa.array([None if k in whole else t for k, t in enumerate(texts.to_pylist())], texts.type)
+        data, at = self.chunks(texts)
+        return [whole[k] if k in whole else bytes(data[a:b]) for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()))]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -104,8 +94,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encode = store.get(tokenizer) or store.setdefault(tokenizer, Encoder(tokenizer))
         for batch in batches:
             rows, out = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = (encode(text) if text else b"") + end
+            for row, ids in enumerate(encode(batch.column(1))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     rows.append(row)
                     out.append((k, at // 4, min(capacity, (len(ids) - at) // 4), ids[at: at + 4 * capacity]))

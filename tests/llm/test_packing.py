@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,3 +71,16 @@ def test_ranges_number_every_piece_once():
             j = (length << 48) + k - key[i]
             got.add((int(sequence[i] + j // times[i]), int(offset[i] + j % times[i] * length)))
     assert len(got) == 11 and (0, 10) in got and (4, 0) in got
+
+
+def test_encoder_gives_the_tokenizers_ids_and_looks_a_word_up_once():
+    tok = Tokenizer.from_file(PATH)
+    texts = ["Don't, 'tis  (a) b,c d... É, naïve_x_; x2, 3.5% ' ,'s it's, ÀÉ!!", "<|endoftext|>, a<|endoftext|> b <|startoftext|>,", "a\x1cb, c\x85d\xa0e, f.",
+             "é, H̱, K̸≮ İ. ß, Σας.", "日本, 語. привет!", "", None, "  \n\t ", "end,", "word word, word. WORD! word\tword?\nword;"]
+    encode = packing.Encoder(PATH)
+    got = encode(pa.array(texts).slice(1)) + encode(pa.array(texts[:1]))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts[1:] + texts[:1]]
+    seen = []
+    encode.chunks.made = lambda c: seen.append(c) or b"1234"
+    data, at = encode.chunks(pa.array(["zyxw zyxw, zyxw.", "zyxw; zyxw, other"]))
+    assert sorted(seen) == sorted({"zyxw", "other"} | {s for s in seen if not s.isalpha()}) and at.tolist() == [0, at[1], at[2]] and at[2] == len(data)
