@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import make_room, small_batches, worker_store, written
+from .common import Chunks, small_batches, worker_store, written
 
 # Hash buckets for words, their dimensions, and the +-1s of an index vector.
 BUCKETS, DIM, MARKS, REACH = 1 << 15, 64, 4, 2
@@ -29,8 +29,9 @@ BLOCK = 256
 SAMPLE = 20_000
 THRESHOLD = 0.3
 SHAPE = re.compile(r"(\W*)(.*?)(\W*)", re.DOTALL)
-CHUNKS = 300_000
-TOKENS = 1_000_000
+CHUNKS = 400_000
+# Words that are held, whose contexts are added up together, and whose vectors are.
+TOKENS, STRETCH, PART = 1_000_000, 1 << 18, 1 << 16
 
 
 def index_vectors(seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -43,36 +44,31 @@ def index_vectors(seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return at, sign
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def bucket(word: str) -> bytes:
+    """A word's bucket, as a little-endian unsigned 16-bit number."""
+    return (zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS).to_bytes(2, "little")
 
 
-def chunk_ids(chunk: str) -> tuple[int, ...]:
+def chunk_ids(chunk: str) -> bytes:
     """Buckets of a chunk without white space: what stands before the word, the
     word (with a mark if all capitals) and what stands behind it."""
-    before, word, after = SHAPE.fullmatch(chunk).groups()
-    out = [bucket(before)] if before else []
+    before, word, after = ("", chunk, "") if chunk.isalpha() else SHAPE.fullmatch(chunk).groups()
+    out = bucket(before) if before else b""
     if word:
-        out.append(bucket(("^" if len(word) > 1 and word.isupper() else "") + word.lower()))
-    return tuple([*out, bucket(after)] if after else out)
+        out += bucket(("^" if len(word) > 1 and word.isupper() else "") + word.lower())
+    return out + bucket(after) if after else out
 
 
 class Words:
-    """Text -> word buckets, with a bounded table of chunks."""
+    """Texts -> word buckets, with a bounded table of chunks."""
 
     def __init__(self):
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.chunks = Chunks(chunk_ids, CHUNKS)
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = chunk_ids(chunk)
-        make_room(self.seen, CHUNKS)
-        if len(chunk) < 40:
-            self.seen[chunk] = ids
-        return ids
-
-    def __call__(self, text: str | None) -> list[int]:
-        get, chunk = self.seen.get, self.chunk
-        return [i for w in (text or "").split() for i in (get(w) or chunk(w))]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all texts, and where each text's begin and end."""
+        data, at = self.chunks(texts)
+        return np.frombuffer(data, "<u2"), at // 2
 
 
 def words() -> Words:
@@ -81,11 +77,17 @@ def words() -> Words:
 
 def add_contexts(total: np.ndarray, ids: np.ndarray, at: np.ndarray, sign: np.ndarray) -> None:
     """Add to each word the index vectors of the words up to REACH away."""
-    for step in range(1, REACH + 1):
-        left, right = ids[:-step], ids[step:]
-        for a, b in ((left, right), (right, left)):
-            for m in range(MARKS):
-                total += np.bincount(a * DIM + at[b, m], sign[b, m], total.size)
+    at, sign = at.T.copy(), sign.T.copy()
+    for first in range(0, len(ids), STRETCH):
+        pairs = []
+        for step in range(1, REACH + 1):
+            right = ids[first + step: first + step + STRETCH].astype(np.int64)
+            left = ids[first: first + len(right)].astype(np.int64)
+            pairs += [(left, right), (right, left)]
+        rows, near = (np.concatenate(side) for side in zip(*pairs))
+        rows *= DIM
+        for m in range(MARKS):
+            total += np.bincount(rows + at[m][near], sign[m][near], total.size)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text", seed: int = 1) -> np.ndarray:
@@ -97,19 +99,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text", seed: int = 1) -> np.n
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sign = index_vectors(seed)
         total, read = np.zeros((BUCKETS + 1) * DIM), words()
-        held: list[int] = []
+        held: list[np.ndarray] = []
 
         def flush():
             if held:
-                add_contexts(total, np.array(held, np.int64), at, sign)
+                add_contexts(total, np.concatenate(held), at, sign)
                 held.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held += read(text)
-                held += [BUCKETS] * REACH
-                if len(held) >= TOKENS:
-                    flush()
+            ids, ends = read(batch.column(0))
+            held.append(np.insert(ids, np.repeat(ends[1:], REACH), BUCKETS))
+            if sum(map(len, held)) >= TOKENS:
+                flush()
         flush()
         found = total[: BUCKETS * DIM].reshape(-1, BLOCK * DIM)
         some = np.flatnonzero(found.any(1))
@@ -142,13 +143,15 @@ def word_vectors(docs: DataFrame, text_col: str = "text", seed: int = 1) -> np.n
     return unit.astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray, read: Words) -> np.ndarray:
-    """The mean vector of each text's words; zero for a text without words."""
+def pooled(texts: pa.Array, vectors: np.ndarray, read: Words) -> np.ndarray:
+    """The mean vector of each text's words, summed in double precision; zero for a
+    text without words."""
     out = np.zeros((len(texts), DIM), np.float32)
-    for k, text in enumerate(texts):
-        ids = read(text)
-        if ids:
-            out[k] = sum((vectors[ids[at: at + TOKENS]].sum(0, dtype=np.float64) for at in range(0, len(ids), TOKENS)), np.zeros(DIM)) / len(ids)
+    ids, at = read(texts)
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        if a < b:
+            parts = [ids[c: min(c + PART, b)] for c in range(a, b, PART)]
+            out[k] = sum(np.ones(len(p)) @ vectors.take(p, 0) for p in parts) / (b - a)
     return out
 
 
@@ -213,8 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
             .orderBy(F.xxhash64("doc_id")).limit(sample))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vectors.astype(float)
         for batch in batches:
-            x = pooled(batch.column(1).to_pylist(), vectors, words())
+            x = pooled(batch.column(1), known, words())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())],
                                              ["doc_id", "quality", "x"])
 
@@ -243,9 +247,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = sent.value
+        known = sent.value.astype(float)
         for texts in batches:
-            yield pd.Series(net.score(pooled([t if isinstance(t, str) else None for t in texts], known, words())))
+            yield pd.Series(net.score(pooled(pa.array(texts, pa.string(), from_pandas=True), known, words())))
 
     return (docs.drop("held_out", "score", "predicted").withColumn("held_out", held_out()).withColumn("score", score("text"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

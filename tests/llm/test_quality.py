@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from broadsheet.llm import quality
@@ -66,3 +67,30 @@ def test_context_sums_match_a_plain_loop():
                 for m in range(quality.MARKS):
                     want[ids[i], at[ids[j], m]] += sign[ids[j], m]
     assert np.array_equal(total.reshape(want.shape), want)
+
+
+def test_words_of_a_batch_are_looked_up_once(monkeypatch):
+    texts = ["Foo's _x_ a, b.c, ABC!! ...!! x_, é, É. naïve… \x1c z \x85 q\xa0w", "tab\tend,\nend end, END", None, "", " \n ", "..., a"]
+    seen = []
+    monkeypatch.setattr(quality, "chunk_ids", lambda c, made=quality.chunk_ids: seen.append(c) or made(c))
+    ids, at = quality.Words()(pa.array(texts))
+    want = []
+    for t in texts:
+        want.append([])
+        for before, word, after in (quality.SHAPE.fullmatch(w).groups() for w in (t or "").split()):
+            mark = "^" if len(word) > 1 and word.isupper() else ""
+            want[-1] += [zlib.crc32(x.encode()) % quality.BUCKETS for x in (before, word and mark + word.lower(), after) if x]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    assert len(seen) == len(set(seen)) and "end," not in seen
+
+
+def test_context_sums_do_not_depend_on_stretches(monkeypatch):
+    at, sign = quality.index_vectors()
+    ids = np.random.default_rng(1).integers(0, 50, 1000).astype(np.uint16)
+    whole, cut = (np.zeros((quality.BUCKETS + 1) * quality.DIM) for _ in range(2))
+    quality.add_contexts(whole, ids, at, sign)
+    for size in (97, 250, 999):
+        monkeypatch.setattr(quality, "STRETCH", size)
+        cut[:] = 0
+        quality.add_contexts(cut, ids, at, sign)
+        assert np.array_equal(whole, cut)
