@@ -70,13 +70,14 @@ def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     if per_tree is not None:
         best = Window.partitionBy("tree").orderBy(F.desc("sum"), F.desc("steps"), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_tree)
-    # A stretch of `steps` nodes that ends in `node`; halved until all are single.
+    # A stretch of `steps` nodes that ends in `node`; halved until all are single. Each
+    # halving names the walk once, so the plan grows by one join a step.
     walk = leaves.select("tree", F.col("node").alias("leaf"), "node", "steps")
     for k in range(len(jumps) - 2, -1, -1):
         half = F.lit(1 << k).cast("long")
-        halves = F.explode(F.array(F.struct(F.col("up").alias("node"), (F.col("steps") - half).alias("steps")), F.struct("node", half.alias("steps"))))
-        long_ = met(walk.where(F.col("steps") > half), jumps[k], ["tree", "node"]).select("tree", "leaf", halves.alias("h"))
-        walk = walk.where(F.col("steps") <= half).unionByName(long_.select("tree", "leaf", "h.node", "h.steps"))
+        upper = F.struct(F.col("up").alias("node"), (F.col("steps") - half).alias("steps"))
+        halves = F.when(F.col("steps") > half, F.array(upper, F.struct("node", half.alias("steps")))).otherwise(F.array(F.struct("node", "steps")))
+        walk = met(walk, jumps[k], ["tree", "node"], "left").select("tree", "leaf", F.explode(halves).alias("h")).select("tree", "leaf", "h.node", "h.steps")
         if k % 3 == 0:
             walk = written(walk, "walk")
     return walk.select("tree", "leaf", "node")

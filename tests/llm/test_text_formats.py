@@ -1,6 +1,8 @@
 import base64
+import contextlib
 import gzip
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter
@@ -174,3 +176,20 @@ def test_conversations_read_back_whatever_they_hold(spark):
         assert [tuple(t) for t in r["turns"]] == turns
         assert r["text"] == "".join(t for role, t in turns if role == "assistant")
         assert r["formatted"].count(chat.START) == len(turns) == r["formatted"].count(chat.END)
+
+
+def test_plans_of_long_paths_grow_by_one_join_a_step(spark, monkeypatch):
+    joins = []
+
+    def counted(df, name, write=chat.written):
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            df.explain()
+        joins.append(said.getvalue().count("SortMergeJoin"))
+        return write(df, name)
+
+    monkeypatch.setattr(chat, "written", counted)
+    rows = [(t, k, k - 1 if k > 1 else None, 0.0) for t, n in ((1, 40), (2, 1), (3, 2)) for k in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    got = chat.chosen_paths(df).collect()
+    assert sorted((r["tree"], r["leaf"], r["node"]) for r in got) == sorted((t, n, k) for t, n in ((1, 40), (2, 1), (3, 2)) for k in range(1, n + 1))
+    assert max(joins) <= 4
